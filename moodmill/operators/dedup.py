@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 
 def dedup(df: DataFrame, scope: str = "file") -> DataFrame:
@@ -24,8 +24,3 @@ def dedup(df: DataFrame, scope: str = "file") -> DataFrame:
 def combine_batches(dfs: list[DataFrame]) -> DataFrame:
     """All rows of all batches, columns matched by name."""
     return reduce(DataFrame.unionByName, dfs)
-
-
-def duplicate_sizes(df: DataFrame) -> DataFrame:
-    """Number of copies of each text per file."""
-    return df.groupBy("source_file", "text").agg(F.count("*").alias("n"))

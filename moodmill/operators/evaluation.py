@@ -52,7 +52,7 @@ def batch_metrics(
 
 
 def _mean(value: str, n: str) -> Column:
-    return F.sum(F.col(value) * F.col(n)) / F.sum(n)
+    return F.try_divide(F.sum(F.col(value) * F.col(n)), F.sum(n))
 
 
 def weighted_average(
@@ -74,7 +74,7 @@ def running_average(
     scanned = prefix_scan(
         df, keys, batch, {"_sum": ("sum", F.col(value) * F.col(n)), "_count": ("sum", F.col(n))}, **options
     )
-    return scanned.withColumn("avg", F.col("_sum") / F.col("_count")).drop("_sum", "_count")
+    return scanned.withColumn("avg", F.try_divide("_sum", "_count")).drop("_sum", "_count")
 
 
 def epoch_summary(
@@ -85,7 +85,7 @@ def epoch_summary(
     own = [F.when(F.col(loop) == name, F.col(n)) for name in loops]
     return df.groupBy(*keys).agg(
         *[
-            (F.sum(F.col(v) * rows) / F.sum(rows)).alias(f"{name.lower()}_{v}")
+            F.try_divide(F.sum(F.col(v) * rows), F.sum(rows)).alias(f"{name.lower()}_{v}")
             for name, rows in zip(loops, own)
             for v in values
         ]
