@@ -11,7 +11,12 @@ from pyspark.sql import Column, functions as F
 # Classes of characters and tokens the cleaning rules are defined on.
 PUNCTUATION = r"!-/:-@\[-`{-~"
 CONTROL = r"\x00-\x1f\x7f-\x9f"
-WHITESPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"\s\x1c-\x1f"  # with the flag (?U); the four separators are blanks here, too
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 KEPT = r" -\[\]-~а-яА-ЯёЁ\t\n\x0B\f\r"
 ENTITIES = ("&amp;", "&lt;", "&br;", "&gt;")
 RETWEET = "RT "
@@ -19,12 +24,12 @@ RETWEET = "RT "
 
 def strip_whitespace(c: Column) -> Column:
     """Remove Unicode whitespace at both ends."""
-    return F.regexp_replace(c, rf"\A[{WHITESPACE}]+|[{WHITESPACE}]+\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def trim_string(c: Column) -> Column:
     """Collapse runs of Unicode whitespace to one space and strip the ends."""
-    return F.trim(F.regexp_replace(c, rf"[{WHITESPACE}]+", " "))
+    return F.trim(F.regexp_replace(c, rf"(?U)[{SPACE}]+", " "))
 
 
 def remove_control_chars(c: Column) -> Column:
@@ -34,7 +39,7 @@ def remove_control_chars(c: Column) -> Column:
 
 def remove_links(c: Column) -> Column:
     """Delete ``http`` with all that follows up to whitespace, then strip."""
-    return strip_whitespace(F.regexp_replace(c, rf"http[^{WHITESPACE}]+", ""))
+    return strip_whitespace(F.regexp_replace(c, rf"(?U)http[^{SPACE}]+", ""))
 
 
 def remove_tags(c: Column) -> Column:

@@ -36,6 +36,15 @@ def word_ngrams(c: Column, min_len: int = 3, max_len: int = 6) -> Column:
     return F.concat(*grams, bare)
 
 
+def exploded(c: Column, with_position: bool = False) -> Column:
+    """One row per item; an empty array leaves one null row, for the caller to drop.
+
+    A plain explode would have the optimizer test the array for emptiness in a
+    filter of its own and so compute it twice.
+    """
+    return F.posexplode_outer(c) if with_position else F.explode_outer(c)
+
+
 def pad_sequence(c: Column, max_len: int, pad: Column | int | str = 0) -> Column:
     """Pad on the right and cut to ``max_len`` items."""
     filler = pad if isinstance(pad, Column) else F.lit(pad)

@@ -44,9 +44,15 @@ def per_dimension(aggregate: Callable[[Column], Column], c: Column, dim: int) ->
     return F.array(*[aggregate(F.get(c, F.lit(i)).cast("double")) for i in range(dim)])
 
 
-def dimension_of(df: DataFrame, column: str) -> int:
-    """Size of the first vector of a table."""
-    row = df.select(F.size(column).alias("n")).where(F.col("n") >= 0).first()
-    if row is None:
-        raise ValueError(f"no vector in column {column}")
-    return row.n
+def mean_vector(c: Column, dim: int, weight: Column | None = None) -> Column:
+    """Mean of the vectors of a group, weighted if there is a ``weight``."""
+    if weight is None:
+        n = F.count(c)
+        return per_dimension(lambda v: F.try_divide(F.sum(v), n), c, dim)
+    total = F.sum(weight)
+    return per_dimension(lambda v: F.try_divide(F.sum(weight * v), total), c, dim)
+
+
+def max_vector(c: Column, dim: int) -> Column:
+    """Elementwise maximum of the vectors of a group."""
+    return per_dimension(F.max, c, dim)

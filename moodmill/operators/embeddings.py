@@ -7,10 +7,10 @@ cost nothing extra.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from moodmill.functions.tokens import word_ngrams
-from moodmill.functions.vectors import dot, double_array, nonlinear, per_dimension
+from moodmill.functions.tokens import exploded, word_ngrams
+from moodmill.functions.vectors import dot, double_array, mean_vector, nonlinear
 from moodmill.operators.lookup import lookup
 from moodmill.operators.vocabulary import UNKNOWN
 
@@ -19,12 +19,16 @@ MIN_GRAM, MAX_GRAM = 1, 6
 MAX_CATEGORY_WIDTH = 50
 
 
-def _grams(words: DataFrame, table: DataFrame) -> DataFrame:
-    """Each distinct word with its n-grams and what the table has for them."""
-    grams = words.select("word").distinct().select(
-        "word", F.posexplode(word_ngrams(F.col("word"), MIN_GRAM, MAX_GRAM)).alias("pos", "token")
+def _distinct(words: DataFrame) -> DataFrame:
+    return words.select("word").distinct()
+
+
+def _hits(words: DataFrame, table: DataFrame) -> DataFrame:
+    """The known n-grams of distinct words, with their position and what the table has for them."""
+    grams = words.select(
+        "word", exploded(word_ngrams(F.col("word"), MIN_GRAM, MAX_GRAM), with_position=True).alias("pos", "token")
     )
-    return lookup(grams, table, "token", "left")
+    return lookup(grams, table, "token", "inner")
 
 
 def _unknown(table: DataFrame):
@@ -39,38 +43,39 @@ def ngram_lookup(words: DataFrame, table: DataFrame) -> DataFrame:
 
     A word without any known n-gram gets the id of the unknown word.
     """
-    unk = _unknown(table.select("token", "idx")).idx
-    found = _grams(words, table.select("token", "idx"))
-    item = F.when(F.col("idx").isNotNull(), F.struct("pos", "idx"))
+    ids = table.select("token", "idx")
+    unk = _unknown(ids).idx
+    distinct = _distinct(words)
     # A group is the n-grams of one word.
-    grouped = found.groupBy("word").agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    known = F.size("_items") > 0
-    ids = F.transform("_items", lambda x: x["idx"])
-    return grouped.select(
-        "word", F.when(known, ids).otherwise(F.array(F.lit(unk))).alias("ids"), known.alias("known")
+    grouped = _hits(distinct, ids).groupBy("word").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("_items")
+    )
+    known = F.col("_items").isNotNull()
+    found = F.transform("_items", lambda x: x["idx"])
+    return distinct.join(grouped, "word", "left").select(
+        "word", F.when(known, found).otherwise(F.array(F.lit(unk))).alias("ids"), known.alias("known")
     )
 
 
 def unknown_words(words: DataFrame, table: DataFrame) -> DataFrame:
     """Occurrences of each word without any known n-gram: ``word, n``."""
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    found = _grams(counts, table.select("token", "idx"))
-    missing = found.groupBy("word").agg(F.count("idx").alias("hits")).where(F.col("hits") == 0)
-    return counts.join(missing.select("word"), "word", "left_semi")
+    known = _hits(_distinct(words), table.select("token")).select("word")
+    return counts.join(known, "word", "left_anti")
 
 
-def _or_unknown(vector: Column, table: DataFrame) -> Column:
+def _with_unknown(words: DataFrame, pooled: DataFrame, table: DataFrame) -> DataFrame:
+    """All words, those that were not pooled with the vector of the unknown word."""
     fallback = double_array(_unknown(table.select("token", "vector")).vector)
-    return F.when(F.col("_n") == 0, fallback).otherwise(vector)
+    return words.join(pooled, "word", "left").select("word", F.coalesce("vector", fallback).alias("vector"))
 
 
 def word_vectors_mean(words: DataFrame, table: DataFrame, dim: int) -> DataFrame:
     """Per distinct ``word``: the mean ``vector`` of its known n-grams."""
-    found = _grams(words, table.select("token", "vector"))
-    pooled = found.groupBy("word").agg(
-        F.count("vector").alias("_n"), per_dimension(F.avg, F.col("vector"), dim).alias("vector")
-    )
-    return pooled.select("word", _or_unknown(F.col("vector"), table).alias("vector"))
+    distinct = _distinct(words)
+    found = _hits(distinct, table.select("token", "vector"))
+    pooled = found.groupBy("word").agg(mean_vector(F.col("vector"), dim).alias("vector"))
+    return _with_unknown(distinct, pooled, table)
 
 
 def word_vectors_attention(
@@ -84,18 +89,15 @@ def word_vectors_attention(
     scored = table.select(
         "token", "vector", nonlinear(dot(F.col("vector"), weights), nonlinearity).alias("_score")
     )
-    found = _grams(words, scored)
+    distinct = _distinct(words)
+    found = _hits(distinct, scored)
     shift = F.lit(0.0)
     if nonlinearity == "relu":
         # The window holds the n-grams of one distinct word.
         shift = F.max("_score").over(Window.partitionBy("word"))
     weighted = found.withColumn("_weight", F.exp(F.col("_score") - shift))
-    total = F.sum("_weight")
-    pooled = weighted.groupBy("word").agg(
-        F.count("vector").alias("_n"),
-        per_dimension(lambda v: F.sum(F.col("_weight") * v) / total, F.col("vector"), dim).alias("vector"),
-    )
-    return pooled.select("word", _or_unknown(F.col("vector"), table).alias("vector"))
+    pooled = weighted.groupBy("word").agg(mean_vector(F.col("vector"), dim, F.col("_weight")).alias("vector"))
+    return _with_unknown(distinct, pooled, table)
 
 
 def attach_word_vectors(steps: DataFrame, vectors: DataFrame) -> DataFrame:

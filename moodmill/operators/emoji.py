@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from moodmill.functions.tokens import exploded
 from moodmill.operators.lookup import lookup
 
 # A dictionary up to this size is held as a constant of the plan; a larger one is joined.
@@ -143,7 +144,7 @@ def _without_labels(text: Column, candidates: Column) -> Column:
 def emoji_counts_detailed(df: DataFrame, dictionary: DataFrame | EmojiDictionary, text: str = "text") -> DataFrame:
     """One row per text and emoji in it: the columns of ``df``, ``emoji, is_64, n``."""
     d = EmojiDictionary.of(dictionary)
-    pointed = df.withColumn("_point", F.explode(d.points(F.col(text))))
+    pointed = df.withColumn("_point", exploded(d.points(F.col(text)))).where(F.col("_point").isNotNull())
     matched = lookup(pointed, d.frame, "_point", "inner")
     counted = matched.withColumn("n", occurrences(F.col(text), F.col("emoji")))
     return counted.where(F.col("n") > 0).select(*df.columns, "emoji", "is_64", "n")

@@ -9,7 +9,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from moodmill.functions.tokens import find_ngrams
+from moodmill.functions.tokens import exploded, find_ngrams
 from moodmill.session import durable
 
 GRAM_SIZES = (1, 2, 3)
@@ -45,8 +45,8 @@ def language_profiles(
     Ranked twice: first within hash parts of a language, so that one task never
     sorts all grams of a frequent language, then among the leaders of the parts.
     """
-    grams = df.select(F.col(lang).alias("lang"), F.explode(char_grams(F.col(text), sizes)).alias("gram"))
-    counts = grams.groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    grams = df.select(F.col(lang).alias("lang"), exploded(char_grams(F.col(text), sizes)).alias("gram"))
+    counts = grams.where(F.col("gram").isNotNull()).groupBy("lang", "gram").agg(F.count("*").alias("n"))
     order = [F.desc("n"), F.asc("gram")]
     part = F.pmod(F.xxhash64("gram"), F.lit(_SALTS))
     leaders = counts.withColumn("_part", part)
@@ -93,7 +93,7 @@ def language_predict(df: DataFrame, model: LanguageModel, text: str = "text") ->
     scored = model.bayes.transform(
         model.vectorizer.transform(df.withColumn("_grams", char_grams(F.col(text), model.sizes)))
     )
-    known = F.size("_grams") > 0
+    known = F.length(text) >= min(model.sizes)
     index = F.col("_prediction").cast("int")
     return scored.select(
         *df.columns,

@@ -6,9 +6,9 @@ aggregation with partial sums per task, so long sequences never meet in one plac
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from moodmill.functions.vectors import dot, nonlinear, per_dimension
+from moodmill.functions.vectors import dot, max_vector, mean_vector, nonlinear
 
 
 def _kept(steps: DataFrame, include_padding: bool) -> DataFrame:
@@ -17,21 +17,12 @@ def _kept(steps: DataFrame, include_padding: bool) -> DataFrame:
 
 def pool_mean(steps: DataFrame, keys: list[str], dim: int, include_padding: bool = True) -> DataFrame:
     """Mean over the steps."""
-    return _kept(steps, include_padding).groupBy(*keys).agg(
-        per_dimension(F.avg, F.col("vector"), dim).alias("vector")
-    )
+    return _kept(steps, include_padding).groupBy(*keys).agg(mean_vector(F.col("vector"), dim).alias("vector"))
 
 
 def pool_max(steps: DataFrame, keys: list[str], dim: int, include_padding: bool = True) -> DataFrame:
     """Elementwise maximum over the steps."""
-    return _kept(steps, include_padding).groupBy(*keys).agg(
-        per_dimension(F.max, F.col("vector"), dim).alias("vector")
-    )
-
-
-def _weighted(weight: str, dim: int) -> Column:
-    total = F.sum(weight)
-    return per_dimension(lambda v: F.sum(F.col(weight) * v) / total, F.col("vector"), dim)
+    return _kept(steps, include_padding).groupBy(*keys).agg(max_vector(F.col("vector"), dim).alias("vector"))
 
 
 def pool_attention(
@@ -66,6 +57,8 @@ def pool_attention_multi(
     weighted = scored.select(
         *keys, "vector", *[F.exp(F.col(f"_score_{h}") - shifts[h]).alias(f"_weight_{h}") for h in heads]
     )
-    pooled = weighted.groupBy(*keys).agg(*[_weighted(f"_weight_{h}", dim).alias(f"_head_{h}") for h in heads])
+    pooled = weighted.groupBy(*keys).agg(
+        *[mean_vector(F.col("vector"), dim, F.col(f"_weight_{h}")).alias(f"_head_{h}") for h in heads]
+    )
     stacked = F.array(*[F.col(f"_head_{h}") for h in heads])
     return pooled.select(*keys, F.posexplode(stacked).alias("head", "vector"))

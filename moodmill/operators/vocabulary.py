@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from moodmill.functions.tokens import exploded
 from moodmill.operators.lookup import lookup
 from moodmill.operators.ordering import with_ordinal
 
@@ -14,7 +15,8 @@ UNKNOWN = "UNK"
 
 def token_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Occurrences of each token: ``token, n``."""
-    return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    items = df.select(exploded(F.col(tokens)).alias("token")).where(F.col("token").isNotNull())
+    return items.groupBy("token").agg(F.count("*").alias("n"))
 
 
 def build_vocabulary(
@@ -38,7 +40,8 @@ def build_vocabulary(
 def sequence_steps(df: DataFrame, tokens: str, name: str = "word") -> DataFrame:
     """One row per item of a sequence: the other columns, ``pos`` and the item."""
     rest = [c for c in df.columns if c != tokens]
-    return df.select(*rest, F.posexplode(tokens).alias("pos", name))
+    steps = df.select(*rest, exploded(F.col(tokens), with_position=True).alias("pos", name))
+    return steps.where(F.col("pos").isNotNull())
 
 
 def encode_ids(

@@ -70,6 +70,11 @@ def occurrences(text: str, part: str) -> str:
     return f"CAST((length({text}) - length(replace({text}, {part}, ''))) // length({part}) AS BIGINT)"
 
 
+def rounded(x: str) -> str:
+    """A rounded mean; the shift keeps exact decimal ties from falling to either side."""
+    return f"round({x} + 1e-9, 5)"
+
+
 def digest(x: str) -> str:
     return f"md5(array_to_string({x}, '|'))"
 
@@ -81,8 +86,8 @@ def numbers(values: list[float]) -> str:
 def vector_columns(v: str, dim: int = DIM) -> str:
     ramp = numbers([i + 1 for i in range(dim)])
     return (
-        f"round({v}[1], 5) AS v_first, round({v}[{dim}], 5) AS v_last, round(list_sum({v}), 5) AS v_sum, "
-        f"round(list_dot_product({v}, {ramp}), 4) AS v_weighted"
+        f"round({v}[1], 5) + 0.0 AS v_first, round({v}[{dim}], 5) + 0.0 AS v_last, "
+        f"round(list_sum({v}), 5) + 0.0 AS v_sum, round(list_dot_product({v}, {ramp}), 4) + 0.0 AS v_weighted"
     )
 
 
@@ -243,7 +248,7 @@ def _split(table: str, key: str, share: float) -> str:
 
 def _sides(value: str) -> str:
     return ", ".join(
-        f"round(sum({v} * n) FILTER (loop = '{loop}') / sum(n) FILTER (loop = '{loop}'), 5) AS {loop.lower()}_{m}"
+        rounded(f"sum({v} * n) FILTER (loop = '{loop}') / sum(n) FILTER (loop = '{loop}')") + f" AS {loop.lower()}_{m}"
         for loop in ("Train", "Val")
         for m, v in (("loss", "value"), ("top1", "n"), ("top3", "least(n * 1.5, 100.0)"))
     )
@@ -427,11 +432,11 @@ def _bodies() -> dict[str, str]:
   SELECT vec_id, count(*) FILTER (x > own OR (x = own AND i < label)) AS above FROM (
     SELECT vec_id, label, embedding[label + 1] AS own, unnest(embedding) AS x,
       generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY vec_id)""",
-        "j3_weighted_average": _with(METRICS, """SELECT run, epoch, loop, arg_max(value, batch) AS last,
-  round(sum(value * n), 4) AS sum, CAST(sum(n) AS BIGINT) AS count, round(sum(value * n) / sum(n), 5) AS avg
+        "j3_weighted_average": _with(METRICS, f"""SELECT run, epoch, loop, arg_max(value, batch) AS last,
+  round(sum(value * n), 4) AS sum, CAST(sum(n) AS BIGINT) AS count, {rounded('sum(value * n) / sum(n)')} AS avg
   FROM metrics GROUP BY ALL"""),
-        "j4_running_average": _with(METRICS, """SELECT run, loop, batch,
-  round(sum(value * n) OVER w / sum(n) OVER w, 5) AS avg FROM metrics
+        "j4_running_average": _with(METRICS, f"""SELECT run, loop, batch,
+  {rounded('sum(value * n) OVER w / sum(n) OVER w')} AS avg FROM metrics
   WINDOW w AS (PARTITION BY run, loop ORDER BY batch)"""),
         "j5_epoch_summary": _with(METRICS, f"SELECT run, epoch, {_sides('value')} FROM metrics GROUP BY ALL"),
         "j6_best_epochs": """SELECT run, epoch, val_loss, least(val_loss, before) AS best_score,

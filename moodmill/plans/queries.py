@@ -44,6 +44,11 @@ def digest(c: Column) -> Column:
     return F.md5(F.array_join(c.cast("array<string>"), "|"))
 
 
+def rounded(c: str) -> Column:
+    """A rounded mean; the shift keeps exact decimal ties from falling to either side."""
+    return F.round(F.col(c) + 1e-9, 5).alias(c)
+
+
 def vector_columns(vector: str = "vector", dim: int = DIM) -> list[Column]:
     """Comparable numbers of a vector: both ends, the sum, and a sum weighted by position."""
     v = F.col(vector)
@@ -357,7 +362,7 @@ def g3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("g4_word_ngrams")
 def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = rel.document_words(spark, sf_dir).select(F.explode("tokens").alias("word"))
+    words = rel.document_words(spark, sf_dir).select(tok.exploded(F.col("tokens")).alias("word"))
     return vocabulary.token_counts(words.select(tok.word_ngrams(F.col("word")).alias("grams")), "grams")
 
 
@@ -391,7 +396,7 @@ def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rel.document_words(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("pos", "word"))
+    return rel.document_words(spark, sf_dir).select("doc_id", tok.exploded(F.col("tokens"), with_position=True).alias("pos", "word"))
 
 
 @register("g9_ngram_lookup")
@@ -444,7 +449,7 @@ def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     table = durable(vectors, "category")
     words = rel.conversation_words(spark, sf_dir).select(
-        "conv_id", "turn", F.posexplode("tokens").alias("pos", "word")
+        "conv_id", "turn", tok.exploded(F.col("tokens"), with_position=True).alias("pos", "word")
     )
     steps = words.select(
         "conv_id", "turn", "pos",
@@ -559,14 +564,14 @@ def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluation.weighted_average(rel.metrics(spark, sf_dir), ["run", "epoch", "loop"])
     return out.select(
-        "run", "epoch", "loop", "last", F.round("sum", 4).alias("sum"), "count", F.round("avg", 5).alias("avg")
+        "run", "epoch", "loop", "last", F.round("sum", 4).alias("sum"), "count", rounded("avg")
     )
 
 
 @register("j4_running_average")
 def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluation.running_average(rel.metrics(spark, sf_dir), ["run", "loop"])
-    return out.select("run", "loop", "batch", F.round("avg", 5).alias("avg"))
+    return out.select("run", "loop", "batch", rounded("avg"))
 
 
 @register("j5_epoch_summary")
@@ -577,7 +582,7 @@ def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = evaluation.epoch_summary(rows, ["run", "epoch"])
     names = [f"{loop}_{m}" for loop in ("train", "val") for m in ("loss", "top1", "top3")]
-    return out.select("run", "epoch", *[F.round(c, 5).alias(c) for c in names])
+    return out.select("run", "epoch", *map(rounded, names))
 
 
 @register("j6_best_epochs")

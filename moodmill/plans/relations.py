@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from moodmill.functions.tokens import plain_text_split
+from moodmill.functions.tokens import exploded, plain_text_split
 from moodmill.operators.vocabulary import build_vocabulary
 from moodmill.session import durable, scratch_path
+from moodmill.sources.tables import spread_small
 
 # The emoji dictionary of the queries and the class of each label.
 EMOJIS = (
@@ -28,9 +29,13 @@ LABEL_MAP = (("😂", 0), ("😍", 1), ("😭", 2), ("👍", 3), ("❤️", 4))
 TAILS = ("😂😂", "😍", "😂 😍", "🔥", "👍🏽", "👍 x 👍", "😭", "❤️", "")
 
 
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables; those with long texts are read by all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(df) if name in TEXT_TABLES else df
 
 
 def dictionary(spark: SparkSession) -> DataFrame:
@@ -46,7 +51,7 @@ def label_map(spark: SparkSession) -> DataFrame:
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents: ``doc_id, lang, source, pos, line``."""
     return table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line")
+        "doc_id", "lang", "source", exploded(F.split("text", "\n"), with_position=True).alias("pos", "line")
     )
 
 

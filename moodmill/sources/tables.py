@@ -22,6 +22,17 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"), place.alias("_at"))
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread an input that is read by fewer tasks than there are cores.
+
+    A few large row groups would leave most cores idle in the text expressions
+    that follow. An input with splits for all cores is returned as it is, without
+    a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_emoji_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """``emoji, description, is_64``; a later line wins over an earlier one with the same emoji."""
     tail = F.substring_index(strip_whitespace(F.col("line")), "# ", -1)
