@@ -53,11 +53,12 @@ def encode_ids(
     it, ``'unk'`` takes the index of the unknown word, ``'drop'`` leaves it out.
     """
     table = vocabulary.select("token", "idx")
-    steps = sequence_steps(df.select(*keys, tokens), tokens, "token")
+    # A text without tokens keeps one row without position and gets no ids.
+    steps = df.select(*keys, exploded(F.col(tokens), with_position=True).alias("pos", "token"))
     found = lookup(steps, table, "token", "left")
     if oov == "error":
         failed = F.raise_error(F.concat(F.lit("unknown token: "), F.col("token"))).cast("bigint")
-        idx = F.coalesce(F.col("idx"), failed)
+        idx = F.coalesce(F.col("idx"), F.when(F.col("pos").isNotNull(), failed))
     elif oov == "unk":
         row = table.where(F.col("token") == UNKNOWN).first()
         if row is None:
@@ -67,7 +68,7 @@ def encode_ids(
         idx = F.col("idx")
     else:
         raise ValueError(f"unknown oov rule {oov!r}")
-    item = F.when(idx.isNotNull(), F.struct(F.col("pos"), idx.alias("idx")))
+    item = F.when(F.col("pos").isNotNull() & idx.isNotNull(), F.struct(F.col("pos"), idx.alias("idx")))
     # A group is the tokens of one text.
     encoded = found.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     return encoded.select(*keys, F.transform("_items", lambda x: x["idx"]).alias("ids"))
