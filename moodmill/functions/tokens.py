@@ -25,6 +25,8 @@ def find_ngrams(c: Column, n: int) -> Column:
     """
     if n <= 0:
         return F.when(c.isNotNull(), F.expr(NO_STRINGS))
+    if n == 1:
+        return char_split(c)
     return F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 

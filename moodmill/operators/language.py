@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from moodmill.functions.tokens import exploded, find_ngrams
@@ -33,30 +34,50 @@ def char_grams(text: Column, sizes: tuple[int, ...] = GRAM_SIZES) -> Column:
     return F.concat(*[find_ngrams(text, n) for n in sizes])
 
 
-def language_profiles(
-    df: DataFrame,
-    text: str = "text",
-    lang: str = "lang",
-    sizes: tuple[int, ...] = GRAM_SIZES,
-    top: int = TOP_GRAMS,
+def gram_counts(
+    df: DataFrame, text: str = "text", lang: str = "lang", sizes: tuple[int, ...] = GRAM_SIZES
 ) -> DataFrame:
-    """The ``top`` most frequent grams per language: ``lang, gram, n, rank``.
+    """Occurrences of each gram per language: ``lang, gram, n``.
+
+    The text is cut once, into the longest gram at each position (shorter at its
+    end); the shorter grams are prefixes of these and come from the counted ones.
+    """
+    longest = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{max(sizes)}}}))."), F.lit(1))
+    cuts = df.select(F.col(lang).alias("lang"), exploded(longest).alias("cut"))
+    counted = cuts.where(F.col("cut").isNotNull()).groupBy("lang", "cut").agg(F.count("*").alias("n"))
+    prefixes = counted.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
+    return (
+        prefixes.where(F.length("cut") >= F.col("size"))
+        .groupBy("lang", F.substring(F.col("cut"), F.lit(1), F.col("size")).alias("gram"))
+        .agg(F.sum("n").alias("n"))
+    )
+
+
+def _leaders(counts: DataFrame, top: int) -> DataFrame:
+    """The ``top`` grams of each language: ``lang, gram, n, rank``.
 
     Ranked twice: first within hash parts of a language, so that one task never
     sorts all grams of a frequent language, then among the leaders of the parts.
     """
-    grams = df.select(F.col(lang).alias("lang"), exploded(char_grams(F.col(text), sizes)).alias("gram"))
-    counts = grams.where(F.col("gram").isNotNull()).groupBy("lang", "gram").agg(F.count("*").alias("n"))
     order = [F.desc("n"), F.asc("gram")]
-    part = F.pmod(F.xxhash64("gram"), F.lit(_SALTS))
-    leaders = counts.withColumn("_part", part)
-    leaders = leaders.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))
-    ).where(F.col("_rank") <= top)
-    ranked = leaders.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    parts = counts.withColumn("_part", F.pmod(F.xxhash64("gram"), F.lit(_SALTS)))
+    within = F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))
+    best = parts.withColumn("_rank", within).where(F.col("_rank") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     return ranked.where(F.col("rank") <= top).select("lang", "gram", "n", "rank")
 
 
+def language_profiles(
+    df: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    sizes: tuple[int, ...] = GRAM_SIZES,
+    top: int = TOP_GRAMS,
+) -> DataFrame:
+    """The ``top`` most frequent grams per language: ``lang, gram, n, rank``."""
+    return _leaders(gram_counts(df, text, lang, sizes), top)
+
+
 def language_fit(
     df: DataFrame,
     text: str = "text",
@@ -64,24 +85,37 @@ def language_fit(
     sizes: tuple[int, ...] = GRAM_SIZES,
     top: int = TOP_GRAMS,
 ) -> LanguageModel:
-    """Fit a multinomial model with add-one smoothing over the profile grams."""
-    profiles = durable(language_profiles(df, text, lang, sizes, top), "profiles")
-    languages = [r.lang for r in profiles.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
+    """Fit a multinomial model with add-one smoothing over the profile grams.
+
+    The texts are read once to count grams. The learner then gets one row per
+    language, the mean text of the language weighted by its number of texts,
+    which gives the same model as one row per text.
+    """
+    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    texts = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("texts"))
+    texts = {r.lang: r.texts for r in texts.limit(MAX_LANGUAGES + 1).collect()}
+    if len(texts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; is {lang!r} a language column?")
-    # At most languages x top strings.
-    vocabulary = [r.gram for r in profiles.select("gram").distinct().orderBy("gram").collect()]
-    vectorizer = CountVectorizerModel.from_vocabulary(
-        vocabulary, inputCol="_grams", outputCol="_features", minTF=1.0
-    )
-    index = F.array_position(F.lit(languages), F.col(lang)) - 1
-    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        index.cast("double").alias("_label"), char_grams(F.col(text), sizes).alias("_grams")
+    languages = sorted(texts)
+    counts = durable(gram_counts(labelled, text, lang, sizes), "grams")
+    # From here on all sizes are bounded by languages x languages x top.
+    grams = durable(_leaders(counts, top).select("gram").distinct(), "vocabulary")
+    vocabulary = sorted(r.gram for r in grams.collect())
+    vectorizer = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_grams", outputCol="_features", minTF=1.0)
+    names = F.from_json(F.lit(json.dumps(languages)), "array<string>")
+    documents = F.from_json(F.lit(json.dumps(texts)), "map<string,bigint>")
+    cells = grams.select("gram", F.explode(names).alias("lang")).join(counts, ["lang", "gram"], "left")
+    filled = cells.groupBy("lang").agg(
+        F.array_sort(F.collect_list(F.struct("gram", F.coalesce("n", F.lit(0)).alias("n")))).alias("_cells"),
+    ).withColumn("weight", F.try_element_at(documents, F.col("lang")).cast("double"))
+    rows = filled.select(
+        (F.array_position(names, F.col("lang")) - 1).cast("double").alias("label"), "weight",
+        array_to_vector(F.transform("_cells", lambda c: c["n"] / F.col("weight"))).alias("_features"),
     )
     bayes = NaiveBayes(
-        featuresCol="_features", labelCol="_label", smoothing=1.0, modelType="multinomial",
+        featuresCol="_features", labelCol="label", weightCol="weight", smoothing=1.0, modelType="multinomial",
         predictionCol="_prediction", probabilityCol="_probability", rawPredictionCol="_raw",
-    ).fit(vectorizer.transform(labelled))
+    ).fit(rows)
     return LanguageModel(vectorizer, bayes, tuple(languages), tuple(sizes))
 
 

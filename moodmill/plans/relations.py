@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from moodmill.functions.text import process_tweets
 from moodmill.functions.tokens import exploded, plain_text_split
 from moodmill.operators.vocabulary import build_vocabulary
 from moodmill.session import durable, scratch_path
@@ -26,6 +27,7 @@ EMOJIS = (
     ("👍🏽", False),
 )
 LABEL_MAP = (("😂", 0), ("😍", 1), ("😭", 2), ("👍", 3), ("❤️", 4))
+ARCHIVE_PARTS = 16
 TAILS = ("😂😂", "😍", "😂 😍", "🔥", "👍🏽", "👍 x 👍", "😭", "❤️", "")
 
 
@@ -79,9 +81,12 @@ def archive(spark: SparkSession, sf_dir: str) -> str:
     """The tweets as compressed JSON lines, one folder per source; returns the path.
 
     The length of a text also decides which records lack the text, hold a null or
-    are cut off, and after which a blank line follows.
+    are cut off, and after which a blank line follows. Texts of a source that are
+    equal when cleaned share a file, so that duplicates per file are those per
+    source, though a source may have several files.
     """
-    rows = tweets(spark, sf_dir)
+    part = F.pmod(F.xxhash64(process_tweets(F.col("text"))), F.lit(ARCHIVE_PARTS))
+    rows = tweets(spark, sf_dir).repartition(F.col("source_file"), part)
     kind = F.length("text") % 13
     record = (
         F.when(kind == 0, F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit("}")))
