@@ -34,14 +34,16 @@ def classifier_fit(
 ) -> MultilayerPerceptronClassificationModel:
     """Fit a multilayer perceptron with cross-entropy loss on ``vector, target``.
 
-    The features are written once, since each iteration reads them.
+    The learner keeps its own copy of the rows for its iterations.
     """
-    rows = durable(features.select(F.col(target).cast("double").alias("label"), F.col(vector).alias("v")), "features")
+    rows = features.select(
+        F.col(target).cast("double").alias("label"), array_to_vector(F.col(vector)).alias("_features")
+    )
     learner = MultilayerPerceptronClassifier(
         layers=[dim, *sizes], featuresCol="_features", labelCol="label", maxIter=max_iter, seed=seed,
         predictionCol="_prediction", probabilityCol="_probability", rawPredictionCol="_raw",
     )
-    return learner.fit(rows.select("label", array_to_vector("v").alias("_features")))
+    return learner.fit(rows)
 
 
 def classifier_predict(
@@ -59,9 +61,10 @@ def classifier_fit_multi_head(
 ) -> MultiHeadModel:
     """Fit one binary classifier per head on that head's vectors ``(head, vector, target)``.
 
-    Head ``h`` tells class ``h`` from the rest.
+    Head ``h`` tells class ``h`` from the rest. The features are written once by
+    head, so that each fit reads its own part only.
     """
-    rows = durable(features.select("head", "vector", F.col(target).alias("t")), "heads")
+    rows = durable(features.select("vector", F.col(target).alias("t"), "head"), "heads", partition_by="head")
     coefficients, intercepts = [], []
     for head in range(heads):
         learner = LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=max_iter, regParam=1e-4)

@@ -102,6 +102,7 @@ TWEETS = LINES + f""", tweets AS (
     CASE WHEN length(line) % 4 = 0 THEN ' http://t.co/x1 #tag' ELSE '' END,
     CASE WHEN length(line) % 6 = 0 THEN ' a &amp; b' ELSE ' ' END,
     ({_TAILS})[length(line) % {len(TAILS)} + 1]) AS text FROM lines)"""
+JUNK = "(contains(text, '$$$') OR contains(text, '%%%') OR contains(text, '&&&'))"
 CLEANED = TWEETS + f""", cleaned AS MATERIALIZED (
   SELECT doc_id, pos, lang, source_file, {b10('text')} AS text FROM tweets)"""
 DICTIONARY = "dict(emoji, is_64) AS (VALUES " + ", ".join(f"('{e}', {str(s).lower()})" for e, s in EMOJIS) + ")"
@@ -259,15 +260,16 @@ def _bodies() -> dict[str, str]:
     by_turn = "conv_id, turn"
     sql = {
         "a1_read_tweets": _with(
-            TWEETS, "SELECT source_file, text FROM tweets WHERE length(text) % 13 NOT IN (0, 1, 2)"
+            TWEETS, f"SELECT source_file, text FROM tweets WHERE NOT {JUNK}"
         ),
         "a2_split_bad_records": _with(TWEETS, """SELECT source_file,
-  CASE length(text) % 13 WHEN 1 THEN '{"text": null}' ELSE '{"text": "' || doc_id END AS raw,
-  CASE length(text) % 13 WHEN 1 THEN 'null_text' ELSE 'invalid_json' END AS reason
-  FROM tweets WHERE length(text) % 13 IN (1, 2)"""),
+  CASE WHEN contains(text, '%%%') THEN '{"text": null}' ELSE '{"text": "' || doc_id END AS raw,
+  CASE WHEN contains(text, '%%%') THEN 'null_text' ELSE 'invalid_json' END AS reason
+  FROM tweets WHERE NOT contains(text, '$$$') AND (contains(text, '%%%') OR contains(text, '&&&'))"""),
         "a3_read_emoji_dictionary": """SELECT emoji, description, suffix(description, ' 64') AS is_64 FROM (
-  SELECT source || '/' || lang AS emoji, 'entry of ' || arg_max(doc_id || CASE WHEN n_chars % 3 = 0 THEN ' 64' ELSE ''
-    END, doc_id) AS description FROM documents WHERE n_chars % 5 IN (3, 4) GROUP BY source, lang)""",
+  SELECT source || '/' || lang AS emoji, 'entry of ' || arg_max(doc_id || CASE WHEN contains(text, '!!') THEN ' 64' ELSE ''
+    END, doc_id) AS description FROM documents
+  WHERE NOT (contains(text, '$$$') OR contains(text, '%%%') OR contains(text, '&&&')) GROUP BY source, lang)""",
         "a4_write_prepared": _with(
             TWEETS + ", " + DICTIONARY + f""", labels AS (
   SELECT doc_id, pos, min(struct_pack(n := -{occurrences('text', 'emoji')}, emoji := emoji)) AS top
@@ -446,8 +448,7 @@ def _bodies() -> dict[str, str]:
   FROM events)""",
     }
     # Texts are compared after cleaning, so the same text of two sources stays twice.
-    kinds = "length(text) % 13 NOT IN (0, 1, 2)"
-    narrowed = CLEANED.replace("FROM tweets)", f"FROM tweets WHERE {kinds})", 1)
+    narrowed = CLEANED.replace("FROM tweets)", f"FROM tweets WHERE NOT {JUNK})", 1)
     sql["a5_prepare_incremental"] = _with(
         LABELLED.replace(CLEANED, narrowed, 1), "SELECT text, class, count FROM labelled"
     )

@@ -78,17 +78,16 @@ def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("a3_read_emoji_dictionary")
 def a3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mark = F.when(F.col("n_chars") % 3 == 0, " 64").otherwise("")
+    mark = F.when(F.contains("text", F.lit("!!")), " 64").otherwise("")
     number = F.col("doc_id").cast("string")
     entry = F.concat(
         F.lit("1F600 ; fully-qualified # "), "lang", F.lit("-"), "source", F.lit(" entry # "), "source", F.lit("/"),
         "lang", F.lit(" entry of "), number, mark,
     )
-    kind = F.col("n_chars") % 5
     line = (
-        F.when(kind == 0, F.concat(F.lit("# comment "), number))
-        .when(kind == 1, F.concat(F.lit("0023 ; x # "), "lang", F.lit(" not used")))
-        .when(kind == 2, "")
+        F.when(F.contains("text", F.lit("$$$")), F.concat(F.lit("# comment "), number))
+        .when(F.contains("text", F.lit("%%%")), F.concat(F.lit("0023 ; x # "), "lang", F.lit(" not used")))
+        .when(F.contains("text", F.lit("&&&")), "")
         .otherwise(entry)
     )
     path = scratch_path(spark, "dictionary")
@@ -526,7 +525,7 @@ def i2(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = HEADS[:2]
     keys = ["conv_id", "turn", "role"]
     pooled = pooling.pool_attention_multi(_conversation_steps(spark, sf_dir), keys, heads, DIM)
-    rows = durable(pooled.withColumn("target", (F.col("role") == "assistant").cast("int")), "head-features")
+    rows = pooled.withColumn("target", (F.col("role") == "assistant").cast("int"))
     model = classifier.classifier_fit_multi_head(rows, len(heads), max_iter=20)
     out = classifier.classifier_predict_multi_head(model, rows, ["conv_id", "turn", "target"])
     return out.select("conv_id", "turn", "target", "prediction")

@@ -80,19 +80,22 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive(spark: SparkSession, sf_dir: str) -> str:
     """The tweets as compressed JSON lines, one folder per source; returns the path.
 
-    The length of a text also decides which records lack the text, hold a null or
-    are cut off, and after which a blank line follows. Texts of a source that are
-    equal when cleaned share a file, so that duplicates per file are those per
-    source, though a source may have several files.
+    Junk in a text decides which records lack the text, hold a null or are cut
+    off, and after which a blank line follows. Texts of a source that are equal
+    when cleaned share a file, so that duplicates per file are those per source,
+    though a source may have several files.
     """
     part = F.pmod(F.xxhash64(process_tweets(F.col("text"))), F.lit(ARCHIVE_PARTS))
     rows = tweets(spark, sf_dir).repartition(F.col("source_file"), part)
-    kind = F.length("text") % 13
+
+    def has(junk: str) -> Column:
+        return F.contains("text", F.lit(junk))
+
     record = (
-        F.when(kind == 0, F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit("}")))
-        .when(kind == 1, F.lit('{"text": null}'))
-        .when(kind == 2, F.concat(F.lit('{"text": "'), F.col("doc_id").cast("string")))
-        .when(kind == 3, F.concat(F.to_json(F.struct("text")), F.lit("\n")))
+        F.when(has("$$$"), F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit("}")))
+        .when(has("%%%"), F.lit('{"text": null}'))
+        .when(has("&&&"), F.concat(F.lit('{"text": "'), F.col("doc_id").cast("string")))
+        .when(has("!!"), F.concat(F.to_json(F.struct("text")), F.lit("\n")))
         .otherwise(F.to_json(F.struct("text")))
     )
     path = scratch_path(spark, "archive")

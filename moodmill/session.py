@@ -47,12 +47,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, label: str = "table") -> DataFrame:
+def durable(df: DataFrame, label: str = "table", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
+    With ``partition_by`` a reader of one value of that column reads only its files.
+
     Cuts the lineage: what is read afterwards stays the same when executors are
     lost, and the reader knows the size of the table, which joins rely on.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

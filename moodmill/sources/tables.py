@@ -11,6 +11,8 @@ from moodmill.operators.vocabulary import PAD_WORD, UNKNOWN
 ENTRY_LINE = "^[12]"
 LABEL_MARK = " 64"
 
+LANGUAGE_PARTS = 32
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with ``_at``, which orders them as they stand in the files."""
@@ -59,10 +61,15 @@ def read_lines(spark: SparkSession, path: str, n: int = -1) -> DataFrame:
 def write_prepared(df: DataFrame, path: str, max_records: int = 5_000_000, mode: str = "error") -> None:
     """Write prepared rows as Parquet, one folder per language.
 
-    The rebalance hint gathers a language into few files and splits a frequent one
-    over many tasks.
+    Adaptive execution gathers a language into few files and splits a frequent one
+    over many tasks. Where it is off, as in streaming, each language is spread over
+    a fixed number of parts.
     """
-    spread = df.hint("rebalance", "lang")
+    if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        spread = df.hint("rebalance", "lang")
+    else:
+        part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(LANGUAGE_PARTS))
+        spread = df.repartition(F.col("lang"), part)
     spread.write.partitionBy("lang").option("maxRecordsPerFile", max_records).mode(mode).parquet(path)
 
 
