@@ -12,13 +12,13 @@ START_SCORE = 100000.0
 
 
 def _loss(logits: Column, target: Column) -> Column:
-    return log_sum_exp(logits) - F.get(logits, target).cast("double")
+    return log_sum_exp(logits) - F.element_at(logits, target + 1).cast("double")
 
 
 def _in_top(logits: Column, target: Column, k: int) -> Column:
-    own = F.get(logits, target)
+    own = F.element_at(logits, target + 1)
     above = F.filter(logits, lambda x, i: (x > own) | ((x == own) & (i < target)))
-    return F.size(above) < k
+    return own.isNotNull() & (F.size(above) < k)
 
 
 def cross_entropy(df: DataFrame, logits: str = "logits", target: str = "target") -> DataFrame:

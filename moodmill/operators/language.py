@@ -10,7 +10,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from moodmill.functions.tokens import exploded, find_ngrams
+from moodmill.functions.tokens import NO_STRINGS, exploded, find_ngrams
 from moodmill.session import durable
 
 GRAM_SIZES = (1, 2, 3)
@@ -124,9 +124,8 @@ def language_predict(df: DataFrame, model: LanguageModel, text: str = "text") ->
 
     A projection: neither a join nor a shuffle. Ties go to the lowest language code.
     """
-    scored = model.bayes.transform(
-        model.vectorizer.transform(df.withColumn("_grams", char_grams(F.col(text), model.sizes)))
-    )
+    grams = F.coalesce(char_grams(F.col(text), model.sizes), F.expr(NO_STRINGS))
+    scored = model.bayes.transform(model.vectorizer.transform(df.withColumn("_grams", grams)))
     known = F.length(text) >= min(model.sizes)
     index = F.col("_prediction").cast("int")
     return scored.select(

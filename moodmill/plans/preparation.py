@@ -27,7 +27,7 @@ def labelled_tweets(
     # The one-element explode has each text cleaned once.
     cleaned = raw.select("source_file", F.explode(F.array(process_tweets(F.col("text")))).alias("text"))
     kept = emoji_verdict(cleaned, d, config).where(F.col("reject_reason").isNull())
-    return dedup(kept.select("source_file", "text", "class", "count"), scope)
+    return dedup(kept.select("source_file", "text", "class", "count"), scope, dependent=("class", "count"))
 
 
 def prepare(

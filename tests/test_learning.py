@@ -18,9 +18,9 @@ def test_language(spark):
     labelled = spark.createDataFrame(LABELLED, "text string, lang string")
     model = language_fit(labelled)
     assert model.languages == ("en", "fr")
-    asked = spark.createDataFrame([(1, "the mat"), (2, "une phrase est"), (3, ""), (4, "☃")], "id int, text string")
+    asked = spark.createDataFrame([(1, "the mat"), (2, "une phrase est"), (3, ""), (4, "☃"), (5, None)], "id int, text string")
     rows = language_predict(asked, model).orderBy("id").collect()
-    assert [r.lang for r in rows] == ["en", "fr", "none", "en"]
+    assert [r.lang for r in rows] == ["en", "fr", "none", "en", "none"]
     assert rows[2].prob == 0.0 and rows[3].prob == pytest.approx(0.5) and all(0.5 < r.prob <= 1 for r in rows[:2])
     plan = language_predict(asked, model)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan
@@ -46,6 +46,8 @@ def test_dedup_scopes_and_union(spark):
     df = spark.createDataFrame([("f1", "a"), ("f1", "a"), ("f2", "a")], "source_file string, text string")
     assert sorted(map(tuple, dedup.dedup(df).collect())) == [("f1", "a"), ("f2", "a")]
     assert [tuple(r) for r in dedup.dedup(df, "all").collect()] == [("a",)]
+    tagged = df.withColumn("id", F.monotonically_increasing_id())
+    assert dedup.dedup(tagged).count() == 2 and dedup.dedup(tagged).columns == ["source_file", "text", "id"]
     assert dedup.combine_batches([df, df.select("text", "source_file")]).count() == 6
     with pytest.raises(ValueError):
         dedup.dedup(df, "none")
@@ -60,6 +62,8 @@ def test_loss_and_accuracy(spark):
     row = evaluation.cross_entropy(df).first()
     assert row.loss == pytest.approx(sum(loss) / 4) and row.n == 4
     assert tuple(evaluation.topk_accuracy(df, (1, 2, 3, 4)).first()) == (25.0, 50.0, 75.0, 100.0)
+    with pytest.raises(Exception, match="INVALID_ARRAY_INDEX|out of bounds"):
+        evaluation.cross_entropy(df.withColumn("target", F.lit(4))).collect()
     both = evaluation.batch_metrics(df.withColumn("b", F.lit(1)), ["b"]).first()
     assert (both.top1, both.top3, both.n) == (25.0, 75.0, 4) and both.loss == pytest.approx(row.loss)
 
