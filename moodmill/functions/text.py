@@ -61,7 +61,8 @@ def space_punctuation(c: Column, remove: bool = True, max_smile_len: int = 4) ->
     least) and surrounded by spaces, which keeps smileys as tokens.
     """
     if remove:
-        return trim_string(F.regexp_replace(c, f"[{PUNCTUATION}]", " "))
+        # A run of punctuation and whitespace ends as one space; one pass does both.
+        return F.trim(F.regexp_replace(c, rf"(?U)[{PUNCTUATION}{SPACE}]+", " "))
     keep = max(1, max_smile_len)
     run = f"([{PUNCTUATION}]{{1,{keep}}})[{PUNCTUATION}]*"
     return trim_string(F.regexp_replace(c, run, " $1 "))
