@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, functions as F
 
+MAX_AGGREGATES = 256
+
 
 def dot(c: Column, weights: list[float] | Column) -> Column:
     """Inner product of an array column with fixed weights or another array column."""
@@ -44,8 +48,16 @@ def per_dimension(aggregate: Callable[[Column], Column], c: Column, dim: int) ->
     return F.array(*[aggregate(F.get(c, F.lit(i)).cast("double")) for i in range(dim)])
 
 
-def mean_vector(c: Column, dim: int, weight: Column | None = None) -> Column:
-    """Mean of the vectors of a group, weighted if there is a ``weight``."""
+def mean_vector(c: Column, dim: int, weight: Column | None = None, vectors: int = 1) -> Column:
+    """Mean of the vectors of a group, weighted if there is a ``weight``.
+
+    ``vectors`` is the number of such means in the same aggregation. With more than
+    ``MAX_AGGREGATES`` numbers in all, plans and generated code would grow too
+    large, and whole vectors are aggregated instead.
+    """
+    if vectors * dim > MAX_AGGREGATES:
+        whole = array_to_vector(c.cast("array<double>"))
+        return vector_to_array(Summarizer.mean(whole, F.lit(1.0) if weight is None else weight))
     if weight is None:
         n = F.count(c)
         return per_dimension(lambda v: F.try_divide(F.sum(v), n), c, dim)
@@ -55,4 +67,6 @@ def mean_vector(c: Column, dim: int, weight: Column | None = None) -> Column:
 
 def max_vector(c: Column, dim: int) -> Column:
     """Elementwise maximum of the vectors of a group."""
+    if dim > MAX_AGGREGATES:
+        return vector_to_array(Summarizer.max(array_to_vector(c.cast("array<double>"))))
     return per_dimension(F.max, c, dim)

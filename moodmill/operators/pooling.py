@@ -58,7 +58,7 @@ def pool_attention_multi(
         *keys, "vector", *[F.exp(F.col(f"_score_{h}") - shifts[h]).alias(f"_weight_{h}") for h in heads]
     )
     pooled = weighted.groupBy(*keys).agg(
-        *[mean_vector(F.col("vector"), dim, F.col(f"_weight_{h}")).alias(f"_head_{h}") for h in heads]
+        *[mean_vector(F.col("vector"), dim, F.col(f"_weight_{h}"), len(weights)).alias(f"_head_{h}") for h in heads]
     )
     stacked = F.array(*[F.col(f"_head_{h}") for h in heads])
     return pooled.select(*keys, F.posexplode(stacked).alias("head", "vector"))

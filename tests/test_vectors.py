@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from moodmill.functions import vectors
 from moodmill.functions.vectors import dot, log_sum_exp
 from moodmill.operators import embeddings, pooling, vocabulary
 from moodmill.plans.training import FeatureConfig, encode_samples, text_features, word_samples
@@ -111,13 +112,19 @@ def sequences(spark):
     return rows, spark.createDataFrame(rows, "doc int, pos int, seq_len int, vector array<double>")
 
 
+@pytest.fixture(params=["per dimension", "whole vectors"])
+def way(request, monkeypatch):
+    if request.param == "whole vectors":
+        monkeypatch.setattr(vectors, "MAX_AGGREGATES", 1)
+
+
 def groups(rows, kept):
     for doc in range(9):
         yield doc, [r[3] for r in rows if r[0] == doc and (not kept or r[1] < r[2])]
 
 
 @pytest.mark.parametrize("padding", [True, False])
-def test_mean_and_max(sequences, padding):
+def test_mean_and_max(sequences, way, padding):
     rows, df = sequences
     mean = {r.doc: r.vector for r in pooling.pool_mean(df, ["doc"], DIM, padding).collect()}
     top = {r.doc: r.vector for r in pooling.pool_max(df, ["doc"], DIM, padding).collect()}
@@ -127,7 +134,7 @@ def test_mean_and_max(sequences, padding):
 
 
 @pytest.mark.parametrize("kind, scale", [("tanh", 1.0), ("relu", 1.0), ("relu", 1000.0)])
-def test_attention(sequences, kind, scale):
+def test_attention(sequences, way, kind, scale):
     rows, df = sequences
     heads = [[0.5] * DIM, [scale, 0.0, 0.0, 0.0]]
     got = {(r.doc, r.head): r.vector for r in pooling.pool_attention_multi(df, ["doc"], heads, DIM, kind).collect()}
