@@ -6,17 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from moodmill.llm import decontaminate, mixing, quality, sharding, simhash
+from moodmill.llm import chunk_dedup, decontaminate, line_dedup, mixing, quality, sharding, simhash
 from moodmill.llm.common import durable, given
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(given(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixture(given(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunk_dedup.repeated_passages(given(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("start").alias("start_word"), F.col("stop").alias("stop_word"),
+                        F.col("first").alias("first_doc_id"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = given(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     scored = durable(quality.with_ratios(quality.text_counts(docs)).drop("text"), "quality")
@@ -53,7 +66,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
+    "op4_chunk_dedup": op4_chunk_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
     "op8_decontamination": op8_decontamination,
