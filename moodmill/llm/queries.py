@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from moodmill.llm import chunk_dedup, decontaminate, line_dedup, mixing, quality, sharding, simhash
+from moodmill.llm import chunk_dedup, decontaminate, line_dedup, mixing, quality, sharding, simhash, token_store, toxicity
 from moodmill.llm.common import durable, given
+from moodmill.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +47,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        token_store.write_store(given(spark, sf_dir, "documents"), path, file.read())
+    return token_store.read_store(spark, path, with_ids=False).select(
+        "doc_id", "start", "n_tokens", "ids_crc32", "row"
+    )
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
     joined = F.concat_ws(",", F.array_sort("items"))
@@ -65,14 +76,25 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = given(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, given(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op4_chunk_dedup": op4_chunk_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
+    "op7_token_store": op7_token_store,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
