@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from moodmill.llm.common import WHITESPACE, durable
 
-FALSE_REJECTION = 0.01
+FALSE_REJECTION = 0.02
 LEVEL = 0.05
 STEPS = 100
 MIN_WORDS = 50

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from moodmill.llm import chunk_dedup, decontaminate, line_dedup, mixing, quality, sharding, simhash, token_store, toxicity
+from moodmill.llm import chunk_dedup, decontaminate, line_dedup, mixing, quality, sharding, simhash, token_store, toxicity, url_filter
 from moodmill.llm.common import durable, given
 from moodmill.session import scratch_path
 
@@ -26,6 +26,15 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = given(spark, sf_dir, "pages").select("page_id", "url")
+    # The labels of the same number stand for the page: low quality is unwanted.
+    labels = given(spark, sf_dir, "labels").where(F.col("quality").isNotNull())
+    wanted = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max("quality").alias("quality"))
+    labelled = pages.join(wanted, "page_id").select("url", (F.col("quality") == 0).alias("unwanted"))
+    return url_filter.judged_urls(pages, labelled).select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunk_dedup.repeated_passages(given(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("start").alias("start_word"), F.col("stop").alias("stop_word"),
@@ -38,7 +47,6 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cutoffs = durable(quality.certified_cutoffs(scored, given(spark, sf_dir, "labels")), "cutoffs")
     return quality.judged(scored, cutoffs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        *quality.RATIOS,
     )
 
 
@@ -61,7 +69,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = F.concat_ws(",", F.array_sort("items"))
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(joined, 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"), "spans",
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
@@ -88,6 +96,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
+    "op3_url_filter": op3_url_filter,
     "op4_chunk_dedup": op4_chunk_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
@@ -95,6 +104,4 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
-}
-
-ORACLE_SQL: dict[str, str] = {}
+}
\ No newline at end of file
