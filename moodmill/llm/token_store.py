@@ -232,7 +232,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, key: str = "doc
                 [
                     pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([row], pa.int64()),
                     pa.array([token], pa.int64()), pa.array([dict_hash]),
-                    pa.array([keys[0]], kind), pa.array([keys[-1]], kind), pa.array([keys], pa.list_(kind)),
+                    pa.array([next((k for k in keys if k is not None), None)], kind), pa.array([keys[-1]], kind), pa.array([keys], pa.list_(kind)),
                     pa.array([counts], pa.list_(pa.int64())), pa.array([offsets], pa.list_(pa.int64())),
                     pa.array([b"".join(frames)], pa.binary()),
                 ],
