@@ -48,25 +48,45 @@ def per_dimension(aggregate: Callable[[Column], Column], c: Column, dim: int) ->
     return F.array(*[aggregate(F.get(c, F.lit(i)).cast("double")) for i in range(dim)])
 
 
+def checked(c: Column, dim: int) -> Column:
+    """The vector; an error if it has another size or a null element. A null vector stays null."""
+    right = (F.size(c) == dim) & ~F.exists(c, lambda x: x.isNull())
+    failed = F.raise_error(F.concat(F.lit(f"not a vector of {dim} numbers: "), F.to_json(c)))
+    return F.when(c.isNull() | right, c.cast("array<double>")).otherwise(failed.cast("array<double>"))
+
+
+# A null vector must not count, but an aggregate over whole vectors fails on a group without any weight.
+_NO_WEIGHT = 1e-300
+
+
 def mean_vector(c: Column, dim: int, weight: Column | None = None, vectors: int = 1) -> Column:
-    """Mean of the vectors of a group, weighted if there is a ``weight``.
+    """Mean of the vectors of a group, weighted if there is a ``weight``; null if it has none.
 
-    ``vectors`` is the number of such means in the same aggregation. With more than
-    ``MAX_AGGREGATES`` numbers in all, plans and generated code would grow too
-    large, and whole vectors are aggregated instead.
+    Null vectors are left out; a vector with another size or a null element fails the
+    job. ``vectors`` is the number of such means in the same aggregation. With more than
+    ``MAX_AGGREGATES`` numbers in all, plans and generated code would grow too large,
+    and whole vectors are aggregated instead, with the same results.
     """
+    c = checked(c, dim)
+    own = F.lit(1.0) if weight is None else weight.cast("double")
     if vectors * dim > MAX_AGGREGATES:
-        whole = array_to_vector(c.cast("array<double>"))
-        return vector_to_array(Summarizer.mean(whole, F.lit(1.0) if weight is None else weight))
-    if weight is None:
+        whole = array_to_vector(F.coalesce(c, F.array_repeat(F.lit(0.0), dim)))
+        mean = vector_to_array(Summarizer.mean(whole, F.when(c.isNull(), _NO_WEIGHT).otherwise(own)))
+    elif weight is None:
         n = F.count(c)
-        return per_dimension(lambda v: F.try_divide(F.sum(v), n), c, dim)
-    total = F.sum(weight)
-    return per_dimension(lambda v: F.try_divide(F.sum(weight * v), total), c, dim)
+        mean = per_dimension(lambda v: F.try_divide(F.sum(v), n), c, dim)
+    else:
+        total = F.sum(F.when(c.isNotNull(), own))
+        mean = per_dimension(lambda v: F.try_divide(F.sum(own * v), total), c, dim)
+    return F.when(F.count(c) > 0, mean)
 
 
 def max_vector(c: Column, dim: int) -> Column:
-    """Elementwise maximum of the vectors of a group."""
+    """Elementwise maximum of the vectors of a group, by the rules of ``mean_vector``."""
+    c = checked(c, dim)
     if dim > MAX_AGGREGATES:
-        return vector_to_array(Summarizer.max(array_to_vector(c.cast("array<double>"))))
-    return per_dimension(F.max, c, dim)
+        whole = array_to_vector(F.coalesce(c, F.array_repeat(F.lit(float("-inf")), dim)))
+        top = vector_to_array(Summarizer.max(whole))
+    else:
+        top = per_dimension(F.max, c, dim)
+    return F.when(F.count(c) > 0, top)

@@ -61,9 +61,9 @@ class EmojiDictionary:
         """Prepare a dictionary for reuse in several operators."""
         if isinstance(source, EmojiDictionary):
             return source
-        frame = source.where(F.length("emoji") > 0).select(
-            "emoji", "is_64", _key_point(F.col("emoji")).alias("_point")
-        )
+        # An entry that stands twice is one entry, of the label set if any of them is.
+        entries = source.where(F.length("emoji") > 0).groupBy("emoji").agg(F.bool_or("is_64").alias("is_64"))
+        frame = entries.select("emoji", "is_64", _key_point(F.col("emoji")).alias("_point"))
         rows = frame.limit(CONSTANT_ENTRIES + 1).collect()
         if len(rows) > CONSTANT_ENTRIES:
             return EmojiDictionary(frame, None)

@@ -68,11 +68,11 @@ def weighted_average(
 
 
 def running_average(
-    df: DataFrame, keys: list[str], value: str = "value", n: str = "n", batch: str = "batch", **options: int
+    df: DataFrame, keys: list[str], value: str = "value", n: str = "n", batch: str = "batch"
 ) -> DataFrame:
     """Add ``avg``: the weighted mean of the group up to and with each batch."""
     scanned = prefix_scan(
-        df, keys, batch, {"_sum": ("sum", F.col(value) * F.col(n)), "_count": ("sum", F.col(n))}, **options
+        df, keys, batch, {"_sum": ("sum", F.col(value) * F.col(n)), "_count": ("sum", F.col(n))}
     )
     return scanned.withColumn("avg", F.try_divide("_sum", "_count")).drop("_sum", "_count")
 
@@ -94,10 +94,10 @@ def epoch_summary(
 
 def best_epochs(
     df: DataFrame, keys: list[str], value: str = "val_loss", epoch: str = "epoch",
-    start: float = START_SCORE, **options: int,
+    start: float = START_SCORE,
 ) -> DataFrame:
     """Add ``best_score``, the smallest value so far, and ``is_best``, whether the epoch set it."""
-    scanned = prefix_scan(df, keys, epoch, {"_before": ("min", F.col(value))}, inclusive=False, **options)
+    scanned = prefix_scan(df, keys, epoch, {"_before": ("min", F.col(value))}, inclusive=False)
     before = F.least(F.col("_before"), F.lit(start))
     return scanned.select(
         *df.columns,

@@ -1,31 +1,35 @@
-"""Language of a text from character n-grams: a fitted model and a narrow prediction."""
+"""Language of a text from character n-grams: a model table over all grams, and its answers."""
 
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from moodmill.functions.tokens import NO_STRINGS, exploded, find_ngrams
+from moodmill.functions.tokens import exploded, find_ngrams
+from moodmill.operators.lookup import lookup
 from moodmill.session import durable
 
 GRAM_SIZES = (1, 2, 3)
-TOP_GRAMS = 400
-MAX_LANGUAGES = 1000
+TOP_GRAMS = 400  # of a profile; the fitted model holds all grams
 _SALTS = 32
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Vocabulary and weights; their size is bounded by languages x grams per language."""
+    """A multinomial model with add-one smoothing over all grams.
 
-    vectorizer: CountVectorizerModel
-    bayes: NaiveBayesModel
+    ``weights`` holds per gram the languages in which it occurs and the logarithm of its
+    count plus one. Per language, ``priors`` is the logarithm of its share of the texts
+    and ``defaults`` that of the weight of a gram it never has.
+    """
+
+    weights: DataFrame
     languages: tuple[str, ...]
+    priors: tuple[float, ...]
+    defaults: tuple[float, ...]
     sizes: tuple[int, ...]
 
 
@@ -34,23 +38,26 @@ def char_grams(text: Column, sizes: tuple[int, ...] = GRAM_SIZES) -> Column:
     return F.concat(*[find_ngrams(text, n) for n in sizes])
 
 
+def _cuts(text: Column, sizes: tuple[int, ...]) -> Column:
+    """The longest gram at each position, shorter at the end of the text: all shorter ones are its prefixes."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{max(sizes)}}}))."), F.lit(1))
+
+
+def _prefixes(cuts: DataFrame, sizes: tuple[int, ...], *keep: str) -> DataFrame:
+    """The grams of the cuts, a row each."""
+    sized = cuts.where(F.col("cut").isNotNull()).withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
+    return sized.where(F.length("cut") >= F.col("size")).select(
+        *keep, F.substring(F.col("cut"), F.lit(1), F.col("size")).alias("gram")
+    )
+
+
 def gram_counts(
     df: DataFrame, text: str = "text", lang: str = "lang", sizes: tuple[int, ...] = GRAM_SIZES
 ) -> DataFrame:
-    """Occurrences of each gram per language: ``lang, gram, n``.
-
-    The text is cut once, into the longest gram at each position (shorter at its
-    end); the shorter grams are prefixes of these and come from the counted ones.
-    """
-    longest = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{max(sizes)}}}))."), F.lit(1))
-    cuts = df.select(F.col(lang).alias("lang"), exploded(longest).alias("cut"))
+    """Occurrences of each gram per language: ``lang, gram, n``. The text is cut once."""
+    cuts = df.select(F.col(lang).alias("lang"), exploded(_cuts(F.col(text), sizes)).alias("cut"))
     counted = cuts.where(F.col("cut").isNotNull()).groupBy("lang", "cut").agg(F.count("*").alias("n"))
-    prefixes = counted.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
-    return (
-        prefixes.where(F.length("cut") >= F.col("size"))
-        .groupBy("lang", F.substring(F.col("cut"), F.lit(1), F.col("size")).alias("gram"))
-        .agg(F.sum("n").alias("n"))
-    )
+    return _prefixes(counted, sizes, "lang", "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _leaders(counts: DataFrame, top: int) -> DataFrame:
@@ -79,57 +86,67 @@ def language_profiles(
 
 
 def language_fit(
-    df: DataFrame,
-    text: str = "text",
-    lang: str = "lang",
-    sizes: tuple[int, ...] = GRAM_SIZES,
-    top: int = TOP_GRAMS,
+    df: DataFrame, text: str = "text", lang: str = "lang", sizes: tuple[int, ...] = GRAM_SIZES
 ) -> LanguageModel:
-    """Fit a multinomial model with add-one smoothing over the profile grams.
+    """Fit the model over all grams of the labelled texts, which are read once to count them.
 
-    The texts are read once to count grams. The learner then gets one row per
-    language, the mean text of the language weighted by its number of texts,
-    which gives the same model as one row per text.
+    The driver sees one row per language. Rows without text or language take no part.
     """
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     texts = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("texts"))
-    texts = {r.lang: r.texts for r in texts.limit(MAX_LANGUAGES + 1).collect()}
-    if len(texts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; is {lang!r} a language column?")
-    languages = sorted(texts)
     counts = durable(gram_counts(labelled, text, lang, sizes), "grams")
-    # From here on all sizes are bounded by languages x languages x top.
-    grams = durable(_leaders(counts, top).select("gram").distinct(), "vocabulary")
-    vocabulary = sorted(r.gram for r in grams.collect())
-    vectorizer = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_grams", outputCol="_features", minTF=1.0)
-    names = F.from_json(F.lit(json.dumps(languages)), "array<string>")
-    documents = F.from_json(F.lit(json.dumps(texts)), "map<string,bigint>")
-    cells = grams.select("gram", F.explode(names).alias("lang")).join(counts, ["lang", "gram"], "left")
-    filled = cells.groupBy("lang").agg(
-        F.array_sort(F.collect_list(F.struct("gram", F.coalesce("n", F.lit(0)).alias("n")))).alias("_cells"),
-    ).withColumn("weight", F.try_element_at(documents, F.col("lang")).cast("double"))
-    rows = filled.select(
-        (F.array_position(names, F.col("lang")) - 1).cast("double").alias("label"), "weight",
-        array_to_vector(F.transform("_cells", lambda c: c["n"] / F.col("weight"))).alias("_features"),
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    rows = sorted(texts.join(totals, "lang", "left").fillna(0, ["total"]).collect())
+    all_texts = sum(r.texts for r in rows)
+    held = F.array_sort(F.collect_list(F.struct("lang", F.log(F.col("n") + 1.0).alias("w"))))
+    weights = durable(counts.groupBy("gram").agg(held.alias("held")), "language-model")
+    grams = weights.count()
+    return LanguageModel(
+        weights,
+        tuple(r.lang for r in rows),
+        tuple(math.log((r.texts + 1) / (all_texts + len(rows))) for r in rows),
+        tuple(-math.log(max(1, r.total + grams)) for r in rows),
+        tuple(sizes),
     )
-    bayes = NaiveBayes(
-        featuresCol="_features", labelCol="label", weightCol="weight", smoothing=1.0, modelType="multinomial",
-        predictionCol="_prediction", probabilityCol="_probability", rawPredictionCol="_raw",
-    ).fit(rows)
-    return LanguageModel(vectorizer, bayes, tuple(languages), tuple(sizes))
 
 
 def language_predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """Add ``lang, prob``: the most probable language, ``'none'`` and 0 for a text without grams.
+    """Add ``lang, prob``: the most probable language, ``'none'`` and 0 for a text without any gram of the model.
 
-    A projection: neither a join nor a shuffle. Ties go to the lowest language code.
+    Each distinct text is cut once and its grams meet the table of the model, which
+    ``lookup`` broadcasts if it is small. Partial sums leave a row per text and language
+    before the shuffle. Ties go to the lowest language code.
     """
-    grams = F.coalesce(char_grams(F.col(text), model.sizes), F.expr(NO_STRINGS))
-    scored = model.bayes.transform(model.vectorizer.transform(df.withColumn("_grams", grams)))
-    known = F.length(text) >= min(model.sizes)
-    index = F.col("_prediction").cast("int")
-    return scored.select(
-        *df.columns,
-        F.when(known, F.get(F.lit(list(model.languages)), index)).otherwise("none").alias("lang"),
-        F.when(known, F.get(vector_to_array("_probability"), index)).otherwise(0.0).alias("prob"),
+    # Two hashes stand for a text, so that long texts are not dragged through the joins.
+    key = [F.xxhash64(F.col(text)).alias("_h"), F.xxhash64(F.lit(1), F.col(text)).alias("_i")]
+    asked = df.select(F.col(text).alias("_asked"), *key).where(F.col("_asked").isNotNull()).distinct()
+    cuts = asked.select("_h", "_i", exploded(_cuts(F.col("_asked"), model.sizes)).alias("cut"))
+    met = lookup(_prefixes(cuts, model.sizes, "_h", "_i"), model.weights, "gram", "inner")
+    # The entry without a language counts the known grams.
+    entries = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(1.0).alias("w"))), F.col("held"))
+    sums = met.select("_h", "_i", F.inline(entries)).groupBy("_h", "_i", "lang").agg(F.sum("w").alias("s"))
+    known = F.sum(F.when(F.col("lang").isNull(), F.col("s"))).alias("_n")
+    gathered = sums.groupBy("_h", "_i").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "s")))).alias("_held"), known
+    )
+    table = F.from_json(
+        F.lit(json.dumps([{"l": a, "p": b, "d": c} for a, b, c in zip(model.languages, model.priors, model.defaults)])),
+        "array<struct<l:string,p:double,d:double>>",
+    )
+    scores = F.transform(
+        table,
+        lambda t: F.struct((t["p"] + t["d"] * F.col("_n") + F.coalesce(F.try_element_at("_held", t["l"]), F.lit(0.0))).alias("s"), t["l"].alias("l")),
+    )
+    top = F.array_max(F.transform("_scores", lambda x: x["s"]))
+    best = F.array_min(F.transform("_scores", lambda x: F.struct((-x["s"]).alias("s"), x["l"].alias("l"))))["l"]
+    rest = F.aggregate("_scores", F.lit(0.0), lambda a, x: a + F.exp(x["s"] - F.col("_top")))
+    answers = (
+        gathered.withColumn("_scores", scores).withColumn("_top", top)
+        .select(F.col("_h").alias("_ah"), F.col("_i").alias("_ai"), best.alias("_lang"), (1 / rest).alias("_prob"))
+    )
+    joined = df.select("*", *key).join(answers, (F.col("_h") == F.col("_ah")) & (F.col("_i") == F.col("_ai")), "left")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.coalesce("_lang", F.lit("none")).alias("lang"),
+        F.coalesce("_prob", F.lit(0.0)).alias("prob"),
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from moodmill.session import durable
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 0.001
 SALTS = 64
@@ -26,11 +28,10 @@ def table_bytes(table: DataFrame) -> int:
 
 def hot_keys(facts: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """Keys that hold at least ``share`` of the rows: ``1/share`` of them at most."""
-    counts = facts.groupBy(key).agg(F.count("*").alias("n")).persist()
+    counts = durable(facts.groupBy(key).agg(F.count("*").alias("n")), "key-counts")
     total = counts.agg(F.sum("n").alias("n")).first().n or 0
     least = max(2, int(total * share))
     found = [r[0] for r in counts.where((F.col("n") >= least) & F.col(key).isNotNull()).collect()]
-    counts.unpersist()
     return found
 
 
@@ -48,17 +49,15 @@ def lookup(
     A table whose measured size is within ``max_bytes`` is broadcast, so the facts
     do not move. A larger one is joined by a shuffle in which the keys that hold
     more than ``hot_share`` of the facts are salted: their facts spread over
-    ``salts`` reducers and their table rows are repeated once per salt. Both ways
-    give the same rows.
+    ``salts`` reducers and their table rows are repeated once per salt. Facts without
+    a key match nothing and are spread as well. Both ways give the same rows.
     """
     if table_bytes(table) <= max_bytes:
         return facts.join(F.broadcast(table), key, how)
     hot = hot_keys(facts, key, hot_share)
-    if not hot:
-        return facts.join(table, key, how)
     # A salt from the row itself is the same on every retry of the task.
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int")
-    salted = facts.withColumn("_salt", F.when(F.col(key).isin(hot), spread).otherwise(F.lit(0)))
+    salted = facts.withColumn("_salt", F.when(F.col(key).isNull() | F.col(key).isin(hot), spread).otherwise(F.lit(0)))
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     repeated = table.withColumn(
         "_salt", F.explode(F.when(F.col(key).isin(hot), every).otherwise(F.array(F.lit(0))))

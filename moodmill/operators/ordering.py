@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from moodmill.session import durable
 
-BLOCK_ROWS = 65536
 _ROW_BITS = 33
 
 
@@ -39,36 +38,40 @@ def prefix_scan(
     order: str,
     measures: dict[str, tuple[str, Column]],
     inclusive: bool = True,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Running ``sum`` or ``min`` per group in the order of an integer column.
+    """Running ``sum`` or ``min`` per group in the order of a column, nulls first.
 
-    ``measures`` maps an output name to ``(kind, column)``. A group is cut into
-    blocks of ``block_rows`` consecutive order values; block totals are carried
-    over the blocks of the group, and rows only meet rows of their own block. So a
-    group of any size is spread over many tasks. Values of ``order`` are unique
-    within a group.
+    ``measures`` maps an output name to ``(kind, column)``. A range sort places the rows,
+    so a partition holds consecutive rows whatever the values of ``order`` are, and a
+    group of any size lies in neighbouring partitions. Rows are scanned within their
+    partition; only the group that goes on from the partition before gets a carry, one
+    row per partition. Values of ``order`` are unique within a group; groups may be null.
     """
-    kinds = {"sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    kinds = {"sum": (F.sum, lambda a, b: F.when(a.isNull(), b).otherwise(a + F.coalesce(b, F.lit(0)))),
              "min": (F.min, lambda a, b: F.least(a, b))}
-    cut = df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)).cast("long"))
-    keys = [*group, "_block"]
-    totals = cut.groupBy(*keys).agg(
+    at = F.monotonically_increasing_id()
+    placed = durable(df.orderBy(*[F.col(g).asc() for g in group], F.col(order).asc()).withColumn("_at", at), "scan")
+    placed = placed.withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    totals = placed.groupBy(*group, "_part").agg(
         *[kinds[kind][0](c).alias(f"_t_{name}") for name, (kind, c) in measures.items()]
     )
-    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *keys,
+        F.col("_part").alias("_of"), *[F.col(g).alias(f"_group_{i}") for i, g in enumerate(group)],
+        F.lag("_part").over(Window.partitionBy(*group).orderBy("_part")).alias("_from"),
         *[kinds[kind][0](f"_t_{name}").over(before).alias(f"_c_{name}") for name, (kind, _) in measures.items()],
-    )
+    ).where(F.col("_from").isNotNull()).drop("_from")
     last = 0 if inclusive else -1
-    inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
-    joined = cut.join(carried, keys)
-    out = joined.select(
-        *[joined[c] for c in df.columns],
+    inside = Window.partitionBy(*group, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, last)
+    same = F.col("_part") == F.col("_of")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_group_{i}"))
+    # At most one row per partition: the group that continues there.
+    joined = placed.join(F.broadcast(carried), same, "left")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in df.columns],
         *[
             kinds[kind][1](F.col(f"_c_{name}"), kinds[kind][0](c).over(inside)).alias(name)
             for name, (kind, c) in measures.items()
         ],
     )
-    return out

@@ -2,17 +2,23 @@
 
 Steps are rows ``(keys..., pos, seq_len, vector)``. Each pooling is one
 aggregation with partial sums per task, so long sequences never meet in one place.
+Steps beyond the length are masked, not dropped: every sequence has a row in the
+result, with a null vector if nothing of it counts. Keys may be null.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from moodmill.functions.vectors import dot, max_vector, mean_vector, nonlinear
 
 
 def _kept(steps: DataFrame, include_padding: bool) -> DataFrame:
-    return steps if include_padding else steps.where(F.col("pos") < F.col("seq_len"))
+    if include_padding:
+        return steps
+    return steps.withColumn("vector", F.when(F.col("pos") < F.col("seq_len"), F.col("vector")))
 
 
 def pool_mean(steps: DataFrame, keys: list[str], dim: int, include_padding: bool = True) -> DataFrame:
@@ -52,7 +58,9 @@ def pool_attention_multi(
     if nonlinearity == "relu":
         # Unbounded scores: subtract the largest one of the sequence.
         top = scored.groupBy(*keys).agg(*[F.max(f"_score_{h}").alias(f"_top_{h}") for h in heads])
-        scored = scored.join(top, keys)
+        top = top.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
+        same = [scored[k].eqNullSafe(top[f"_key_{i}"]) for i, k in enumerate(keys)]
+        scored = scored.join(top, reduce(lambda a, b: a & b, same), "left")
         shifts = [F.col(f"_top_{h}") for h in heads]
     weighted = scored.select(
         *keys, "vector", *[F.exp(F.col(f"_score_{h}") - shifts[h]).alias(f"_weight_{h}") for h in heads]

@@ -10,6 +10,7 @@ from moodmill.functions.text import process_text_dataset
 from moodmill.operators.lookup import lookup
 from moodmill.operators.ordering import with_ordinal
 
+# The share of validation rows, and the seed.
 HOLDOUT_SHARE = 0.25
 SEED = 228
 _DIGITS = 3
@@ -55,8 +56,11 @@ def _border(keys: DataFrame, share: float) -> str:
                 break
             wanted -= n
         if n <= _BORDER_ROWS or digits >= _KEY_DIGITS:
-            inside = keys.where(F.col("k").startswith(prefix)).orderBy("k").limit(min(wanted, _BORDER_ROWS))
-            return inside.agg(F.max("k").alias("k")).first().k
+            inside = keys.where(F.col("k").startswith(prefix)).orderBy("k").limit(min(wanted, _BORDER_ROWS) + 1)
+            found = [r.k for r in inside.collect()]
+            if wanted > len(found) or found[wanted - 1 : wanted] == found[wanted : wanted + 1]:
+                raise ValueError("row ids are not unique: the border of the holdout falls among equal ones")
+            return found[wanted - 1]
 
 
 def holdout_split(

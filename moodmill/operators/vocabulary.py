@@ -50,7 +50,8 @@ def encode_ids(
     """Replace tokens by their index: ``keys`` and ``ids``, in the order of the tokens.
 
     ``oov`` says what an unknown token does: ``'error'`` fails the job and names
-    it, ``'unk'`` takes the index of the unknown word, ``'drop'`` leaves it out.
+    it, ``'unk'`` takes the index of the unknown word, ``'drop'`` leaves it out. Two
+    rows with the same keys would become one sequence, which fails the job.
     """
     table = vocabulary.select("token", "idx")
     # A text without tokens keeps one row without position and gets no ids.
@@ -70,5 +71,9 @@ def encode_ids(
         raise ValueError(f"unknown oov rule {oov!r}")
     item = F.when(F.col("pos").isNotNull() & idx.isNotNull(), F.struct(F.col("pos"), idx.alias("idx")))
     # A group is the tokens of one text.
-    encoded = found.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    return encoded.select(*keys, F.transform("_items", lambda x: x["idx"]).alias("ids"))
+    encoded = found.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(item)).alias("_items"), F.count("*").alias("_n"), F.max("pos").alias("_last")
+    )
+    twice = F.col("_n") > F.coalesce(F.col("_last") + 1, F.lit(1))
+    failed = F.raise_error(F.lit(f"keys {', '.join(keys)} are not unique")).cast("array<bigint>")
+    return encoded.select(*keys, F.when(twice, failed).otherwise(F.transform("_items", lambda x: x["idx"])).alias("ids"))

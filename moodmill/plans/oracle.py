@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from moodmill.operators.language import TOP_GRAMS
 from moodmill.operators.splits import SEED
-from moodmill.plans.queries import BATCH, CLASSES, DIM, HEADS, MAX_LEN, VOCABULARY
+from moodmill.plans.queries import BATCH, CLASSES, DIM, HEADS, MAX_LEN, WIDE
 from moodmill.plans.relations import EMOJIS, LABEL_MAP, TAILS
 
 # The classes of characters, written for the other regex dialect.
@@ -148,7 +148,7 @@ PROFILES = grams("doc_grams", "documents", "doc_id", "text") + f""", gram_counts
   SELECT lang, gram, count(*) AS n FROM doc_grams JOIN documents USING (doc_id) GROUP BY ALL), profiles AS (
   SELECT lang, gram, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS rank
   FROM gram_counts QUALIFY rank <= {TOP_GRAMS})"""
-BAYES = PROFILES + """, vocab AS MATERIALIZED (SELECT DISTINCT gram FROM profiles), totals AS (
+BAYES = PROFILES + """, vocab AS MATERIALIZED (SELECT DISTINCT gram FROM gram_counts), totals AS (
   SELECT lang, sum(n) AS total FROM gram_counts JOIN vocab USING (gram) GROUP BY lang), priors AS (
   SELECT lang, ln((count(*) + 1) / ((SELECT count(*) FROM documents)
     + (SELECT count(DISTINCT lang) FROM documents))) AS prior FROM documents GROUP BY lang), theta AS MATERIALIZED (
@@ -162,7 +162,7 @@ def languages(source: str, key: str, text: str) -> str:
   SELECT {key}, lang, sum(n * w) AS s FROM (SELECT {key}, gram, count(*) AS n FROM asked GROUP BY ALL)
   JOIN theta USING (gram) GROUP BY ALL), full_scores AS (
   SELECT k.*, p.lang, p.prior + coalesce(s.s, 0) AS s
-  FROM (SELECT DISTINCT {key} FROM asked) k CROSS JOIN priors p LEFT JOIN scored s USING ({key}, lang)), tops AS (
+  FROM (SELECT DISTINCT {key} FROM asked JOIN vocab USING (gram)) k CROSS JOIN priors p LEFT JOIN scored s USING ({key}, lang)), tops AS (
   SELECT {key}, max(s) AS top FROM full_scores GROUP BY ALL), answers AS (
   SELECT {key}, arg_min(lang, struct_pack(s := -s, lang := lang)) AS lang, 1 / sum(exp(s - top)) AS prob
   FROM full_scores JOIN tops USING ({key}) GROUP BY ALL)"""
@@ -221,6 +221,7 @@ STEPS = TOKENS + f""", talk AS (
   SELECT conv_id, turn, role, seq_len, pos, v.vector FROM (
     SELECT p.*, CASE WHEN pos < len(t) THEN coalesce(k.idx, 1) ELSE 0 END AS idx
     FROM padded p LEFT JOIN tokens k ON k.token = p.t[pos + 1]) JOIN tokens v USING (idx))"""
+WIDE_STEPS = STEPS.replace("pos, v.vector", f"pos, flatten([{', '.join(['v.vector'] * WIDE)}]) AS vector", 1)
 METRICS = """metrics AS (
   SELECT user_id AS run, dayofyear(ts) AS epoch, event_id AS batch, value,
     CASE WHEN event_type IN ('click', 'view') THEN 'Train' ELSE 'Val' END AS loop,
@@ -266,9 +267,10 @@ def _bodies() -> dict[str, str]:
   CASE WHEN contains(text, '%%%') THEN '{"text": null}' ELSE '{"text": "' || doc_id END AS raw,
   CASE WHEN contains(text, '%%%') THEN 'null_text' ELSE 'invalid_json' END AS reason
   FROM tweets WHERE NOT contains(text, '$$$') AND (contains(text, '%%%') OR contains(text, '&&&'))"""),
-        "a3_read_emoji_dictionary": """SELECT emoji, description, suffix(description, ' 64') AS is_64 FROM (
-  SELECT source || '/' || lang AS emoji, 'entry of ' || arg_max(doc_id || CASE WHEN contains(text, '!!') THEN ' 64' ELSE ''
-    END, doc_id) AS description FROM documents
+        "a3_read_emoji_dictionary": """SELECT emoji, description, is_64 FROM (
+  SELECT source || '/' || lang AS emoji, bool_or(contains(text, '!!') OR doc_id = 64) AS is_64,
+    'entry of ' || arg_max(doc_id || CASE WHEN contains(text, '!!') THEN ' 64' ELSE '' END, doc_id) AS description
+  FROM documents
   WHERE NOT (contains(text, '$$$') OR contains(text, '%%%') OR contains(text, '&&&')) GROUP BY source, lang)""",
         "a4_write_prepared": _with(
             TWEETS + ", " + DICTIONARY + f""", labels AS (
@@ -333,7 +335,8 @@ def _bodies() -> dict[str, str]:
         ),
         "f1_holdout_split": f"SELECT doc_id, lang, is_val FROM ({_split('documents', 'doc_id', 0.25)})",
         "f2_split_mode": f"SELECT o_orderkey FROM ({_split('orders', 'o_orderkey', 0.1)}) WHERE is_val",
-        "f3_shuffle_rows": "SELECT doc_id, lang, n_chars FROM documents",
+        "f3_shuffle_rows": f"""SELECT doc_id, lang, n_chars,
+  row_number() OVER (ORDER BY md5('{SEED}|1|' || doc_id)) - 1 AS position FROM documents""",
         "f4_assign_batches": """SELECT conv_id, turn,
   (row_number() OVER (ORDER BY conv_id, turn) - 1) // 64 AS batch FROM conversations""",
         "f4_assign_batches_shuffled": f"""SELECT doc_id,
@@ -361,7 +364,7 @@ def _bodies() -> dict[str, str]:
             RANKED + """, placed AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM (
   SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS t FROM documents))""",
             f"""SELECT doc_id, count(*) AS n, {digest('list(coalesce(idx, 1) ORDER BY pos)')} AS ids
-  FROM placed LEFT JOIN (SELECT token, idx FROM vocabulary WHERE idx < {VOCABULARY}) USING (token) GROUP BY doc_id""",
+  FROM placed LEFT JOIN (SELECT token, idx FROM vocabulary) USING (token) GROUP BY doc_id""",
         ),
         "g7_pad_sequence": f"""SELECT doc_id, least(len(c), 20) AS seq_len,
   {digest('list_resize(c, greatest(len(c), 20), 0)[1:20]')} AS ids FROM (
@@ -384,8 +387,8 @@ def _bodies() -> dict[str, str]:
         "g14_category_embedding": _with(
             f"""talk AS (SELECT conv_id, turn, string_split(replace(text, chr(10), ' '), ' ') AS t FROM conversations),
   w AS (SELECT conv_id, turn, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS pos FROM talk), cat AS (
-  SELECT label AS code, [avg(embedding[1]::DOUBLE), avg(embedding[2]::DOUBLE), avg(embedding[3]::DOUBLE),
-    avg(embedding[4]::DOUBLE)] AS vector FROM embeddings GROUP BY label), joined AS (
+  SELECT label AS code, [{", ".join("avg(" + " + ".join(f"embedding[{j + 1}]::DOUBLE" for j in range(i, DIM, 4)) + ")" for i in range(4))}] AS vector
+  FROM embeddings GROUP BY label), joined AS (
   SELECT conv_id, turn, pos, flatten([[length(word)::DOUBLE], a.vector, b.vector]) AS v FROM w
   JOIN cat a ON a.code = length(word) % {CLASSES} JOIN cat b ON b.code = pos % {CLASSES})""",
             f"SELECT {by_turn}, pos, {vector_columns('v', 9)} FROM joined",
@@ -401,6 +404,23 @@ def _bodies() -> dict[str, str]:
             STEPS + ", " + pooled(f"exp(tanh({_dot(0)}))", "pos < seq_len"),
             f"SELECT {by_turn}, {vector_columns('vector')} FROM pooled",
         ),
+        "h3_pool_attention_empty": _with(
+            STEPS.replace("SELECT conv_id, turn, role, string_split", "SELECT nullif('c' || conv_id, 'c1') AS conv_id, turn, role, string_split", 1)
+            + ", " + pooled(f"exp(greatest({_dot(0)}, 0))", "turn > 0 AND pos < seq_len"),
+            f"""SELECT k.conv_id, k.turn, {vector_columns('vector')} FROM (SELECT DISTINCT conv_id, turn FROM steps) k
+  LEFT JOIN pooled p ON p.conv_id IS NOT DISTINCT FROM k.conv_id AND p.turn = k.turn""",
+        ),
+        "h1_pool_mean_wide": _with(
+            WIDE_STEPS + ", " + pooled("1.0"), f"SELECT {by_turn}, {vector_columns('vector', WIDE * DIM)} FROM pooled"
+        ),
+        "h2_pool_max_wide": _with(WIDE_STEPS + f""", pooled AS (SELECT {by_turn}, list(x ORDER BY d) AS vector FROM (
+  SELECT {by_turn}, d, max(x) AS x FROM (
+    SELECT {by_turn}, unnest(vector) AS x, generate_subscripts(vector, 1) AS d FROM steps) GROUP BY ALL)
+  GROUP BY ALL)""", f"SELECT {by_turn}, {vector_columns('vector', WIDE * DIM)} FROM pooled"),
+        "h3_pool_attention_wide": _with(
+            WIDE_STEPS + ", " + pooled(f"exp(tanh(list_dot_product(vector, {numbers(HEADS[0] * WIDE)})))", "pos < seq_len"),
+            f"SELECT {by_turn}, {vector_columns('vector', WIDE * DIM)} FROM pooled",
+        ),
         "h3_pool_attention_relu": _with(
             STEPS + ", " + pooled(f"exp(greatest({_dot(0)}, 0))", "pos < seq_len"),
             f"SELECT {by_turn}, {vector_columns('vector')} FROM pooled",
@@ -440,6 +460,15 @@ def _bodies() -> dict[str, str]:
         "j4_running_average": _with(METRICS, f"""SELECT run, loop, batch,
   {rounded('sum(value * n) OVER w / sum(n) OVER w')} AS avg FROM metrics
   WINDOW w AS (PARTITION BY run, loop ORDER BY batch)"""),
+        "j4_running_average_null_groups": _with(METRICS, f"""SELECT run, loop, batch,
+  {rounded('sum(value * n) OVER w / sum(n) OVER w')} AS avg
+  FROM (SELECT * REPLACE (nullif('r' || run % 7, 'r0') AS run, nullif(value, round(value, 0)) AS value) FROM metrics)
+  WINDOW w AS (PARTITION BY run, loop ORDER BY batch)"""),
+        "j6_best_epochs_null_groups": """SELECT run, epoch, val_loss, least(val_loss, before) AS best_score,
+  val_loss < before AS is_best FROM (
+  SELECT nullif('r' || user_id % 7, 'r0') AS run, event_id AS epoch, value AS val_loss, least(100000.0, coalesce(min(value) OVER (
+    PARTITION BY user_id % 7 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 100000.0)) AS before
+  FROM events)""",
         "j5_epoch_summary": _with(METRICS, f"SELECT run, epoch, {_sides('value')} FROM metrics GROUP BY ALL"),
         "j6_best_epochs": """SELECT run, epoch, val_loss, least(val_loss, before) AS best_score,
   val_loss < before AS is_best FROM (
@@ -449,9 +478,9 @@ def _bodies() -> dict[str, str]:
     }
     # Texts are compared after cleaning, so the same text of two sources stays twice.
     narrowed = CLEANED.replace("FROM tweets)", f"FROM tweets WHERE NOT {JUNK})", 1)
-    sql["a5_prepare_incremental"] = _with(
-        LABELLED.replace(CLEANED, narrowed, 1), "SELECT text, class, count FROM labelled"
-    )
+    kept = LABELLED.replace(CLEANED, narrowed, 1)
+    sql["a5_prepare_incremental"] = sql["prepared_tweets"].replace(LABELLED, kept, 1)
+    sql["a5_refused_records"] = sql["a2_split_bad_records"]
     return sql
 
 

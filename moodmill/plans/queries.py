@@ -10,6 +10,7 @@ from moodmill.functions import text as clean
 from moodmill.functions import tokens as tok
 from moodmill.functions.vectors import dot
 from moodmill.operators import classifier, dedup, embeddings, emoji, evaluation, language, pooling, splits, vocabulary
+from moodmill.operators.ordering import with_ordinal
 from moodmill.plans import relations as rel
 from moodmill.plans.preparation import labelled_tweets, prepare
 from moodmill.plans.training import FeatureConfig, text_features, train_and_evaluate, word_samples
@@ -20,8 +21,8 @@ from moodmill.streaming.incremental import prepare_incremental
 DIM = 64
 CLASSES = 10
 MAX_LEN = 100
-VOCABULARY = 20_000
 BATCH = 512
+WIDE = 5  # times the vector stands in the wide queries, so that it is beyond one aggregate per number
 # Attention vectors of the queries, by a rule of head and dimension.
 HEADS = [[((i * (h + 1)) % 7 - 3) / 10 for i in range(DIM)] for h in range(3)]
 
@@ -103,15 +104,31 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("doc_id", "pos", "lang", "class", "count")
 
 
+def _incremental(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Prepare an archive in several batches, then again after more files have come."""
+    source = rel.archive(spark, sf_dir, late=False)
+    target, refused, checkpoint = (scratch_path(spark, f"stream-{x}") for x in ("out", "refused", "log"))
+    model = language.language_fit(rel.table(spark, sf_dir, "documents"))
+    for late in (False, True):
+        if late:
+            rel.archive(spark, sf_dir, late=True, path=source)
+        prepare_incremental(
+            spark, f"{source}/*", target, checkpoint, rel.dictionary(spark), model, files_per_batch=120, refused=refused
+        )
+    return target, refused
+
+
 @register("a5_prepare_incremental")
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, target, checkpoint = (
-        rel.archive(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-log")
-    )
-    model = language.language_fit(rel.table(spark, sf_dir, "documents"))
-    for _ in range(2):
-        prepare_incremental(spark, f"{source}/*", target, checkpoint, rel.dictionary(spark), model)
-    return spark.read.parquet(target).select("text", "class", "count")
+    target, _ = _incremental(spark, sf_dir)
+    return spark.read.parquet(target).select("text", "lang", F.round("prob", 5).alias("prob"), "class", "count")
+
+
+@register("a5_refused_records")
+def a5_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, refused = _incremental(spark, sf_dir)
+    bad = spark.read.parquet(refused)
+    return bad.select(rel.source_of(F.col("source_file")).alias("source_file"), "raw", "reason")
 
 
 @register("a6_read_training")
@@ -317,7 +334,8 @@ def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("f3_shuffle_rows")
 def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rel.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return splits.shuffle_rows(rows, "doc_id", epoch=1)
+    shuffled = splits.shuffle_rows(rows, "doc_id", epoch=1).withColumn("_place", F.monotonically_increasing_id())
+    return with_ordinal(durable(shuffled, "shuffled"), [F.col("_place")], "position").drop("_place")
 
 
 @register("f4_assign_batches")
@@ -361,8 +379,10 @@ def g3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("g4_word_ngrams")
 def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = rel.document_words(spark, sf_dir).select(tok.exploded(F.col("tokens")).alias("word"))
-    return vocabulary.token_counts(words.select(tok.word_ngrams(F.col("word")).alias("grams")), "grams")
+    # N-grams are cut once per distinct word.
+    words = vocabulary.token_counts(rel.document_words(spark, sf_dir))
+    grams = words.select("n", tok.exploded(tok.word_ngrams(F.col("token"))).alias("token"))
+    return grams.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n"))
 
 
 @register("g5_build_vocabulary")
@@ -373,7 +393,7 @@ def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("g6_encode_ids")
 def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = rel.document_words(spark, sf_dir)
-    table = durable(vocabulary.build_vocabulary(words, size=VOCABULARY), "vocabulary")
+    table = durable(vocabulary.build_vocabulary(words), "vocabulary")
     encoded = vocabulary.encode_ids(words, table, ["doc_id"], oov="unk")
     return encoded.select("doc_id", F.size("ids").alias("n"), digest(F.col("ids")).alias("ids"))
 
@@ -426,7 +446,9 @@ def g12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _conversation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = rel.token_table(spark, sf_dir)
     words = rel.conversation_words(spark, sf_dir)
-    encoded = vocabulary.encode_ids(words, table, ["conv_id", "turn", "role"], oov="unk")
+    # What the padding would cut off is not encoded.
+    cut = words.withColumn("tokens", F.slice("tokens", 1, MAX_LEN))
+    encoded = vocabulary.encode_ids(cut, table, ["conv_id", "turn", "role"], oov="unk")
     padded = encoded.select(
         "conv_id", "turn", "role",
         tok.pad_sequence(F.col("ids"), MAX_LEN, F.lit(0).cast("bigint")).alias("ids"),
@@ -443,8 +465,13 @@ def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("g14_category_embedding")
 def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
     width = embeddings.category_width(CLASSES)
+
+    def folded(i: int, step: int) -> Column:
+        """Every ``step``-th number of the vector from ``i`` on, summed; so all of them are used."""
+        return sum((F.get("embedding", F.lit(j)).cast("double") for j in range(i, DIM, step)), F.lit(0.0))
+
     vectors = rel.table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("code")).agg(
-        F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(width)]).alias("vector")
+        F.array(*[F.avg(folded(i, width)) for i in range(width)]).alias("vector")
     )
     table = durable(vectors, "category")
     words = rel.conversation_words(spark, sf_dir).select(
@@ -482,6 +509,37 @@ def h3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select("conv_id", "turn", *vector_columns())
 
 
+@register("h3_pool_attention_empty")
+def h3_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = _conversation_steps(spark, sf_dir).withColumn("seq_len", F.when(F.col("turn") == 0, 0).otherwise(F.col("seq_len")))
+    keyed = steps.withColumn("conv_id", F.nullif(F.concat(F.lit("c"), "conv_id"), F.lit("c1")))
+    pooled = pooling.pool_attention(keyed, ["conv_id", "turn"], HEADS[0], DIM, "relu")
+    return pooled.select("conv_id", "turn", *vector_columns())
+
+
+def _wide_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = F.flatten(F.array_repeat("vector", WIDE))
+    return _conversation_steps(spark, sf_dir).withColumn("vector", wide)
+
+
+@register("h1_pool_mean_wide")
+def h1_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pooled = pooling.pool_mean(_wide_steps(spark, sf_dir), ["conv_id", "turn"], WIDE * DIM)
+    return pooled.select("conv_id", "turn", *vector_columns(dim=WIDE * DIM))
+
+
+@register("h2_pool_max_wide")
+def h2_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pooled = pooling.pool_max(_wide_steps(spark, sf_dir), ["conv_id", "turn"], WIDE * DIM)
+    return pooled.select("conv_id", "turn", *vector_columns(dim=WIDE * DIM))
+
+
+@register("h3_pool_attention_wide")
+def h3_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pooled = pooling.pool_attention(_wide_steps(spark, sf_dir), ["conv_id", "turn"], HEADS[0] * WIDE, WIDE * DIM)
+    return pooled.select("conv_id", "turn", *vector_columns(dim=WIDE * DIM))
+
+
 @register("h3_pool_attention_relu")
 def h3_relu(spark: SparkSession, sf_dir: str) -> DataFrame:
     pooled = pooling.pool_attention(_conversation_steps(spark, sf_dir), ["conv_id", "turn"], HEADS[0], DIM, "relu")
@@ -573,6 +631,23 @@ def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run", "loop", "batch", rounded("avg"))
 
 
+@register("j4_running_average_null_groups")
+def j4_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rel.metrics(spark, sf_dir).withColumns({
+        "run": F.nullif(F.concat(F.lit("r"), F.col("run") % 7), F.lit("r0")), "value": F.nullif("value", F.round("value", 0)),
+    })
+    out = evaluation.running_average(rows, ["run", "loop"])
+    return out.select("run", "loop", "batch", rounded("avg"))
+
+
+@register("j6_best_epochs_null_groups")
+def j6_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rel.metrics(spark, sf_dir).select(
+        F.nullif(F.concat(F.lit("r"), F.col("run") % 7), F.lit("r0")).alias("run"), F.col("batch").alias("epoch"), F.col("value").alias("val_loss")
+    )
+    return evaluation.best_epochs(rows, ["run"])
+
+
 @register("j5_epoch_summary")
 def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rel.metrics(spark, sf_dir).select(

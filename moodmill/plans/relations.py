@@ -28,6 +28,7 @@ EMOJIS = (
 )
 LABEL_MAP = (("😂", 0), ("😍", 1), ("😭", 2), ("👍", 3), ("❤️", 4))
 ARCHIVE_PARTS = 16
+LATE_SOURCE = "src0"
 TAILS = ("😂😂", "😍", "😂 😍", "🔥", "👍🏽", "👍 x 👍", "😭", "❤️", "")
 
 
@@ -77,13 +78,14 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def archive(spark: SparkSession, sf_dir: str) -> str:
+def archive(spark: SparkSession, sf_dir: str, late: bool | None = None, path: str | None = None) -> str:
     """The tweets as compressed JSON lines, one folder per source; returns the path.
 
     Junk in a text decides which records lack the text, hold a null or are cut
     off, and after which a blank line follows. Texts of a source that are equal
     when cleaned share a file, so that duplicates per file are those per source,
-    though a source may have several files.
+    though a source may have several files. ``late`` leaves out one source, or adds only
+    that one to the archive at ``path``.
     """
     part = F.pmod(F.xxhash64(process_tweets(F.col("text"))), F.lit(ARCHIVE_PARTS))
     rows = tweets(spark, sf_dir).repartition(F.col("source_file"), part)
@@ -98,10 +100,12 @@ def archive(spark: SparkSession, sf_dir: str) -> str:
         .when(has("!!"), F.concat(F.to_json(F.struct("text")), F.lit("\n")))
         .otherwise(F.to_json(F.struct("text")))
     )
-    path = scratch_path(spark, "archive")
+    path = path or scratch_path(spark, "archive")
+    if late is not None:
+        rows = rows.where((F.col("source_file") == LATE_SOURCE) == F.lit(late))
     (
         rows.select(F.col("source_file").alias("source"), record.alias("value"))
-        .write.partitionBy("source").option("compression", "bzip2").text(path)
+        .write.mode("append").partitionBy("source").option("compression", "bzip2").text(path)
     )
     return path
 

@@ -40,11 +40,18 @@ def split_bad_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def usable_texts(lines: DataFrame) -> DataFrame:
-    """Texts of the usable records of raw lines; nothing else is kept of a line."""
-    return split_bad_records(parse_records(lines))[0]
+def usable_texts(lines: DataFrame, refused: str | None = None) -> DataFrame:
+    """Texts of the usable records of raw lines; the refused records are written to a folder if one is given."""
+    good, bad = split_bad_records(parse_records(lines))
+    if refused:
+        bad.write.mode("overwrite").parquet(refused)
+    return good
 
 
-def read_tweets(spark: SparkSession, path: str) -> DataFrame:
-    """``source_file, text`` of all records with a text."""
-    return usable_texts(read_archive(spark, path))
+def read_tweets(spark: SparkSession, path: str, refused: str | None = None) -> DataFrame:
+    """``source_file, text`` of all records with a text.
+
+    ``refused`` names a folder for the others, a table ``source_file, raw, reason`` that
+    a repeated read writes anew.
+    """
+    return usable_texts(read_archive(spark, path), refused)

@@ -11,8 +11,6 @@ from moodmill.operators.vocabulary import PAD_WORD, UNKNOWN
 ENTRY_LINE = "^[12]"
 LABEL_MARK = " 64"
 
-LANGUAGE_PARTS = 32
-
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with ``_at``, which orders them as they stand in the files."""
@@ -36,20 +34,27 @@ def spread_small(df: DataFrame) -> DataFrame:
 
 
 def read_emoji_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """``emoji, description, is_64``; a later line wins over an earlier one with the same emoji."""
+    """``emoji, description, is_64``, one row per emoji.
+
+    The description is that of its last line; ``is_64`` is true if the description of any
+    of its lines ends in the mark. An entry line without a description fails the job.
+    """
     tail = F.substring_index(strip_whitespace(F.col("line")), "# ", -1)
+    failed = F.raise_error(F.concat(F.lit("emoji dictionary: no description in "), F.col("line")))
     entries = (
         _lines(spark, path)
         .where(F.col("line").rlike(ENTRY_LINE))
         .select(
-            F.regexp_extract(tail, "(?s)^([^ ]*) ", 1).alias("emoji"),
+            F.when(F.contains(tail, F.lit(" ")), F.substring_index(tail, " ", 1)).otherwise(failed).alias("emoji"),
             F.regexp_extract(tail, "(?s)^[^ ]* (.*)$", 1).alias("description"),
             "_at",
         )
         .where(F.col("emoji") != "")
     )
-    last = entries.groupBy("emoji").agg(F.max_by("description", "_at").alias("description"))
-    return last.withColumn("is_64", F.col("description").endswith(LABEL_MARK))
+    return entries.groupBy("emoji").agg(
+        F.max_by("description", "_at").alias("description"),
+        F.bool_or(F.col("description").endswith(LABEL_MARK)).alias("is_64"),
+    )
 
 
 def read_lines(spark: SparkSession, path: str, n: int = -1) -> DataFrame:
@@ -58,17 +63,20 @@ def read_lines(spark: SparkSession, path: str, n: int = -1) -> DataFrame:
     return (lines.orderBy("_at").limit(n) if n > 0 else lines).select("line")
 
 
-def write_prepared(df: DataFrame, path: str, max_records: int = 5_000_000, mode: str = "error") -> None:
+def write_prepared(
+    df: DataFrame, path: str, max_records: int = 5_000_000, mode: str = "error", parts: int | None = None
+) -> None:
     """Write prepared rows as Parquet, one folder per language.
 
     Adaptive execution gathers a language into few files and splits a frequent one
     over many tasks. Where it is off, as in streaming, each language is spread over
-    a fixed number of parts.
+    ``parts``, by default as many as the session has shuffle partitions.
     """
     if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
         spread = df.hint("rebalance", "lang")
     else:
-        part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(LANGUAGE_PARTS))
+        parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(parts))
         spread = df.repartition(F.col("lang"), part)
     spread.write.partitionBy("lang").option("maxRecordsPerFile", max_records).mode(mode).parquet(path)
 

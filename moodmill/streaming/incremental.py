@@ -10,6 +10,7 @@ from moodmill.plans.preparation import prepare
 from moodmill.sources.archive import named_lines, usable_texts
 from moodmill.sources.tables import write_prepared
 
+# Fixed value: files of a batch.
 FILES_PER_BATCH = 200
 
 
@@ -22,17 +23,20 @@ def prepare_incremental(
     languages: LanguageModel,
     config: FilterConfig = FilterConfig(),
     files_per_batch: int = FILES_PER_BATCH,
+    refused: str | None = None,
 ) -> None:
     """Prepare all files not seen before, in batches, and return when none is left.
 
     The checkpoint remembers the files. A file is never split over batches, so
     duplicates per file are found within one. A repeated batch overwrites its own
-    folder, so a failure in between leaves no doubled rows.
+    folder, so a failure in between leaves no doubled rows. Refused records go to a
+    folder per batch below ``refused``, if it is given.
     """
     d = EmojiDictionary.of(dictionary)
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = prepare(usable_texts(batch), d, languages, config)
+        bad = f"{refused}/batch={number:06d}" if refused else None
+        rows = prepare(usable_texts(batch, bad), d, languages, config)
         write_prepared(rows, f"{target}/batch={number:06d}", mode="overwrite")
 
     lines = named_lines(

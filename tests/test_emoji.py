@@ -131,3 +131,10 @@ def test_preparation_shuffles_once(spark):
     tweets = spark.createDataFrame([("f", "a long enough text 😂")], "source_file string, text string")
     plan = labelled_tweets(tweets, dictionary(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_repeated_entries_are_one(spark):
+    entries = spark.createDataFrame([("😂", False), ("😂", True), ("🔥", False), ("🔥", False)], "emoji string, is_64 boolean")
+    texts = spark.createDataFrame([("a 😂 😂 🔥",)], "text string")
+    got = emoji.emoji_counts_detailed(texts, entries).collect()
+    assert sorted((r.emoji, r.is_64, r.n) for r in got) == sorted([("🔥", False, 1), ("😂", True, 2)])

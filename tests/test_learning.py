@@ -20,10 +20,41 @@ def test_language(spark):
     assert model.languages == ("en", "fr")
     asked = spark.createDataFrame([(1, "the mat"), (2, "une phrase est"), (3, ""), (4, "☃"), (5, None)], "id int, text string")
     rows = language_predict(asked, model).orderBy("id").collect()
-    assert [r.lang for r in rows] == ["en", "fr", "none", "en", "none"]
-    assert rows[2].prob == 0.0 and rows[3].prob == pytest.approx(0.5) and all(0.5 < r.prob <= 1 for r in rows[:2])
-    plan = language_predict(asked, model)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan
+    assert [r.lang for r in rows] == ["en", "fr", "none", "none", "none"]
+    assert [r.prob for r in rows[2:]] == [0.0] * 3 and all(0.5 < r.prob <= 1 for r in rows[:2])
+    assert language_predict(asked.unionByName(asked), model).count() == 10
+
+
+def test_language_equals_a_loop(spark):
+    labelled = [("abab", "x"), ("abc", "x"), ("bcbc", "y"), ("cab", None), (None, "y"), ("z", "w")]
+    model = language_fit(spark.createDataFrame(labelled, "text string, lang string"), sizes=(1, 2))
+
+    def grams(t):
+        return [t[i : i + n] for n in (1, 2) for i in range(len(t) - n + 1)]
+
+    counts, texts = {}, {}
+    for t, lang in labelled:
+        if t is not None and lang is not None:
+            texts[lang] = texts.get(lang, 0) + 1
+            for g in grams(t):
+                counts.setdefault(lang, {}).setdefault(g, 0)
+                counts[lang][g] += 1
+    vocabulary = {g for c in counts.values() for g in c}
+    asked = ["ab", "cb", "zz", "qab", "q", "abcabc"]
+    got = {r.t: (r.lang, r.prob) for r in language_predict(spark.createDataFrame([(t,) for t in asked], "t string"), model, "t").collect()}
+    for t in asked:
+        known = [g for g in grams(t) if g in vocabulary]
+        if not known:
+            assert got[t] == ("none", 0.0)
+            continue
+        scores = {
+            lang: math.log((n + 1) / (sum(texts.values()) + len(texts)))
+            + sum(math.log((counts[lang].get(g, 0) + 1) / (sum(counts[lang].values()) + len(vocabulary))) for g in known)
+            for lang, n in texts.items()
+        }
+        best = max(sorted(scores), key=scores.get)
+        assert got[t][0] == best
+        assert got[t][1] == pytest.approx(math.exp(scores[best]) / sum(map(math.exp, scores.values())))
 
 
 def test_profiles_are_the_most_frequent_grams(spark):
@@ -73,7 +104,7 @@ def test_averages(spark):
     df = spark.createDataFrame(rows, "loop string, batch bigint, value double, n bigint")
     got = {r["loop"]: (r["last"], r["sum"], r["count"], r["avg"]) for r in evaluation.weighted_average(df, ["loop"]).collect()}
     assert got == {"Train": (2.0, 100.0, 40, 2.5), "Val": (5.0, 5.0, 1, 5.0)}
-    running = evaluation.running_average(df, ["loop"], block_rows=1).orderBy("loop", "batch").collect()
+    running = evaluation.running_average(df, ["loop"]).orderBy("loop", "batch").collect()
     assert [r.avg for r in running] == [4.0, 2.5, 5.0]
     summary = evaluation.epoch_summary(df.withColumn("epoch", F.lit(1)), ["epoch"], ("value",)).first()
     assert (summary.train_value, summary.val_value) == (2.5, 5.0)
@@ -82,7 +113,7 @@ def test_averages(spark):
 def test_best_epochs(spark):
     history = [100001.0, 5.0, 5.0, 7.0, 4.0]
     df = spark.createDataFrame([("r", i, v) for i, v in enumerate(history)], "run string, epoch bigint, val_loss double")
-    rows = evaluation.best_epochs(df, ["run"], block_rows=2).orderBy("epoch").collect()
+    rows = evaluation.best_epochs(df, ["run"]).orderBy("epoch").collect()
     assert [r.is_best for r in rows] == [False, True, False, False, True]
     assert [r.best_score for r in rows] == [100000.0, 5.0, 5.0, 5.0, 4.0]
 

@@ -25,22 +25,31 @@ def test_batches(spark):
     assert all(r.batch == r.id // 64 for r in rows)
 
 
-@pytest.mark.parametrize("block_rows", [1, 7, 65536])
-def test_prefix_scan_equals_a_loop(spark, block_rows):
+@pytest.mark.parametrize("parts", [1, 7])
+def test_prefix_scan_equals_a_loop(spark, parts):
     rng = random.Random(3)
-    # One group holds most of the rows.
-    rows = [("hot" if i % 3 else f"g{i % 5}", i, rng.randint(-50, 50)) for i in range(600)]
+    # One group holds most of the rows, one has no name, and the order is sparse, with one row without it.
+    rows = [(["hot", "hot", None, f"g{i % 5}"][i % 4], i * i * 1000, rng.choice([None, rng.randint(-50, 50)])) for i in range(600)]
+    rows.append(("hot", None, 7))
     rng.shuffle(rows)
-    df = spark.createDataFrame(rows, "g string, i bigint, v bigint")
+    df = spark.createDataFrame(rows, "g string, i bigint, v bigint").repartition(parts)
     kinds = {"s": ("sum", F.col("v")), "m": ("min", F.col("v"))}
-    got = {(r.g, r.i): (r.s, r.m) for r in prefix_scan(df, ["g"], "i", kinds, block_rows=block_rows).collect()}
-    before = {(r.g, r.i): r.m for r in prefix_scan(df, ["g"], "i", {"m": kinds["m"]}, False, block_rows).collect()}
+    got = {(r.g, r.i): (r.s, r.m) for r in prefix_scan(df, ["g"], "i", kinds).collect()}
+    before = {(r.g, r.i): r.m for r in prefix_scan(df, ["g"], "i", {"m": kinds["m"]}, False).collect()}
+    assert len(got) == len(rows)
     total, low = {}, {}
-    for g, i, v in sorted(rows, key=lambda r: r[1]):
+    for g, i, v in sorted(rows, key=lambda r: -1 if r[1] is None else r[1]):
         assert before[g, i] == low.get(g)
-        total[g] = total.get(g, 0) + v
-        low[g] = min(low.get(g, v), v)
-        assert got[g, i] == (total[g], low[g])
+        if v is not None:
+            total[g] = total.get(g, 0) + v
+            low[g] = min(low.get(g, v), v)
+        assert got[g, i] == (total.get(g), low.get(g))
+
+
+def test_prefix_scan_over_many_partitions(spark):
+    df = spark.range(5000, numPartitions=9).select(F.lit(None).cast("string").alias("g"), "id", F.lit(1).alias("v"))
+    rows = prefix_scan(df, ["g"], "id", {"s": ("sum", F.col("v"))}).collect()
+    assert sorted((r.id, r.s) for r in rows) == [(i, i + 1) for i in range(5000)]
 
 
 @pytest.mark.parametrize("share, n", [(0.25, 1003), (0.0, 50), (1.0, 50), (0.1, 10), (0.25, 0)])
@@ -56,6 +65,12 @@ def test_holdout_is_exact_and_repeatable(spark, share, n):
         assert val != {r.id for r in split_mode(holdout_split(df, "id", share, seed=1), "val").collect()}
 
 
+def test_holdout_refuses_a_border_among_equal_ids(spark):
+    df = spark.range(100).select((F.col("id") % 20).alias("id"))
+    with pytest.raises(ValueError, match="not unique"):
+        holdout_split(df, "id", 0.23)
+
+
 def test_border_descends_when_a_prefix_is_large(spark, monkeypatch):
     monkeypatch.setattr(splits, "_BORDER_ROWS", 3)
     keys = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("k"))

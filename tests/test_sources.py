@@ -33,18 +33,30 @@ def test_bad_records(spark, archive_dir):
     assert {(r.raw, r.reason) for r in bad.collect()} == {('{"text": null}', "null_text"), ('{"text": "cut', "invalid_json")}
 
 
+def test_refused_records_are_written(spark, archive_dir, tmp_path):
+    folder = str(tmp_path / "refused")
+    for _ in range(2):
+        assert archive.read_tweets(spark, f"{archive_dir}/*.json.bz2", folder).count() == 4
+    assert spark.read.parquet(folder).count() == 2
+
+
 def test_emoji_dictionary(spark, tmp_path):
     lines = [
         "# comment 1F600", "", "1F602 ; fully-qualified # 😂 face with tears 64", "0023 ; x # # hash",
+        "1F600 ; x # 😀 grin 64", "1F600 ; x # 😀 grinning",
         "1F525 ; fully-qualified # 🔥 fire", "2764 FE0F ; x # ❤️ heart", "  1F600 ; x # 😀 indented",
-        "2764 FE0F ; x # ❤️ red heart 64  ", "1F44D ; x # 👍 up 64 not", "1F923 ; no space # 🤣",
+        "2764 FE0F ; x # ❤️ red heart 64  ", "1F44D ; x # 👍 up 64 not",
     ]
     path = tmp_path / "emoji.txt"
     path.write_text("\n".join(lines), encoding="utf-8")
     rows = tables.read_emoji_dictionary(spark, str(path)).collect()
     assert {(r.emoji, r.description, r.is_64) for r in rows} == {
         ("😂", "face with tears 64", True), ("🔥", "fire", False), ("❤️", "red heart 64", True), ("👍", "up 64 not", False),
+        ("😀", "grinning", True),
     }
+    path.write_text("1F923 ; no description # 🤣", encoding="utf-8")
+    with pytest.raises(Exception, match="no description"):
+        tables.read_emoji_dictionary(spark, str(path)).collect()
 
 
 def test_read_lines(spark, tmp_path):

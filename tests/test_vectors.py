@@ -133,6 +133,22 @@ def test_mean_and_max(sequences, way, padding):
         assert top[doc] == pytest.approx(np.max(vectors, axis=0))
 
 
+def test_odd_vectors_have_one_outcome(spark, way):
+    ddl = "k string, pos int, seq_len int, vector array<double>"
+    rows = [("a", 0, 2, [1.0, 2.0]), ("a", 1, 2, None), ("a", 2, 2, [9.0, 9.0]), ("b", 0, 1, None), ("c", 0, 0, [5.0, -5.0]),
+            (None, 0, 1, [-3.0, -4.0])]
+    df = spark.createDataFrame(rows, ddl)
+    mean = {r.k: r.vector for r in pooling.pool_mean(df, ["k"], 2, False).collect()}
+    assert mean == {"a": [1.0, 2.0], "b": None, "c": None, None: [-3.0, -4.0]}
+    assert {r.k: r.vector for r in pooling.pool_max(df, ["k"], 2, False).collect()} == mean
+    assert {r.k: r.vector for r in pooling.pool_mean(df, ["k"], 2).collect()}["a"] == [5.0, 5.5]
+    for kind in ("tanh", "relu"):
+        assert {r.k: r.vector for r in pooling.pool_attention(df, ["k"], [1.0, 1.0], 2, kind).collect()} == mean
+    for bad in ([1.0], [1.0, None], [1.0, 2.0, 3.0]):
+        with pytest.raises(Exception, match="not a vector of 2 numbers"):
+            pooling.pool_mean(spark.createDataFrame([("a", 0, 1, bad)], ddl), ["k"], 2).collect()
+
+
 @pytest.mark.parametrize("kind, scale", [("tanh", 1.0), ("relu", 1.0), ("relu", 1000.0)])
 def test_attention(sequences, way, kind, scale):
     rows, df = sequences
@@ -168,6 +184,8 @@ def test_encoding(spark):
     assert drop == {1: [2, 3], 2: [3, 3], 3: []}
     with pytest.raises(Exception, match="unknown token: x"):
         vocabulary.encode_ids(df, vocab, ["id"]).collect()
+    with pytest.raises(Exception, match="not unique"):
+        vocabulary.encode_ids(df.withColumn("id", F.lit(1)), vocab, ["id"], oov="unk").collect()
     known = df.where("id > 1")
     assert {r.id: r.ids for r in vocabulary.encode_ids(known, vocab, ["id"]).collect()} == {2: [3, 3], 3: []}
 
