@@ -10,7 +10,8 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from moodmill.functions.vectors import dot
 from moodmill.session import durable
@@ -46,6 +47,19 @@ def classifier_fit(
     return learner.fit(rows)
 
 
+def classifier_of_weights(
+    spark: SparkSession, sizes: tuple[int, ...], weights: list[float]
+) -> MultilayerPerceptronClassificationModel:
+    """A perceptron with given weights: per layer the matrix column by column, then the bias."""
+    row = spark.createDataFrame([(0.0, [0.0] * sizes[0])], "label double, vector array<double>")
+    learner = MultilayerPerceptronClassifier(
+        layers=list(sizes), featuresCol="_features", labelCol="label", maxIter=0, initialWeights=Vectors.dense(weights),
+        predictionCol="_prediction", probabilityCol="_probability", rawPredictionCol="_raw",
+    )
+    # Without an iteration the learner returns what it began with.
+    return learner.fit(row.select("label", array_to_vector("vector").alias("_features")))
+
+
 def classifier_predict(
     model: MultilayerPerceptronClassificationModel, df: DataFrame, vector: str = "vector"
 ) -> DataFrame:

@@ -18,11 +18,16 @@ _KEY_DIGITS = 32
 _BORDER_ROWS = 10_000
 
 
-def assemble_training(prepared: DataFrame, label_map: DataFrame) -> DataFrame:
-    """``processed, target, lang`` of the prepared rows whose class is in ``label_map(emoji, target)``."""
+def assemble_training(prepared: DataFrame, label_map: DataFrame, id_from: tuple[str, ...] = ("source_file", "text")) -> DataFrame:
+    """``row_id, processed, target, lang`` of the prepared rows whose class is in ``label_map(emoji, target)``.
+
+    ``row_id`` is a repeatable hash of those columns of ``id_from`` that there are. It is
+    unique where they are, as source file and text are after the preparation.
+    """
     targets = label_map.select(F.col("emoji").alias("class"), "target")
-    return lookup(prepared, targets, "class", "inner").select(
-        process_text_dataset(F.col("text")).alias("processed"), "target", "lang"
+    row_id = F.md5(F.concat_ws("|", *[c for c in id_from if c in prepared.columns]))
+    return lookup(prepared.withColumn("row_id", row_id), targets, "class", "inner").select(
+        "row_id", process_text_dataset(F.col("text")).alias("processed"), "target", "lang"
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from moodmill.operators.language import TOP_GRAMS
 from moodmill.operators.splits import SEED
-from moodmill.plans.queries import BATCH, CLASSES, DIM, HEADS, MAX_LEN, WIDE
+from moodmill.plans.queries import BATCH, CLASSES, DIM, GIVEN, HEADS, MAX_LEN, WIDE
 from moodmill.plans.relations import EMOJIS, LABEL_MAP, TAILS
 
 # The classes of characters, written for the other regex dialect.
@@ -331,7 +331,7 @@ def _bodies() -> dict[str, str]:
         ),
         "f0_assemble_training": _with(
             VERDICTS + ", targets(class, target) AS (VALUES " + ", ".join(f"('{e}', {t})" for e, t in LABEL_MAP) + ")",
-            f"SELECT {b9('text')} AS processed, target, lang FROM verdicts JOIN targets USING (class) WHERE verdict = 'kept'",
+            f"SELECT md5(source_file || '|' || text) AS row_id, {b9('text')} AS processed, target, lang FROM verdicts JOIN targets USING (class) WHERE verdict = 'kept'",
         ),
         "f1_holdout_split": f"SELECT doc_id, lang, is_val FROM ({_split('documents', 'doc_id', 0.25)})",
         "f2_split_mode": f"SELECT o_orderkey FROM ({_split('orders', 'o_orderkey', 0.1)}) WHERE is_val",
@@ -446,6 +446,35 @@ def _bodies() -> dict[str, str]:
   {mean_vector(f"exp(tanh({_dot(1)}))", 'doc_id', 'steps')})""",
             f"SELECT doc_id, {vector_columns('vector')} FROM pooled",
         ),
+        "i1_classifier_fit": f"""SELECT CASE WHEN is_val THEN 'Val' ELSE 'Train' END AS loop, count(*) AS n, true AS learns
+  FROM ({_split('embeddings', 'vec_id', 0.25)}) GROUP BY 1""",
+        "i2_classifier_fit_multi_head": """SELECT head, count(*) AS n,
+  round(avg(((role = 'assistant')::INT = head)::INT), 6) AS share, true AS learns
+  FROM conversations, (SELECT unnest([0, 1])::INT AS head) GROUP BY head""",
+        "i2_predict_given_weights": _with(
+            STEPS + ", " + ", ".join(
+                pooled(f"exp(tanh({_dot(h)}))", "pos < seq_len").replace("pooled AS", f"pooled_{h} AS", 1) for h in (0, 1)
+            ),
+            f"""SELECT conv_id, turn, round(a, 5) AS logit_0, round(b, 5) AS logit_1, (b > a)::INT AS prediction FROM (
+  SELECT conv_id, turn, {_dot(1, 'p.vector')} + 0.1 AS a, {_dot(2, 'q.vector')} - 0.2 AS b
+  FROM pooled_0 p JOIN pooled_1 q USING (conv_id, turn))""",
+        ),
+        "i3_classifier_predict": f"""SELECT vec_id, label AS target, {CLASSES}::BIGINT AS n_logits, true AS is_best
+  FROM embeddings""",
+        "i3_predict_given_weights": f"""SELECT vec_id, round(z[1], 5) AS logit_first, round(z[{CLASSES}], 5) AS logit_last,
+  list_position(z, list_max(z)) - 1 AS prediction FROM (
+  SELECT vec_id, [{", ".join(
+      f"list_dot_product(embedding::DOUBLE[], {numbers(GIVEN[c : DIM * CLASSES : CLASSES])}) + {GIVEN[DIM * CLASSES + c]}"
+      for c in range(CLASSES))}] AS z FROM embeddings)""",
+        "train_tweets": _with(
+            LABELLED + ", " + BAYES + ", " + languages("labelled", "source_file, text", "text")
+            + ", targets(class, target) AS (VALUES " + ", ".join(f"('{e}', {t})" for e, t in LABEL_MAP) + f"""), framed AS (
+  SELECT md5(source_file || '|' || text) AS row_id, target FROM labelled JOIN answers a USING (source_file, text)
+  JOIN targets USING (class) WHERE a.lang = 'en')""",
+            f"""SELECT CASE WHEN is_val THEN 'Val' ELSE 'Train' END AS loop, count(*) AS n,
+  {", ".join(f"count(*) FILTER (target = {t}) AS class_{t}" for _, t in LABEL_MAP)}, true AS has_loss
+  FROM ({_split('framed', 'row_id', 0.25)}) GROUP BY 1""",
+        ),
         "j1_cross_entropy": """SELECT round(avg(top + ln(list_sum(list_transform(z, lambda x: exp(x - top))))
   - z[label + 1]), 6) AS loss, count(*) AS n
   FROM (SELECT embedding::DOUBLE[] AS z, list_max(embedding)::DOUBLE AS top, label FROM embeddings)""",

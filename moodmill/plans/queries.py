@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from moodmill.functions import text as clean
 from moodmill.functions import tokens as tok
@@ -26,6 +26,9 @@ WIDE = 5  # times the vector stands in the wide queries, so that it is beyond on
 # Attention vectors of the queries, by a rule of head and dimension.
 HEADS = [[((i * (h + 1)) % 7 - 3) / 10 for i in range(DIM)] for h in range(3)]
 
+# Weights of one layer of a perceptron, by a rule of their place.
+GIVEN = [((k * 7) % 11 - 5) / 10 for k in range(CLASSES * (DIM + 1))]
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -570,23 +573,47 @@ def _labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _entropy(counts: DataFrame) -> Column:
+    """Entropy of the classes from their counts ``n`` in a group: what a constant answer loses."""
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(*[c for c in counts.columns if c not in ("target", "n")]))
+    return -share * F.log(share)
+
+
 @register("i1_classifier_fit")
 def i1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, metrics = train_and_evaluate(
-        _labelled_vectors(spark, sf_dir), "vec_id", DIM, classifier.MLP_SIZES, max_iter=40
-    )
-    return metrics.select("loop", "n", *[F.round(c, 3).alias(c) for c in ("loss", "top1", "top3")])
+    rows = _labelled_vectors(spark, sf_dir)
+    _, metrics = train_and_evaluate(rows, "vec_id", DIM, classifier.MLP_SIZES, max_iter=40)
+    counts = rows.groupBy("target").agg(F.count("*").alias("n"))
+    entropy = counts.select(_entropy(counts).alias("e")).agg(F.sum("e")).first()[0]
+    return metrics.select("loop", "n", ((F.col("loop") != "Train") | (F.col("loss") < entropy)).alias("learns"))
+
+
+def _two_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pooled = pooling.pool_attention_multi(_conversation_steps(spark, sf_dir), ["conv_id", "turn", "role"], HEADS[:2], DIM)
+    return durable(pooled.withColumn("target", (F.col("role") == "assistant").cast("int")), "two-heads")
 
 
 @register("i2_classifier_fit_multi_head")
 def i2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = HEADS[:2]
-    keys = ["conv_id", "turn", "role"]
-    pooled = pooling.pool_attention_multi(_conversation_steps(spark, sf_dir), keys, heads, DIM)
-    rows = pooled.withColumn("target", (F.col("role") == "assistant").cast("int"))
-    model = classifier.classifier_fit_multi_head(rows, len(heads), max_iter=20)
+    rows = _two_heads(spark, sf_dir)
+    model = classifier.classifier_fit_multi_head(rows, 2, max_iter=20)
     out = classifier.classifier_predict_multi_head(model, rows, ["conv_id", "turn", "target"])
-    return out.select("conv_id", "turn", "target", "prediction")
+    own = out.select("target", F.posexplode("logits").alias("head", "logit"))
+    right = (F.col("target") == F.col("head")).cast("double")
+    loss = F.log1p(F.exp(-F.abs("logit"))) + F.greatest("logit", F.lit(0.0)) - right * F.col("logit")
+    share = F.avg(right)
+    return own.groupBy("head").agg(
+        F.count("*").alias("n"), F.round(share, 6).alias("share"),
+        (F.avg(loss) <= -share * F.log(share) - (1 - share) * F.log(1 - share) + 1e-3).alias("learns"),
+    )
+
+
+@register("i2_predict_given_weights")
+def i2_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = classifier.MultiHeadModel(tuple(map(tuple, HEADS[1:])), (0.1, -0.2))
+    out = classifier.classifier_predict_multi_head(model, _two_heads(spark, sf_dir), ["conv_id", "turn"])
+    logits = [F.round(F.get("logits", F.lit(h)), 5).alias(f"logit_{h}") for h in range(2)]
+    return out.select("conv_id", "turn", *logits, "prediction")
 
 
 @register("i3_classifier_predict")
@@ -594,7 +621,40 @@ def i3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled_vectors(spark, sf_dir)
     model = classifier.classifier_fit(rows, DIM, (CLASSES,), max_iter=20)
     scored = classifier.classifier_predict(model, rows)
-    return scored.select("vec_id", "target", "prediction", F.size("logits").alias("n_logits"))
+    return scored.select(
+        "vec_id", "target", F.size("logits").cast("long").alias("n_logits"),
+        (F.get("logits", F.col("prediction")) == F.array_max("logits")).alias("is_best"),
+    )
+
+
+@register("i3_predict_given_weights")
+def i3_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = classifier.classifier_of_weights(spark, (DIM, CLASSES), GIVEN)
+    scored = classifier.classifier_predict(model, _labelled_vectors(spark, sf_dir))
+    return scored.select(
+        "vec_id", F.round(F.get("logits", F.lit(0)), 5).alias("logit_first"),
+        F.round(F.get("logits", F.lit(CLASSES - 1)), 5).alias("logit_last"), "prediction",
+    )
+
+
+@register("train_tweets")
+def train_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From tweets to a fitted and evaluated classifier: rows and classes of each side."""
+    model = language.language_fit(rel.table(spark, sf_dir, "documents"))
+    labelled = durable(labelled_tweets(rel.tweets(spark, sf_dir), rel.dictionary(spark)), "labelled")
+    frame = splits.assemble_training(language.language_predict(labelled, model), rel.label_map(spark))
+    english = durable(frame.where(F.col("lang") == "en").drop("lang"), "english")
+    config = FeatureConfig("bag", "mean", 30)
+    features = text_features(english, ["row_id", "target"], rel.token_table(spark, sf_dir), DIM, config)
+    kept = durable(features, "features")
+    fitted, metrics = train_and_evaluate(kept, "row_id", DIM, (len(rel.LABEL_MAP),), max_iter=20)
+    loop = F.when(F.col("is_val"), "Val").otherwise("Train").alias("loop")
+    sides = splits.holdout_split(kept, "row_id").groupBy(loop).agg(
+        *[F.count_if(F.col("target") == t).alias(f"class_{t}") for _, t in rel.LABEL_MAP]
+    )
+    return metrics.join(sides, "loop").select(
+        "loop", "n", *[f"class_{t}" for _, t in rel.LABEL_MAP], (F.col("loss") > 0).alias("has_loss")
+    )
 
 
 # Evaluation

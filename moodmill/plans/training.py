@@ -6,20 +6,23 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from moodmill.functions.tokens import pad_sequence, pad_words, plain_text_split, sequence_length
+from moodmill.functions.tokens import NO_STRINGS, pad_sequence, pad_words, plain_text_split, sequence_length
 from moodmill.operators.classifier import classifier_fit, classifier_predict
 from moodmill.operators.embeddings import (
     attach_word_vectors,
+    category_embedding,
+    category_width,
     embedding_lookup,
     word_vectors_attention,
     word_vectors_mean,
 )
 from moodmill.operators.evaluation import batch_metrics
-from moodmill.operators.pooling import pool_attention, pool_max, pool_mean
+from moodmill.operators.pooling import pool_attention, pool_attention_multi, pool_max, pool_mean
 from moodmill.operators.splits import HOLDOUT_SHARE, SEED, holdout_split, split_mode
 from moodmill.operators.vocabulary import encode_ids, sequence_steps
 from moodmill.session import durable
 
+# Length of a padded text, and the id of the padding.
 MAX_LEN = 100
 PAD_ID = 0
 
@@ -30,7 +33,8 @@ class FeatureConfig:
 
     ``embedding`` is ``'dict'`` (one id per word), ``'bag'`` (mean of n-gram
     vectors) or ``'wbag'`` (attention over n-gram vectors). ``pooling`` is
-    ``'mean'``, ``'max'`` or ``'attention'``.
+    ``'mean'``, ``'max'``, ``'attention'`` or ``'heads'``, one attention per entry
+    of ``head_weights``.
     """
 
     embedding: str = "bag"
@@ -38,6 +42,7 @@ class FeatureConfig:
     max_len: int = MAX_LEN
     word_weights: tuple[float, ...] = ()
     step_weights: tuple[float, ...] = ()
+    head_weights: tuple[tuple[float, ...], ...] = ()
 
 
 def encode_samples(
@@ -45,8 +50,10 @@ def encode_samples(
     max_len: int = MAX_LEN, oov: str = "error",
 ) -> DataFrame:
     """``keys, ids, seq_len``: padded word indices of each text."""
-    tokens = df.select(*keys, plain_text_split(F.col(text)).alias("tokens"))
-    encoded = encode_ids(tokens, vocabulary, keys, oov=oov)
+    words = F.coalesce(plain_text_split(F.col(text)), F.expr(NO_STRINGS))
+    if oov == "unk":
+        words = F.slice(words, 1, max_len)  # what the padding would cut off is not encoded
+    encoded = encode_ids(df.select(*keys, words.alias("tokens")), vocabulary, keys, oov=oov)
     return encoded.select(
         *keys,
         pad_sequence(F.col("ids"), max_len, F.lit(PAD_ID).cast("bigint")).alias("ids"),
@@ -55,8 +62,9 @@ def encode_samples(
 
 
 def word_samples(df: DataFrame, keys: list[str], text: str = "processed", max_len: int = MAX_LEN) -> DataFrame:
-    """``keys, words, seq_len``: padded words of each text; a projection."""
-    tokens = df.select(*keys, plain_text_split(F.col(text)).alias("_tokens"))
+    """``keys, words, seq_len``: padded words of each text, none of a null text; a projection."""
+    words = F.coalesce(plain_text_split(F.col(text)), F.expr(NO_STRINGS))
+    tokens = df.select(*keys, words.alias("_tokens"))
     return tokens.select(
         *keys,
         pad_words(F.col("_tokens"), max_len).alias("words"),
@@ -84,16 +92,26 @@ def vector_steps(
 
 def text_features(
     df: DataFrame, keys: list[str], table: DataFrame, dim: int, config: FeatureConfig = FeatureConfig(),
-    text: str = "processed", oov: str = "error",
+    text: str = "processed", oov: str = "error", categories: dict[str, tuple[DataFrame, int]] | None = None,
 ) -> DataFrame:
-    """``keys, vector``: one pooled vector per text."""
+    """``keys, vector``: one pooled vector per text, with ``head`` for the pooling by heads.
+
+    ``keys`` may carry further columns of a row, such as its target. ``categories`` maps
+    key columns that hold codes to their tables, whose vectors are appended before the
+    pooling. A text without steps has a null vector where padding does not count.
+    """
     steps = vector_steps(df, keys, table, dim, config, text, oov)
+    if categories:
+        steps = category_embedding(steps, categories)
+        dim += sum(category_width(size) for _, size in categories.values())
     if config.pooling == "mean":
         return pool_mean(steps, keys, dim)
     if config.pooling == "max":
         return pool_max(steps, keys, dim)
     if config.pooling == "attention":
         return pool_attention(steps, keys, list(config.step_weights), dim)
+    if config.pooling == "heads":
+        return pool_attention_multi(steps, keys, [list(w) for w in config.head_weights], dim)
     raise ValueError(f"unknown pooling {config.pooling!r}")
 
 

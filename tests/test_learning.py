@@ -70,7 +70,10 @@ def test_training_frame(spark):
         [("So GOOD, yes", "en", "😂"), ("other", "en", "🔥")], "text string, lang string, class string"
     )
     rows = splits.assemble_training(prepared, label_map(spark)).collect()
-    assert [tuple(r) for r in rows] == [("so good yes", 0, "en")]
+    assert [tuple(r)[1:] for r in rows] == [("so good yes", 0, "en")]
+    named = prepared.withColumn("source_file", F.lit("f"))
+    ids = {r.row_id for r in splits.assemble_training(named.unionByName(named), label_map(spark)).collect()}
+    assert len(ids) == 1 and ids != {rows[0].row_id}
 
 
 def test_dedup_scopes_and_union(spark):
@@ -136,6 +139,13 @@ def test_classifier_beats_the_majority(points):
     assert scored.select(F.size("logits")).first()[0] == 3
 
 
+def test_classifier_of_given_weights(spark, points):
+    model = classifier.classifier_of_weights(spark, (2, 3), [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 0.1, 0.2, 0.3])
+    row = classifier.classifier_predict(model, points.limit(1)).first()
+    x, y = row.vector
+    assert row.logits == pytest.approx([x + 4 * y + 0.1, 2 * x + 5 * y + 0.2, 3 * x + 6 * y + 0.3])
+
+
 def test_multi_head_classifier(points):
     heads = points.select("id", "target", "vector", F.explode(F.array(*[F.lit(h) for h in range(3)])).alias("head"))
     model = classifier.classifier_fit_multi_head(heads, 3)
