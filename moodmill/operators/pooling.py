@@ -21,9 +21,12 @@ def _kept(steps: DataFrame, include_padding: bool) -> DataFrame:
     return steps.withColumn("vector", F.when(F.col("pos") < F.col("seq_len"), F.col("vector")))
 
 
-def pool_mean(steps: DataFrame, keys: list[str], dim: int, include_padding: bool = True) -> DataFrame:
-    """Mean over the steps."""
-    return _kept(steps, include_padding).groupBy(*keys).agg(mean_vector(F.col("vector"), dim).alias("vector"))
+def pool_mean(
+    steps: DataFrame, keys: list[str], dim: int, include_padding: bool = True, times: str | None = None
+) -> DataFrame:
+    """Mean over the steps. ``times`` names a column that says how often a step stands in its sequence."""
+    weight = F.col(times) if times else None
+    return _kept(steps, include_padding).groupBy(*keys).agg(mean_vector(F.col("vector"), dim, weight).alias("vector"))
 
 
 def pool_max(steps: DataFrame, keys: list[str], dim: int, include_padding: bool = True) -> DataFrame:
@@ -32,18 +35,20 @@ def pool_max(steps: DataFrame, keys: list[str], dim: int, include_padding: bool
 
 
 def pool_attention(
-    steps: DataFrame, keys: list[str], weights: list[float], dim: int, nonlinearity: str = "tanh"
+    steps: DataFrame, keys: list[str], weights: list[float], dim: int, nonlinearity: str = "tanh",
+    times: str | None = None,
 ) -> DataFrame:
     """Sum of the steps before ``seq_len``, weighted by a softmax of their scores.
 
     A masked and renormalised softmax is a softmax over the kept steps, and a
     weighted mean with ``exp(score)`` as weight is the softmax sum.
     """
-    return pool_attention_multi(steps, keys, [weights], dim, nonlinearity).drop("head")
+    return pool_attention_multi(steps, keys, [weights], dim, nonlinearity, times).drop("head")
 
 
 def pool_attention_multi(
-    steps: DataFrame, keys: list[str], weights: list[list[float]], dim: int, nonlinearity: str = "tanh"
+    steps: DataFrame, keys: list[str], weights: list[list[float]], dim: int, nonlinearity: str = "tanh",
+    times: str | None = None,
 ) -> DataFrame:
     """One attention pooling per head: ``keys, head, vector``.
 
@@ -51,7 +56,7 @@ def pool_attention_multi(
     """
     heads = range(len(weights))
     scored = _kept(steps, False).select(
-        *keys, "vector",
+        *keys, "vector", (F.col(times) if times else F.lit(1)).alias("_times"),
         *[nonlinear(dot(F.col("vector"), w), nonlinearity).alias(f"_score_{h}") for h, w in zip(heads, weights)],
     )
     shifts = [F.lit(0.0) for _ in heads]
@@ -63,7 +68,8 @@ def pool_attention_multi(
         scored = scored.join(top, reduce(lambda a, b: a & b, same), "left")
         shifts = [F.col(f"_top_{h}") for h in heads]
     weighted = scored.select(
-        *keys, "vector", *[F.exp(F.col(f"_score_{h}") - shifts[h]).alias(f"_weight_{h}") for h in heads]
+        *keys, "vector",
+        *[(F.col("_times") * F.exp(F.col(f"_score_{h}") - shifts[h])).alias(f"_weight_{h}") for h in heads],
     )
     pooled = weighted.groupBy(*keys).agg(
         *[mean_vector(F.col("vector"), dim, F.col(f"_weight_{h}"), len(weights)).alias(f"_head_{h}") for h in heads]

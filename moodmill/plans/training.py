@@ -76,11 +76,21 @@ def vector_steps(
     df: DataFrame, keys: list[str], table: DataFrame, dim: int, config: FeatureConfig,
     text: str = "processed", oov: str = "error",
 ) -> DataFrame:
-    """``keys, seq_len, pos, vector`` of each step of the padded texts."""
+    """``keys, seq_len, pos, vector, times``: the steps of the padded texts.
+
+    No pooling looks at the order of steps, so a word that stands several times in a
+    text, as the padding does, is one step with its number as ``times``. Then ``pos`` and
+    ``seq_len`` only say whether it is a word of the text (0 of 1) or padding (1 of 1).
+    """
     if config.embedding == "dict":
         samples = encode_samples(df, keys, table, text, config.max_len, oov)
-        return embedding_lookup(sequence_steps(samples, "ids", "idx"), table).drop("idx")
-    steps = sequence_steps(word_samples(df, keys, text, config.max_len), "words")
+        steps = embedding_lookup(sequence_steps(samples, "ids", "idx"), table).drop("idx")
+        return steps.withColumn("times", F.lit(1))
+    padding = (F.col("pos") >= F.col("seq_len")).cast("int").alias("pos")
+    every = sequence_steps(word_samples(df, keys, text, config.max_len), "words")
+    steps = every.groupBy(*keys, padding, "word").agg(F.count("*").alias("times"), F.lit(1).alias("seq_len"))
+    # Written once: its words are listed, and then it is joined with their vectors.
+    steps = durable(steps, "steps")
     if config.embedding == "bag":
         vectors = word_vectors_mean(steps, table, dim)
     elif config.embedding == "wbag":
@@ -105,13 +115,13 @@ def text_features(
         steps = category_embedding(steps, categories)
         dim += sum(category_width(size) for _, size in categories.values())
     if config.pooling == "mean":
-        return pool_mean(steps, keys, dim)
+        return pool_mean(steps, keys, dim, times="times")
     if config.pooling == "max":
         return pool_max(steps, keys, dim)
     if config.pooling == "attention":
-        return pool_attention(steps, keys, list(config.step_weights), dim)
+        return pool_attention(steps, keys, list(config.step_weights), dim, times="times")
     if config.pooling == "heads":
-        return pool_attention_multi(steps, keys, [list(w) for w in config.head_weights], dim)
+        return pool_attention_multi(steps, keys, [list(w) for w in config.head_weights], dim, times="times")
     raise ValueError(f"unknown pooling {config.pooling!r}")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,13 +30,14 @@ def build_session(name: str = "moodmill", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session may fall back to a temporary folder; on a cluster a
-    machine-local path would be lost with its executor, so that is refused.
+    Only a session within one process may fall back to a temporary folder; with
+    executors of their own, a machine-local path would be lost with them, so that is
+    refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="moodmill-")
     spark.sparkContext.setCheckpointDir(made)
@@ -43,8 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the folder of this application in the shared folder."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application. Frames that read them cannot be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame, label: str = "table", partition_by: str | None = None) -> DataFrame:
@@ -53,7 +61,8 @@ def durable(df: DataFrame, label: str = "table", partition_by: str | None = None
     With ``partition_by`` a reader of one value of that column reads only its files.
 
     Cuts the lineage: what is read afterwards stays the same when executors are
-    lost, and the reader knows the size of the table, which joins rely on.
+    lost, and the reader knows the size of the table, which joins rely on. Tables stay
+    until ``clear_scratch``.
     """
     path = scratch_path(df.sparkSession, label)
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)

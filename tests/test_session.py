@@ -23,6 +23,8 @@ def test_only_a_local_session_makes_its_own():
     assert shared_dir(local) == made
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(fake("spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(fake("local-cluster[2,1,1024]"))
 
 
 def test_durable_tables(spark):

@@ -222,3 +222,24 @@ def test_text_features_on_the_smoke_sentences(spark, table, embedding, pooled):
             padded = steps + [word_vector(" ")] * 2
             expected = np.mean(padded, axis=0) if pooled == "mean" else np.max(padded, axis=0)
         assert got[i] == pytest.approx(expected)
+
+
+def test_features_of_texts_without_words(spark, table):
+    df = spark.createDataFrame([(1, "cat cat is"), (2, None), (None, "is")], "id int, processed string")
+    config = FeatureConfig("bag", "attention", 8, (), tuple([0.5] * DIM))
+    got = {r.id: r.vector for r in text_features(df, ["id"], table, DIM, config).collect()}
+    assert set(got) == {1, 2, None} and got[2] is None and got[1] is not None
+    mean = {r.id: r.vector for r in text_features(df, ["id"], table, DIM, FeatureConfig("bag", "mean", 8)).collect()}
+    assert mean[2] == pytest.approx(np.mean([vector(i) for i in ids(" ")], axis=0))
+
+
+def test_features_with_categories_and_heads(spark, table):
+    df = spark.createDataFrame([(1, "cat is", 2), (2, "at", 0)], "id int, processed string, code int")
+    codes = spark.createDataFrame([(i, [float(i)]) for i in range(3)], "code int, vector array<double>")
+    heads = ((0.1,) * (DIM + 1), (0.5,) * (DIM + 1))
+    out = text_features(
+        df, ["id", "code"], table, DIM, FeatureConfig("bag", "heads", 8, head_weights=heads), categories={"code": (codes, 3)}
+    )
+    got = {(r.id, r["head"]): r.vector for r in out.collect()}
+    assert len(got) == 4 and all(len(v) == DIM + 1 for v in got.values())
+    assert got[1, 0][-1] == pytest.approx(2.0) and got[2, 1][-1] == pytest.approx(0.0)
