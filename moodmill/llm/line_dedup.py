@@ -200,7 +200,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     flagged = boxed.withColumn("_has", F.coalesce(has, F.lit(False)))
     none = F.lit(None).cast("array<binary>")
     clean = flagged.where(~F.col("_has")).select("_row", "_text", none.alias("_lines"))
-    met = flagged.where("_has").join(drops, "key", "left").select("_row", "_text", "_lines")
+    # One way of joining at every size: what is to be dropped grows with the documents.
+    met = flagged.where("_has").join(drops.hint("merge"), "key", "left").select("_row", "_text", "_lines")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
