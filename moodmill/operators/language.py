@@ -9,12 +9,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from moodmill.functions.tokens import exploded, find_ngrams
+from moodmill.functions.vectors import per_dimension
 from moodmill.operators.lookup import lookup
 from moodmill.session import durable
 
 GRAM_SIZES = (1, 2, 3)
 TOP_GRAMS = 400  # of a profile; the fitted model holds all grams
 _SALTS = 32
+_CHUNK = 32
+_KNOWN = "\x00"  # no language code
 
 
 @dataclass(frozen=True)
@@ -113,29 +116,50 @@ def language_fit(
 def language_predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Add ``lang, prob``: the most probable language, ``'none'`` and 0 for a text without any gram of the model.
 
-    Each distinct text is cut once and its grams meet the table of the model, which
-    ``lookup`` broadcasts if it is small. Partial sums leave a row per text and language
-    before the shuffle. Ties go to the lowest language code.
+    Texts are cut at each position. For each distinct cut the weights of its grams are
+    added up once; the cuts of the texts then meet that table, which ``lookup``
+    broadcasts if it is small. Partial sums leave a row per text before the shuffle.
+    Ties go to the lowest language code.
     """
     # Two hashes stand for a text, so that long texts are not dragged through the joins.
     key = [F.xxhash64(F.col(text)).alias("_h"), F.xxhash64(F.lit(1), F.col(text)).alias("_i")]
     asked = df.select(F.col(text).alias("_asked"), *key).where(F.col("_asked").isNotNull()).distinct()
     cuts = asked.select("_h", "_i", exploded(_cuts(F.col("_asked"), model.sizes)).alias("cut"))
-    met = lookup(_prefixes(cuts, model.sizes, "_h", "_i"), model.weights, "gram", "inner")
-    # The entry without a language counts the known grams.
-    entries = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(1.0).alias("w"))), F.col("held"))
-    sums = met.select("_h", "_i", F.inline(entries)).groupBy("_h", "_i", "lang").agg(F.sum("w").alias("s"))
-    known = F.sum(F.when(F.col("lang").isNull(), F.col("s"))).alias("_n")
-    gathered = sums.groupBy("_h", "_i").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "s")))).alias("_held"), known
+    cuts = cuts.where(F.col("cut").isNotNull())
+
+    known = lookup(
+        _prefixes(cuts.select("cut").distinct().withColumn("_cut", F.col("cut")), model.sizes, "_cut"),
+        model.weights, "gram", "inner",
+    )
+    # One more entry counts the known grams.
+    entries = F.concat(F.array(F.struct(F.lit(_KNOWN).alias("lang"), F.lit(1.0).alias("w"))), F.col("held"))
+    added = known.select("_cut", F.inline(entries)).groupBy("_cut", "lang").agg(F.sum("w").alias("w"))
+    by_language = added.groupBy("_cut").agg(F.map_from_entries(F.collect_list(F.struct("lang", "w"))).alias("_held"))
+    # A dense vector per cut: the number of known grams, then a sum per language; in chunks of bounded width.
+    slots = F.from_json(F.lit(json.dumps([_KNOWN, *model.languages])), "array<string>")
+    n_slots = len(model.languages) + 1
+    width = min(n_slots, _CHUNK)
+    n_chunks = -(-n_slots // width)
+    dense = F.concat(
+        F.transform(slots, lambda x: F.coalesce(F.try_element_at("_held", x), F.lit(0.0))),
+        F.array_repeat(F.lit(0.0), n_chunks * width - n_slots),
     )
-    table = F.from_json(
+    chunks = F.transform(F.sequence(F.lit(0), F.lit(n_chunks - 1)), lambda k: F.slice("_dense", k * width + 1, F.lit(width)))
+    table = durable(
+        by_language.withColumn("_dense", dense).select(F.col("_cut").alias("cut"), chunks.alias("_chunks")), "cut-weights"
+    )
+
+    met = lookup(cuts, table, "cut", "inner").select("_h", "_i", F.posexplode("_chunks").alias("_chunk", "_v"))
+    sums = met.groupBy("_h", "_i", "_chunk").agg(per_dimension(F.sum, F.col("_v"), width).alias("_v"))
+    ordered = F.array_sort(F.collect_list(F.struct("_chunk", "_v")))
+    gathered = sums.groupBy("_h", "_i").agg(F.flatten(F.transform(ordered, lambda x: x["_v"])).alias("_sums"))
+    listed = F.from_json(
         F.lit(json.dumps([{"l": a, "p": b, "d": c} for a, b, c in zip(model.languages, model.priors, model.defaults)])),
         "array<struct<l:string,p:double,d:double>>",
     )
     scores = F.transform(
-        table,
-        lambda t: F.struct((t["p"] + t["d"] * F.col("_n") + F.coalesce(F.try_element_at("_held", t["l"]), F.lit(0.0))).alias("s"), t["l"].alias("l")),
+        listed,
+        lambda t, i: F.struct((t["p"] + t["d"] * F.get("_sums", F.lit(0)) + F.get("_sums", i + 1)).alias("s"), t["l"].alias("l")),
     )
     top = F.array_max(F.transform("_scores", lambda x: x["s"]))
     best = F.array_min(F.transform("_scores", lambda x: F.struct((-x["s"]).alias("s"), x["l"].alias("l"))))["l"]
