@@ -7,18 +7,18 @@ state whose strings have just that length names the items. Items shorter than a
 are windows as a whole.
 
 The benchmark is read in blocks of a bounded number of words, each with an automaton of
-its own that is sent to the tasks; the documents meet one block after the other, so the
-memory does not grow with the benchmark. A task holds one text at a time beside its batch.
+its own that is sent to the tasks. The documents meet one block after the other, written
+in between, so neither the driver nor a task ever holds more than one automaton.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from moodmill.llm.common import durable
 
@@ -158,8 +158,8 @@ class SuffixAutomaton:
 
 def automata(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW,
              block_words: int = BLOCK_WORDS) -> Iterator[SuffixAutomaton]:
-    """Automata of the benchmark, one per block of items; items without a word take no part."""
-    held, n = [], 0
+    """Automata of the benchmark, one per block of items and one at least; items without a word take no part."""
+    held, n, first = [], 0, True
     for row in benchmark.select(F.col(item).cast("string"), text).toLocalIterator():
         words = words_of(row[1])
         held.append((row[0] or "", words))
@@ -167,7 +167,8 @@ def automata(benchmark: DataFrame, item: str = "item_id", text: str = "text", wi
         if n >= block_words:
             yield SuffixAutomaton(held, window)
             held, n = [], 0
-    if held:
+            first = False
+    if held or first:
         yield SuffixAutomaton(held, window)
 
 
@@ -182,20 +183,37 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scanner(spark, blocks: list) -> Callable[[str | None], tuple[list[bytes], list[tuple[int, int]], list[str]]]:
-    sent = [spark.sparkContext.broadcast(a) for a in blocks]
-
-    def scan(text: str | None):
-        words = words_of(text)
-        spans: list[tuple[int, int]] = []
-        items: set[str] = set()
-        for block in sent:
-            found, named = block.value.search(words)
-            spans += found
-            items |= named
-        return words, merged(spans), sorted(items)
-
-    return scan
+def _searched(docs: DataFrame, benchmark: DataFrame, text: str, window: int, block_words: int) -> DataFrame:
+    """``row, text, n_words, items, spans`` of every row of ``docs``, after all blocks of the benchmark."""
+    found = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("text"),
+        F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<string>").alias("items"),
+        F.array().cast("array<struct<start: bigint, end: bigint>>").alias("spans"),
+    )
+    schema = found.schema
+    for number, automaton in enumerate(automata(benchmark, window=window, block_words=block_words)):
+        if number:
+            found = durable(found, "searched")
+        sent = docs.sparkSession.sparkContext.broadcast(automaton)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n_words, items, spans = [], [], []
+                for t, had_items, had_spans in zip(batch.column(1), batch.column(3), batch.column(4)):
+                    words = words_of(t.as_py())
+                    here, named = sent.value.search(words)
+                    n_words.append(len(words))
+                    items.append(sorted(named.union(had_items.as_py())))
+                    before = [(s["start"], s["end"]) for s in had_spans.as_py()]
+                    spans.append([{"start": a, "end": b} for a, b in merged(here + before)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()),
+                     pa.array(items, batch.schema.field(3).type), pa.array(spans, batch.schema.field(4).type)],
+                    schema=batch.schema,
+                )
+
+        found = found.mapInArrow(run, schema)
+    return found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
@@ -205,29 +223,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     Null and empty texts have no words; repeated rows give repeated results. An empty
     benchmark hits nothing.
     """
-    scan = _scanner(docs.sparkSession, list(automata(benchmark, window=window, block_words=block_words)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, spans, items = [], [], []
-            for t in batch.column(1):
-                words, found, named = scan(t.as_py())
-                n_words.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in found])
-                items.append(named)
-            pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())),
-                 pa.array(spans, pa.list_(pair))],
-                ["key", "n_words", "items", "spans"],
-            )
-
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_words bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>"
-    found = docs.select(F.col(key).alias("key"), text).mapInArrow(run, schema)
+    found = _searched(docs.select(F.col(key).alias("key"), text), benchmark, text, window, block_words)
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
     return found.select(
-        F.col("key").alias(key), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.col("row.key").alias(key), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         "items", "spans",
     )
 
@@ -262,22 +261,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     more than ``max_coverage`` lie in windows is removed; with 0 every contaminated one
     is, with 1 all stay without their spans. Clean rows pass unchanged, also null texts.
     """
-    scan = _scanner(docs.sparkSession, list(automata(benchmark, window=window, block_words=block_words)))
-    at = docs.columns.index(text)
+    names = docs.columns
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    found = _searched(docs, benchmark, text, window, block_words)
+    kept = found.where(hit <= max_coverage * F.col("n_words")).select(
+        "row", "text", F.filter("spans", lambda s: s["end"] - s["start"] >= max_span).alias("spans")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = batch.column(at).to_pylist(), []
-            for i, t in enumerate(texts):
-                words, spans, _ = scan(t)
-                hit = sum(b - a for a, b in spans)
-                keep.append(hit <= max_coverage * len(words))
-                long = [(a, b) for a, b in spans if b - a >= max_span]
-                if long and keep[-1]:
-                    texts[i] = cut_spans(t, long)
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-            yield out.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            texts = batch.column(1).to_pylist()
+            for i, spans in enumerate(batch.column(2).to_pylist()):
+                if spans:
+                    texts[i] = cut_spans(texts[i], [(s["start"], s["end"]) for s in spans])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
+
+    if max_coverage > 0:
+        kept = kept.mapInArrow(run, T.StructType([kept.schema["row"], kept.schema["text"]]))
+    # Without any coverage allowed nothing is left to cut.
+    return kept.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names])
