@@ -34,7 +34,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its row number, shard and slot."""
-    return sharded(docs, [c for c in ("doc_id", "source", "lang", "n_chars", "text") if c in docs.columns])
+    return sharded(docs, ["doc_id"])
 
 
 STAGES = [

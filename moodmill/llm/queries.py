@@ -78,7 +78,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = given(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(whole) + 16).cast("long").alias("size"), F.crc32(whole).alias("text_crc32")
     )
-    return sharding.sharded(rows, ["doc_id", "size", "text_crc32"]).select(
+    return sharding.sharded(rows, ["doc_id"]).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "row_number",
     )

@@ -80,12 +80,14 @@ def row_of(shard: int, slot: int, n: int, shards: int = SHARDS, seed: int = SEED
 def sharded(docs: DataFrame, order: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Add ``row_number``, ``shard`` and ``slot`` to the rows, numbered in the given order.
 
-    Repeated rows are rows of their own; a null comes first in the order. Rows that are
-    equal in ``order`` may swap their places. An empty table gives an empty one. Columns
-    of these names are replaced.
+    Ties go by a hash of the whole row, so that only equal rows may swap their places; a
+    null comes first in the order. Repeated rows are rows of their own. An empty table
+    gives an empty one. Columns of these names are replaced.
     """
     names = [c for c in docs.columns if c not in ("row_number", "shard", "slot")]
-    numbered = ranked(docs.select(*[F.col(f"`{c}`") for c in names]), [F.col(f"`{c}`") for c in order], "row_number")
+    every = [F.col(f"`{c}`") for c in names]
+    # Sort keys are sampled by the driver, so a long text is no sort key itself.
+    numbered = ranked(docs.select(*every), [*[F.col(f"`{c}`") for c in order], F.xxhash64(*every)], "row_number")
     n = numbered.count()
     permutation = Permutation(n, seed)
     at = len(names)
