@@ -8,6 +8,7 @@ from moodmill.functions.text import process_tweets
 from moodmill.operators.dedup import dedup
 from moodmill.operators.emoji import EmojiDictionary, FilterConfig, emoji_verdict
 from moodmill.operators.language import LanguageModel, language_predict
+from moodmill.session import durable
 
 
 def labelled_tweets(
@@ -36,6 +37,9 @@ def prepare(
     languages: LanguageModel,
     config: FilterConfig = FilterConfig(),
 ) -> DataFrame:
-    """Prepared rows ``text, lang, prob, class, count``, distinct per source file."""
-    labelled = labelled_tweets(tweets, dictionary, config)
+    """Prepared rows ``text, lang, prob, class, count``, distinct per source file.
+
+    The kept texts are written once; the language prediction reads them several times.
+    """
+    labelled = durable(labelled_tweets(tweets, dictionary, config), "labelled")
     return language_predict(labelled, languages).select("text", "lang", "prob", "class", "count")
