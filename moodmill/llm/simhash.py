@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from moodmill.llm.common import durable, whole_runs
 
@@ -323,20 +323,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return marked.join(named, "fp").select(key, "fp", "component_id")
 
 
+def grouped(rows: DataFrame) -> DataFrame:
+    """``_hash, _key, _group`` of rows with ``_text``: the group of near copies of each row."""
+    found = near_duplicates(rows.select("_hash", "_text"), "_hash", "_text")
+    return rows.select("_hash", "_key").distinct().join(
+        found.select("_hash", F.col("component_id").alias("_group")).distinct(), "_hash"
+    )
+
+
+def _row_hash(columns: list[str], seed: int) -> Column:
+    """A hash of a whole row; the nulls count with their places."""
+    cols = [F.col(f"`{c}`") for c in columns]
+    return F.xxhash64(F.lit(seed), *cols, *[c.isNull() for c in cols])
+
+
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of near copies, the one with the smallest key.
+    """One row of each group of near copies, the one with the smallest key and hash of the whole row.
 
-    The columns are those of ``docs``. Of repeated rows one stays. Rows without a key
-    cannot stand for a group and all stay.
+    The columns are those of ``docs``. Of repeated rows one stays; different texts under
+    one key are judged like those of different keys. Rows without a key do not stand for
+    rows with one: each group has one of its own for them.
     """
     names = docs.columns
-    found = near_duplicates(docs, key, text)
-    chosen = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_key")).distinct()
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(key).alias("_key"))
-    # The rows of a key lie together after the join; one of them stays.
-    kept = boxed.join(chosen, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row"))
-    nameless = boxed.where(F.col("_key").isNull())
-    return kept.unionByName(nameless).select("_row.*")
+    boxed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
+        F.struct(_row_hash(names, 1).alias("a"), _row_hash(names, 2).alias("b")).alias("_hash"),
+        F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"),
+    )
+    placed = durable(grouped(boxed.select("_hash", "_key", "_text")), "grouped")
+    chosen = placed.groupBy("_group", F.col("_key").isNull()).agg(F.min(F.struct("_key", "_hash")).alias("_best"))
+    chosen = durable(chosen.select("_best._hash.a", "_best._hash.b"), "chosen")
+    # The two hashes stand for the row, so that a key with many rows is spread; equal rows become one.
+    named = boxed.select("_row", "_hash.a", "_hash.b").join(chosen, ["a", "b"], "left_semi")
+    return named.groupBy("a", "b").agg(F.first("_row").alias("_row")).select("_row.*")
 
 
 def fingerprint_hex(fp: str = "fp"):

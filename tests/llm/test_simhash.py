@@ -78,6 +78,16 @@ def test_edges_of_the_table(spark):
     assert simhash.first_of_each(docs.where("false")).count() == 0
 
 
+def test_texts_under_one_key_are_judged_apart(spark):
+    one, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, one, "x"), (5, other, "x"), (5, other, "x"), (6, other, "y"), (5, other, None), (None, one, "u"), (None, one, "v")]
+    for order in (rows, rows[::-1]):
+        kept = simhash.first_of_each(spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)).collect()
+        assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, one), (5, one), (5, other)]
+        assert [r for r in kept if r.text == other] == [r for r in (first if order is not rows else kept) if r.text == other]
+        first = kept
+
+
 def test_hot_bucket_is_split(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL_ROWS", 50)
     rng = np.random.default_rng(1)
