@@ -1,15 +1,17 @@
 """URL filters: listed rules, and association rules that FP-growth mines from labels.
 
 A listed rule is a host and the beginning of a path; the longest one that fits decides.
-Other URLs are judged by mined rules: the tokens of labelled URLs are transactions, those
-of unwanted ones with one more item, and Spark's FP-growth finds the combinations that
-come with it. Rules need a least support and confidence; one that a shorter rule with at
+Other URLs are judged by mined rules: the tokens of labelled unwanted URLs are transactions,
+Spark's FP-growth finds their combinations, and the wanted URLs that have them are
+counted. Rules need a least support and confidence; one that a shorter rule with at
 least its confidence implies is pruned. A rule stands in an inverted index under its
 rarest token, so a URL meets only rules one of whose tokens it has.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,9 +29,7 @@ RULES = (
 MIN_SUPPORT = 0.002
 MIN_ROWS = 20
 MIN_CONFIDENCE = 0.8
-MAX_ANTECEDENT = 4
-MINED_TOKENS = 12  # of a URL, the first ones; bounds the combinations of one transaction
-UNWANTED = "=block"
+MAX_ANTECEDENT = 4  # up to which the test searches plainly; mining has no such bound
 
 
 def _rest(url: Column) -> Column:
@@ -72,45 +72,106 @@ def url_tokens(url: Column) -> Column:
     return F.filter(every, lambda x: ~x.rlike("^[a-z]+:$"))
 
 
+def _classes(patterns: DataFrame, least: int) -> DataFrame:
+    """``token, name, bad, good``: tokens of at least ``least`` unwanted rows; those that stand in the same rows share a name."""
+    tokens = F.col("tokens")
+    each = patterns.select(F.explode(tokens).alias("token"), "bad", "good", F.xxhash64(tokens).alias("x"), F.xxhash64(F.lit(1), tokens).alias("y"))
+    counted = each.groupBy("token").agg(
+        F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")
+    ).where(F.col("bad") >= least)
+    counted = durable(counted, "url-tokens")
+    named = counted.groupBy("x", "y", "bad", "good").agg(F.min("token").alias("name"))
+    return durable(counted.join(named, ["x", "y", "bad", "good"]).select("token", "name", "bad", "good"), "url-classes")
+
+
+def _counted_sets(patterns: DataFrame, least: int) -> DataFrame:
+    """``tokens, bad, good``: every combination in at least ``least`` unwanted rows, and its rows."""
+    bad = patterns.where(F.col("bad") > 0).select("tokens", F.explode(F.expr("sequence(1L, bad)"))).select("tokens")
+    bad = durable(bad, "transactions")
+    n = bad.count()
+    # A little below, so that rounding does not ask for a row more.
+    model = FPGrowth(itemsCol="tokens", minSupport=min(1.0, (least - 0.5) / n)).fit(bad)
+    sets = durable(model.freqItemsets.select(F.sort_array("items").alias("tokens"), F.col("freq").alias("bad")), "url-sets")
+    good = patterns.where(F.col("good") > 0).select(F.monotonically_increasing_id().alias("_row"), F.col("tokens").alias("_tokens"), "good")
+    good = durable(good, "wanted")
+    often = good.select(F.explode("_tokens").alias("token"), "good").groupBy("token").agg(F.sum("good").alias("freq"))
+    # A set stands under its rarest token of the wanted rows; one with a token that none has is met by none.
+    under = (
+        sets.select("tokens", F.explode("tokens").alias("token")).join(often, "token", "left")
+        .groupBy("tokens").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "token")).alias("least"))
+        .select("tokens", F.col("least.token").alias("_token"))
+    )
+    met = (
+        good.select("_tokens", "good", F.explode("_tokens").alias("_token")).join(under, "_token")
+        .where(F.size(F.array_except("tokens", "_tokens")) == 0).groupBy("tokens").agg(F.sum("good").alias("good"))
+    )
+    return durable(sets.join(met, "tokens", "left").select("tokens", "bad", F.coalesce("good", F.lit(0)).alias("good")), "url-counted")
+
+
+def _unimplied(sets: DataFrame) -> DataFrame:
+    """``tokens, bad, confidence`` of the sets whose confidence is above that of each of their proper parts."""
+    sets = sets.select("tokens", "bad", (F.col("bad") / (F.col("bad") + F.col("good"))).alias("confidence"))
+    longest = sets.agg(F.max(F.size("tokens")).alias("n")).first().n or 0
+    best = durable(sets.where(F.size("tokens") == 1).withColumn("before", F.lit(-1.0)), "url-best")
+    kept = best
+    for size in range(2, longest + 1):
+        # All parts of a set that is frequent are frequent: those with one token less carry the best of the others.
+        own = sets.where(F.size("tokens") == size)
+        parts = own.select(F.col("tokens").alias("whole"), F.explode("tokens").alias("token")).select(
+            "whole", F.expr("filter(whole, x -> x != token)").alias("tokens")
+        )
+        before = parts.join(best, "tokens").groupBy("whole").agg(F.max(F.greatest("confidence", "before")).alias("before"))
+        best = durable(own.join(before, own["tokens"] == before["whole"]).drop("whole"), "url-best")
+        kept = kept.unionByName(best)
+    return kept.where(F.col("confidence") > F.col("before")).drop("before")
+
+
 def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS,
                 min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``tokens, confidence, support, rarest``: combinations that come with unwanted URLs.
 
     ``labelled`` holds ``url, unwanted`` (boolean), a row per labelled page. Support is
-    that of the combination together with the label. Without labels there is no rule.
+    that of the combination together with the label. All tokens of a URL count, and a
+    rule may have any number of them. Without labels there is no rule.
     """
-    items = labelled.where(F.col("unwanted").isNotNull()).select(
-        F.slice(url_tokens(F.col("url")), 1, MINED_TOKENS).alias("tokens"), "unwanted"
-    )
-    items = durable(
-        items.select(F.when(F.col("unwanted"), F.concat("tokens", F.array(F.lit(UNWANTED)))).otherwise(F.col("tokens")).alias("items")),
-        "transactions",
+    items = labelled.where(F.col("unwanted").isNotNull()).select(F.sort_array(url_tokens(F.col("url"))).alias("tokens"), "unwanted")
+    patterns = durable(
+        items.groupBy("tokens").agg(F.count_if("unwanted").alias("bad"), F.count_if(~F.col("unwanted")).alias("good")), "patterns"
     )
     spark = labelled.sparkSession
-    n = items.count()
+    n = patterns.agg(F.sum(F.col("bad") + F.col("good")).alias("n")).first().n
+    none = spark.createDataFrame([], "tokens array<string>, confidence double, support double, rarest string")
     if not n:
-        return spark.createDataFrame([], "tokens array<string>, confidence double, support double, rarest string")
-    least = max(min_support, min(1.0, min_rows / n))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(items)
-    singles = durable(
-        model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq"), "singles"
+        return none
+    least = max(min_rows, 1, math.ceil(min_support * n))
+    # A token below the support is in no rule; of tokens in the same rows a rule has one, in turn.
+    classes = _classes(patterns, least)
+    if classes.isEmpty():
+        return none
+    short = (
+        patterns.withColumn("_row", F.monotonically_increasing_id()).select("_row", "bad", "good", F.explode("tokens").alias("token"))
+        .join(classes.select("token", "name"), "token").groupBy("_row", "bad", "good").agg(F.sort_array(F.collect_set("name")).alias("tokens"))
+        .groupBy("tokens").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     )
-    rules = durable(
-        model.associationRules.where((F.element_at("consequent", 1) == UNWANTED) & (F.size("antecedent") <= MAX_ANTECEDENT))
-        .select(F.sort_array("antecedent").alias("tokens"), "confidence", "support"),
-        "rules",
+    rules = durable(_unimplied(_counted_sets(durable(short, "patterns"), least)).where(F.col("confidence") >= min_confidence), "rules")
+    # Each member of a class stands for it in turn.
+    members = classes.groupBy("name").agg(F.sort_array(F.collect_list("token")).alias("members"))
+    choices = (
+        rules.select("tokens", "bad", "confidence", F.explode("tokens").alias("name")).join(members, "name")
+        .groupBy("tokens", "bad", "confidence").agg(F.collect_list("members").alias("choices"))
     )
-    # All proper parts of an antecedent, as one bit mask each.
-    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("tokens")).cast("int") - 2)
-    masks = F.when(F.size("tokens") > 1, masks).otherwise(F.array().cast("array<int>"))
-    parts = rules.select(F.col("tokens").alias("whole"), F.col("confidence").alias("own"), F.explode(masks).alias("mask")).select(
-        "whole", "own",
-        F.filter("whole", lambda x, i: F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2), i)), F.lit(2)) == 1).alias("tokens"),
+    every = F.aggregate(
+        "choices", F.array(F.array().cast("array<string>")),
+        lambda made, one: F.flatten(F.transform(made, lambda m: F.transform(one, lambda t: F.concat(m, F.array(t))))),
+    )
+    kept = durable(
+        choices.select(F.explode(every).alias("tokens"), "confidence", (F.col("bad") / F.lit(n)).alias("support"))
+        .withColumn("tokens", F.sort_array("tokens")),
+        "rules",
     )
-    implied = parts.join(rules, "tokens").where(F.col("confidence") >= F.col("own")).select(F.col("whole").alias("tokens")).distinct()
-    kept = rules.join(implied, "tokens", "left_anti")
     rarest = (
-        kept.select("tokens", F.explode("tokens").alias("token")).join(singles, "token")
+        kept.select("tokens", F.explode("tokens").alias("token"))
+        .join(classes.select("token", (F.col("bad") + F.col("good")).alias("freq")), "token")
         .groupBy("tokens").agg(F.min_by("token", F.struct("freq", "token")).alias("rarest"))
     )
     return durable(kept.join(rarest, "tokens").select("tokens", "confidence", "support", "rarest"), "url-rules")

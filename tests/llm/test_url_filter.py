@@ -53,3 +53,17 @@ def test_mined_rules_equal_plain_search(spark):
     got = sorted((r.page_id, r.verdict) for r in u.judged_urls(pages, labelled).collect())
     assert got == [(1, "block"), (2, "block"), (3, "allow"), (3, "allow"), (4, "allow")]
     assert u.judged_urls(pages.where("false"), labelled).count() == 0
+
+
+def test_rules_on_late_tokens_and_of_any_length(spark):
+    deep = "/".join(f"s{chr(97 + i)}" for i in range(14))
+    rows = [(f"http://h.org/{deep}?q={i}{'&bad=1' if i % 2 else '&fine=1'}#f", bool(i % 2)) for i in range(80)]
+    # Unwanted only with all of five names; each four of them are as often wanted.
+    names = ["v", "w", "x", "y", "z"]
+    rows += [("http://k.net/?" + "&".join(names), True)] * 40
+    rows += [("http://k.net/?" + "&".join(x for x in names if x != gone), False) for gone in names for _ in range(40)]
+    labelled = spark.createDataFrame(rows, "url string, unwanted boolean")
+    found = {tuple(r.tokens): r.confidence for r in u.mined_rules(labelled).collect()}
+    assert found == {("query:bad",): 1.0, tuple(f"query:{x}" for x in names): 1.0}
+    pages = spark.createDataFrame([(1, "http://a.b/?bad"), (2, "http://a.b/?v&w&x&y"), (3, "http://a.b/?z&v&w&x&y")], "page_id long, url string")
+    assert sorted((r.page_id, r.verdict) for r in u.judged_urls(pages, labelled).collect()) == [(1, "block"), (2, "allow"), (3, "block")]
