@@ -10,8 +10,6 @@ rarest token, so a URL meets only rules one of whose tokens it has.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,8 +24,7 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-MIN_SUPPORT = 0.002
-MIN_ROWS = 20
+MIN_ROWS = 20  # unwanted pages of a rule, whatever else is labelled
 MIN_CONFIDENCE = 0.8
 MAX_ANTECEDENT = 4  # up to which the test searches plainly; mining has no such bound
 
@@ -126,8 +123,7 @@ def _unimplied(sets: DataFrame) -> DataFrame:
     return kept.where(F.col("confidence") > F.col("before")).drop("before")
 
 
-def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS,
-                min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mined_rules(labelled: DataFrame, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``tokens, confidence, support, rarest``: combinations that come with unwanted URLs.
 
     ``labelled`` holds ``url, unwanted`` (boolean), a row per labelled page. Support is
@@ -143,7 +139,7 @@ def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows:
     none = spark.createDataFrame([], "tokens array<string>, confidence double, support double, rarest string")
     if not n:
         return none
-    least = max(min_rows, 1, math.ceil(min_support * n))
+    least = max(min_rows, 1)
     # A token below the support is in no rule; of tokens in the same rows a rule has one, in turn.
     classes = _classes(patterns, least)
     if classes.isEmpty():

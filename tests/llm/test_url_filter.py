@@ -67,3 +67,12 @@ def test_rules_on_late_tokens_and_of_any_length(spark):
     assert found == {("query:bad",): 1.0, tuple(f"query:{x}" for x in names): 1.0}
     pages = spark.createDataFrame([(1, "http://a.b/?bad"), (2, "http://a.b/?v&w&x&y"), (3, "http://a.b/?z&v&w&x&y")], "page_id long, url string")
     assert sorted((r.page_id, r.verdict) for r in u.judged_urls(pages, labelled).collect()) == [(1, "block"), (2, "allow"), (3, "block")]
+
+
+def test_rules_survive_unrelated_pages(spark):
+    own = spark.range(30).selectExpr("concat('http://bad.biz/', id) url", "true unwanted")
+    other = spark.range(20_000).selectExpr("concat('http://n', id % 50, '.info/', id) url", "id % 9 = 0 unwanted")
+    alone = {tuple(r.tokens) for r in u.mined_rules(own).collect()}
+    among = {tuple(r.tokens) for r in u.mined_rules(own.unionByName(other)).collect()}
+    assert {("host:bad",), ("host:biz",)} <= alone
+    assert among == {("host:bad",), ("host:biz",)}
