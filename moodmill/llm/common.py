@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from moodmill.session import durable
 
-__all__ = ["durable", "given", "ranked", "whole_runs", "WHITESPACE"]
+__all__ = ["beside", "by_key", "durable", "given", "ranked", "whole_runs", "WHITESPACE"]
 
 # Fixed value: the characters that part words, as a class of a regular expression.
 WHITESPACE = r"[\x20\x09-\x0D]"
@@ -68,3 +69,25 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 2
             held, n = rest.to_batches(), rest.num_rows
     if held:
         yield pa.Table.from_batches(held)
+
+
+def beside(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Rows of two tables with a common ``key`` in one partition, sorted by it, those of ``side`` first.
+
+    The column ``side`` tells them apart; columns of the other table are null. What a task
+    needs for the rows of a key arrives just before them, so nothing is broadcast and no
+    group is held. Column names are unique but for the key.
+    """
+    both = side.withColumn("side", F.lit(True)).unionByName(rows.withColumn("side", F.lit(False)), allowMissingColumns=True)
+    return both.repartition(key).sortWithinPartitions(F.col(key), F.col("side").desc())
+
+
+def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batches of a partition sorted by an integer key, cut where it changes; a key may come in several."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield int(values[a]), batch.slice(a, b - a)

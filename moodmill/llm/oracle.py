@@ -104,8 +104,41 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n, 0) AS n_hit, coalesc
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
 """
 
+OP12 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+OP13 = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents
+), drawn AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS one, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS two,
+    ('0x' || h[17:24])::BIGINT % 100 AS chance, ('0x' || h[25:32])::BIGINT % 100 AS turn
+  FROM units
+), cut AS (
+  SELECT *, coalesce(array_to_string(u[1 : least(one, two)], ''), '') AS p,
+    coalesce(array_to_string(u[least(one, two) + 1 : greatest(one, two)], ''), '') AS m,
+    coalesce(array_to_string(u[greatest(one, two) + 1 : n], ''), '') AS s,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR chance >= 50 THEN 'plain'
+      WHEN turn < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM cut
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1,
     "op5_quality_rules": OP5,
     "op8_decontamination": OP8,
+    "op12_exact_dedup": OP12,
+    "op13_fill_middle": OP13,
 }

@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from moodmill.llm import chunk_dedup, decontaminate, line_dedup, mixing, quality, sharding, simhash, token_store, toxicity, url_filter
+from moodmill.llm import (
+    chunk_dedup, decontaminate, exact_dedup, fill_middle, line_dedup, mixing, quality, sharding, simhash, token_store,
+    toxicity, url_filter,
+)
 from moodmill.llm.common import durable, given
 from moodmill.session import scratch_path
 
@@ -93,6 +96,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_groups(given(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_middle(given(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -104,4 +123,6 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
-}
\ No newline at end of file
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_fill_middle": op13_fill_middle,
+}

@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from moodmill.llm.common import durable, whole_runs
 
@@ -32,11 +31,7 @@ SEED = 42
 SHINGLE_WORDS = 4
 BITS = 64
 RADIUS = 4
-
-# Of the stage of the pipeline: near copies by the shingle sets themselves, beside the fingerprints.
-STAGE_WORDS = 5
-STAGE_SIMILARITY = 0.8
-ORDERED_SHINGLES = 1 << 17
+MOST_RADIUS = 7  # three bits count the differences
 
 BUCKET_ROWS = 2048  # aimed at by the number of blocks
 CELL_ROWS = 4096  # at most in one part of a split bucket
@@ -68,12 +63,12 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def with_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """``key`` and ``fp``, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64)
+            prints = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -88,6 +83,8 @@ def block_tables(n: int, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -
     64 bits in r + m blocks, m of which are chosen. m is the least with which evenly
     spread fingerprints fill buckets of at most ``bucket_rows`` rows.
     """
+    if not 0 <= radius <= MOST_RADIUS:
+        raise ValueError(f"the counters of the comparison hold a radius of 0 to {MOST_RADIUS}")
     for agree in range(1, BITS - radius):
         blocks = radius + agree
         cuts = [BITS * i // blocks for i in range(blocks + 1)]
@@ -95,7 +92,7 @@ def block_tables(n: int, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -
         narrow = sum(sorted(b - a for a, b in zip(cuts, cuts[1:]))[:agree])
         if n / 2**narrow <= bucket_rows or agree == 4:
             return [sum(chosen) for chosen in combinations(masks, agree)]
-    raise ValueError("radius too large")
+    raise AssertionError("four blocks always do")
 
 
 def _planes(prints: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -309,238 +306,41 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError("components: too many rounds")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def _rooted(marked: DataFrame, key: str, radius: int) -> DataFrame:
+    """``fp, _root, _first`` of each distinct ``fp``: the component it belongs to and its least key."""
+    reps = durable(marked.groupBy("fp").agg(F.min(key).alias("_first")), "prints")
+    roots = components(links(reps.select("fp"), reps.count(), radius))
+    return durable(
+        reps.join(roots, reps["fp"] == roots["node"], "left").select(
+            reps["fp"], F.coalesce("root", reps["fp"]).alias("_root"), "_first"
+        ),
+        "rooted",
+    )
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS,
+                    radius: int = RADIUS) -> DataFrame:
     """``key, fp, component_id``: the smallest key of the documents reachable over links.
 
     Null and empty texts have fingerprint zero, which links like any other. A repeated
     row is linked to itself. Rows with a null key are in the result with the component
     of the others; an empty table gives an empty one.
     """
-    marked = durable(with_fingerprint(docs, key, text), "fingerprints")
-    reps = durable(marked.groupBy("fp").agg(F.min(key).alias("_first")), "prints")
-    edges = links(reps.select("fp"), reps.count(), radius)
-    roots = components(edges)
-    placed = reps.join(roots, reps["fp"] == roots["node"], "left").select(
-        reps["fp"], F.coalesce("root", reps["fp"]).alias("_root"), "_first"
-    )
-    placed = durable(placed, "rooted")
+    marked = durable(with_fingerprint(docs, key, text, words), "fingerprints")
+    placed = _rooted(marked, key, radius)
     lowest = durable(placed.groupBy("_root").agg(F.min("_first").alias("component_id")), "lowest")
     named = durable(placed.join(lowest, "_root").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select(key, "fp", "component_id")
 
 
-def shingles(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
-    """The distinct hashes of the word shingles of a text, sorted; shorter texts are one shingle."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(found) <= words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED)] if found else [], dtype=np.uint64)
-    known: dict[bytes, int] = {}
-    for w in found:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w, SEED)
-    each = np.array([known[w] for w in found], dtype=np.uint64)
-    n = len(each) - words + 1
-    mixed = np.zeros(n, dtype=np.uint64)
-    for i in range(words):
-        mixed = (mixed ^ each[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
-
-
-def set_id(own: np.ndarray) -> int:
-    """Stands for a set of shingles, as a signed long; 0 for an empty one."""
-    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)) if len(own) else 0
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Shared over all shingles of two sorted sets; 1 for two empty ones."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
-
-
-def _common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts have, sorted, with rough counts.
-
-    They only order the shingles of a text, rare ones first; any order gives the same pairs.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush() -> pa.RecordBatch:
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= 3
-            return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(count[often])], ["token", "n"])
-
-        for batch in batches:
-            for t in batch.column(0):
-                held.append(shingles(t.as_py(), words))
-                n += len(held[-1])
-                if n >= 1 << 21:
-                    yield flush()
-                    held, n = [], 0
-        if held:
-            yield flush()
-
-    counted = rows.select("_text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    found = counted.where("n >= 16").orderBy(F.desc("n"), "token").limit(ORDERED_SHINGLES).collect()
-    token = np.array([r.token for r in found], dtype=np.int64).view(np.uint64)
-    order = np.argsort(token)
-    return token[order], np.array([r.n for r in found], dtype=np.int64)[order]
-
-
-def _met(rows: DataFrame, words: int, least: float) -> DataFrame:
-    """``token, sid, n, low, low_n``: texts that share a shingle of their prefixes; ``low`` is the least of them.
-
-    Of two sets with a Jaccard similarity of ``least`` or more, each has a shared shingle
-    among its first n - ceil(least n) + 1 in any common order, so no such pair is missed.
-    """
-    common, often = _common_shingles(rows, words)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            tokens, sids, sizes = [], [], []
-            for t in batch.column(0):
-                own = shingles(t.as_py(), words)
-                sid = set_id(own)
-                if sid in seen or not len(own):
-                    continue
-                seen.add(sid)
-                rank = np.zeros(len(own), dtype=np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                    rank = np.where(common[at] == own, often[at], 0)
-                first = own[np.lexsort((own, rank))][: len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1]
-                tokens.append(first)
-                sids.append(np.full(len(first), sid, dtype=np.int64))
-                sizes.append(np.full(len(first), len(own), dtype=np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(sizes))],
-                    ["token", "sid", "n"],
-                )
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, ["token"]):
-            token, sid, n = (table.column(c).to_numpy() for c in ("token", "sid", "n"))
-            new = np.ones(len(token), dtype=bool)
-            new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-            token, sid, n = token[new], sid[new], n[new]
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            size = np.diff(np.r_[starts, len(token)])
-            low = np.repeat(starts, size)
-            more = np.repeat(size, size) > 1
-            columns = [token[more], sid[more], n[more], sid[low][more], n[low][more]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "sid", "n", "low", "low_n"])
-
-    emitted = rows.select("_text").mapInArrow(prefixes, "token bigint, sid bigint, n int")
-    placed = emitted.repartition("token").sortWithinPartitions("token", "sid")
-    return durable(placed.mapInArrow(shared, "token bigint, sid bigint, n int, low bigint, low_n int"), "met")
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs ``a > b`` of ``sid`` whose texts have the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, other = None, None
-        for batch in batches:
-            good = []
-            for i, b in enumerate(batch.column(1).to_pylist()):
-                if b != last:
-                    last, other = b, shingles(batch.column(3)[i].as_py(), words)
-                good.append(jaccard(shingles(batch.column(2)[i].as_py(), words), other) >= least)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    left = texts.select(F.col("sid").alias("a"), F.col("_text").alias("_left"))
-    right = texts.select(F.col("sid").alias("b"), F.col("_text").alias("_right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "_left", "_right")
-    return durable(both.mapInArrow(run, "a bigint, b bigint"), "confirmed")
-
-
-def similar(rows: DataFrame, words: int = STAGE_WORDS, least: float = STAGE_SIMILARITY) -> DataFrame:
-    """Links ``a > b`` that make the same components as all pairs with ``least`` similarity of their shingle sets.
-
-    ``rows`` holds ``_text``; ``a`` and ``b`` are set ids. Texts that meet are first
-    compared with the least one they meet, then pairs that this left in different components.
-    """
-    met = _met(rows, words, least)
-    needed = met.select("sid").distinct()
-    texts = durable(_set_ids(rows, words).join(needed, "sid", "left_semi").groupBy("sid").agg(F.min("_text").alias("_text")), "met-texts")
-    close = F.least("n", "low_n") >= F.greatest("n", "low_n") * F.lit(least - 1e-9)
-    stars = met.where((F.col("sid") != F.col("low")) & close).select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct()
-    first = _confirmed(stars, texts, words, least)
-    roots = components(first)
-    named = met.join(roots, met["sid"] == roots["node"], "left").select(
-        "token", "sid", "n", "low", F.coalesce("root", "sid").alias("root")
-    )
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, ["token"]):
-            token, sid, n, low, root = (table.column(c).to_numpy() for c in ("token", "sid", "n", "low", "root"))
-            stop = np.searchsorted(token, token, side="right")
-            # The sizes within a run rise; a later text may have n / least shingles at most.
-            made, size = [], 0
-            for start in np.flatnonzero(np.r_[True, token[1:] != token[:-1]]):
-                end = stop[start]
-                if (root[start:end] == root[start]).all():
-                    continue
-                for i in range(start, end - 1):
-                    j = np.arange(i + 1, start + np.searchsorted(n[start:end], n[i] / least + 1e-6, side="right"))
-                    j = j[(root[j] != root[i]) & (sid[i] != low[i]) & (sid[j] != low[j])]
-                    if len(j):
-                        made.append(np.stack([np.maximum(sid[i], sid[j]), np.minimum(sid[i], sid[j])]))
-                        size += len(j)
-                    if size > 1 << 18:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.hstack(made)], ["a", "b"])
-                        made, size = [], 0
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.hstack(made)], ["a", "b"])
-
-    placed = named.repartition("token").sortWithinPartitions("token", "n", "sid")
-    apart = durable(placed.mapInArrow(across, "a bigint, b bigint").distinct(), "apart")
-    return first.unionByName(_confirmed(apart, texts, words, least)).distinct()
-
-
-def _set_ids(rows: DataFrame, words: int) -> DataFrame:
-    """``rows`` with ``sid``, which stands for the shingle set of ``_text``; 0 for an empty one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sids = [set_id(shingles(t.as_py(), words)) for t in batch.column(batch.schema.get_field_index("_text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sids, pa.int64())], [*batch.schema.names, "sid"])
-
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("sid", LongType())]))
-
-
-def grouped(rows: DataFrame, words: int = STAGE_WORDS, least: float = STAGE_SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """``_hash, _key, _group`` of rows with ``_text``: the group of near copies of each row.
-
-    Linked are texts whose fingerprints are within ``radius`` and those whose sets of
-    ``words`` word shingles have a Jaccard similarity of ``least`` or more, all of them.
-    """
-    ids = durable(_set_ids(rows, words).select("_hash", "_key", "sid").distinct(), "set-ids")
-    prints = durable(
-        near_duplicates(rows.select("_hash", "_text"), "_hash", "_text", radius).select("_hash", "component_id").distinct(),
-        "print-groups",
-    )
-    # Sets that share a group of fingerprints are linked to the least of them.
-    shared = ids.join(prints, "_hash").select("sid", "component_id").distinct()
-    lowest = shared.groupBy("component_id").agg(F.min("sid").alias("low"))
-    linked_prints = shared.join(lowest, "component_id").where("sid > low").select(F.col("sid").alias("a"), F.col("low").alias("b"))
-    edges = linked_prints.unionByName(similar(rows.select("_text"), words, least)).distinct()
-    roots = components(edges)
-    return ids.join(roots, ids["sid"] == roots["node"], "left").select("_hash", "_key", F.coalesce("root", "sid").alias("_group"))
-
-
 def _row_hash(columns: list[str], seed: int) -> Column:
     """A hash of a whole row; the nulls count with their places."""
     cols = [F.col(f"`{c}`") for c in columns]
     return F.xxhash64(F.lit(seed), *cols, *[c.isNull() for c in cols])
 
 
-def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS,
-                  least: float = STAGE_SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS,
+                  radius: int = RADIUS) -> DataFrame:
     """One row of each group of near copies, the one with the smallest key and hash of the whole row.
 
     The columns are those of ``docs``. Of repeated rows one stays; different texts under
@@ -550,14 +350,17 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     names = docs.columns
     boxed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
-        F.struct(_row_hash(names, 1).alias("a"), _row_hash(names, 2).alias("b")).alias("_hash"),
-        F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"),
+        F.struct(
+            F.col(f"`{key}`").alias("key"), _row_hash(names, 1).alias("a"), _row_hash(names, 2).alias("b")
+        ).alias("_id"),
+        F.col(f"`{text}`").alias("_text"),
     )
-    placed = durable(grouped(boxed.select("_hash", "_key", "_text"), words, least, radius), "grouped")
-    chosen = placed.groupBy("_group", F.col("_key").isNull()).agg(F.min(F.struct("_key", "_hash")).alias("_best"))
-    chosen = durable(chosen.select("_best._hash.a", "_best._hash.b"), "chosen")
+    marked = durable(with_fingerprint(boxed, "_id", "_text", words), "fingerprints")
+    placed = marked.join(_rooted(marked, "_id", radius).select("fp", "_root"), "fp")
+    chosen = placed.groupBy("_root", F.col("_id.key").isNull()).agg(F.min("_id").alias("_best"))
+    chosen = durable(chosen.select("_best.a", "_best.b"), "chosen")
     # The two hashes stand for the row, so that a key with many rows is spread; equal rows become one.
-    named = boxed.select("_row", "_hash.a", "_hash.b").join(chosen, ["a", "b"], "left_semi")
+    named = boxed.select("_row", "_id.a", "_id.b").join(chosen, ["a", "b"], "left_semi")
     return named.groupBy("a", "b").agg(F.first("_row").alias("_row")).select("_row.*")
 
 

@@ -3,7 +3,6 @@ import pathlib
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from moodmill.llm import simhash
 from tests.llm import brute
@@ -89,29 +88,39 @@ def test_texts_under_one_key_are_judged_apart(spark):
         first = kept
 
 
-def test_all_pairs_of_similar_shingle_sets_are_linked(spark):
+def test_words_and_radius_are_parameters(spark):
     rng = np.random.default_rng(3)
     texts = {}
     for family in range(12):
         base = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(20, 120)))]
-        for _ in range(12):
+        for _ in range(8):
             words = list(base)
             for at in rng.integers(0, len(words), int(rng.integers(0, 4))):
                 words[at] = f"x{rng.integers(0, 10**6)}"
             texts[len(texts)] = " ".join(words[int(rng.integers(0, 3)) :])
-    sets = {k: simhash.shingles(t) for k, t in texts.items()}
-    prints = {k: simhash.fingerprint(t) for k, t in texts.items()}
-    alike = brute.components(sets, lambda a, b: simhash.jaccard(a, b) >= 0.8)
-    both = brute.components({k: k for k in texts}, lambda a, b: brute.close(prints[a], prints[b]) or simhash.jaccard(sets[a], sets[b]) >= 0.8)
-    assert len(set(both.values())) < len(set(brute.components(prints, brute.close).values()))
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    roots = {r.node: r.root for r in simhash.components(simhash.similar(frame.select(F.col("text").alias("_text")))).collect()}
-    groups = {}
-    for k, s in sets.items():
-        groups.setdefault(roots.get(simhash.set_id(s), simhash.set_id(s)), set()).add(k)
-    assert sorted(map(min, groups.values())) == sorted(set(alike.values()))
-    assert all(len({alike[k] for k in g}) == 1 for g in groups.values())
-    assert sorted(r.doc_id for r in simhash.first_of_each(frame).collect()) == sorted(set(both.values()))
+    for words, radius in ((simhash.SHINGLE_WORDS, simhash.RADIUS), (2, 7)):
+        prints = {k: simhash.fingerprint(t, words) for k, t in texts.items()}
+        want = brute.components(prints, lambda a, b: brute.close(a, b, radius))
+        found = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, words=words, radius=radius).collect()}
+        assert found == want
+        kept = simhash.first_of_each(frame, words=words, radius=radius)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_radius_beyond_the_counters_is_refused():
+    with pytest.raises(ValueError):
+        simhash.block_tables(10, simhash.MOST_RADIUS + 1)
+
+
+def test_very_long_text_and_clashing_names(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(400_000))
+    rows = [(1, long, 1, 2, "x"), (2, long, 3, 4, "y"), (3, None, 5, 6, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, a int, _root int, fp string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    kept = simhash.first_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.a, r._root, r.fp) for r in kept.select("doc_id", "a", "_root", "fp").collect()) == [(1, 1, 2, "x"), (3, 5, 6, "z")]
 
 
 def test_hot_bucket_is_split(spark, monkeypatch):
