@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from moodmill.llm import (
-    chunk_dedup, decontaminate, exact_dedup, fill_middle, line_dedup, mixing, quality, sharding, simhash, token_store,
+    alignment, chunk_dedup, decontaminate, exact_dedup, fill_middle, line_dedup, mixing, quality, sharding, simhash, token_store,
     toxicity, url_filter,
 )
 from moodmill.llm.common import durable, given
@@ -96,6 +96,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        a_json = file.read()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        b_model = file.read()
+    found, _ = alignment.aligned(given(spark, sf_dir, "documents"), a_json, b_model)
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
+    return found.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256")
+    )
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(given(spark, sf_dir, "documents"))
     return found.select(
@@ -123,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_fill_middle": op13_fill_middle,
 }
