@@ -25,49 +25,49 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from moodmill.llm.common import beside, by_key, durable, whole_runs
+from moodmill.llm.common import beside, by_key, byte_alphabet, durable, whole_runs
 
 PART_ROWS = 4096
 SEGMENT_ROWS = 1 << 19  # rows of parts that a segment aims at
 LANES = 4
-CACHE_BYTES = 64 << 20  # what a worker remembers of units
+CACHE_BYTES = 80 << 20  # what a worker remembers of units
 _SLICE = 1 << 21  # bytes of text in hand
 _LEARN = 1 << 18  # bytes of new units encoded at a time
 _LINKS = 1 << 21  # links laid out at a time
+_UNIT_BYTES = 330  # a remembered unit beside its own bytes, groups and pairs
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-# UTF-8 beginnings of whitespace beyond ASCII, and the mark of tokenizer B.
-_UNSURE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\xe2\x96\x81")
 _MARK = "▁"
+# Whitespace beyond ASCII and the mark of tokenizer B, in UTF-8 as whole numbers.
+_UNSURE = np.array([
+    int.from_bytes(chr(c).encode(), "big")
+    for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, ord(_MARK))
+])
+# Fixed value: how byte-level tokenizers part a text before they merge.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_TOGETHER = 100  # units encoded as one text
 _U = np.uint64
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, then from U+0100 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
-
-
 @dataclass
-class Aligned:
-    """Groups, links and counts of one stretch of bytes."""
+class Units:
+    """Some units in turn: counts per unit, the ids of their groups, their distinct pairs with numbers of links."""
 
-    n_a: int = 0
-    n_b: int = 0
-    n_groups: int = 0
-    n_links: int = 0
-    text: bytes = b""
-    pairs: np.ndarray = None  # distinct pairs, and how many links are of each
-    links: np.ndarray = None
+    counts: np.ndarray  # n x 4: tokens of A, of B, groups, links
+    text: list[bytes]
+    n_pairs: np.ndarray
+    pairs: np.ndarray
+    links: np.ndarray
 
 
 class Pair:
@@ -96,27 +96,43 @@ class Pair:
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
             and not cut.get("normalizer") and not any(re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces)
         )
-
-    def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both for bytes that begin with a space; None where either does not give back the bytes."""
-        text = data.decode()
-        a = self.a.encode(text, add_special_tokens=False).ids
-        b = self.b.encode(text[1:], num_threads=1)
+        # Where ids are numbered in the order of the merges, they are the ranks of a faster encoder of the same kind.
+        model = cut.get("model", {})
+        merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model.get("merges") or []]
+        vocab = model.get("vocab", {})
+        self.quick = None
+        if self.parted and merges and [vocab.get(m) for m in merges] == list(range(256, 256 + len(merges))):
+            ranks = {self.a_bytes[i]: i for i in range(256 + len(merges))}
+            self.quick = tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both for units, each of which begins with a space; None where either does not give back the bytes."""
+        texts = [b"".join(units[i : i + _TOGETHER]).decode() for i in range(0, len(units), _TOGETHER)]
+        if self.quick:
+            found = map(self.quick.encode_ordinary, texts)
+        else:
+            found = (self.a.encode(t, add_special_tokens=False).ids for t in texts)
+        a = list(chain.from_iterable(found))
+        b = list(chain.from_iterable(self.b.encode([t[1:] for t in texts], num_threads=1)))
+        data = b"".join(units)
         if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
             return None
         return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
-    def units(self, data: bytes) -> np.ndarray:
-        """Where the units of the bytes begin, and their end."""
-        if not self.parted:
-            return np.array([0, len(data)])
-        raw = np.frombuffer(data, dtype=np.uint8)
-        before = ~_SPACE[raw[:-1]]
-        if any(x in data for x in _UNSURE):
-            before &= raw[:-1] < 0x80
-        return np.concatenate([[0], np.flatnonzero((raw[1:] == 32) & before) + 1, [len(data)]])
+    def cuts(self, raw: np.ndarray) -> np.ndarray:
+        """Where units begin within some bytes, beside their beginning."""
+        if not self.parted or len(raw) < 2:
+            return np.zeros(0, dtype=np.int64)
+        at = np.flatnonzero((raw[1:] == 32) & ~_SPACE[raw[:-1]]) + 1
+        wide = np.flatnonzero(raw[at - 1] >= 0x80)
+        if len(wide):
+            last = at[wide] - 1
+            two = raw[last - 1].astype(np.int64) << 8 | raw[last]
+            three = raw[np.maximum(last - 2, 0)].astype(np.int64) << 16 | two
+            at = np.delete(at, wide[np.isin(two, _UNSURE) | np.isin(three, _UNSURE)])
+        return at
 
-    def align(self, units: list[bytes], ids: tuple[np.ndarray, np.ndarray]) -> list[Aligned] | None:
+    def align(self, units: list[bytes], ids: tuple[np.ndarray, np.ndarray], texts: bool = True) -> Units | None:
         """The units, given the ids of all of them in turn; None if the tokens of one do not end with it."""
         a, b = ids
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
@@ -125,43 +141,46 @@ class Pair:
         if not np.isin(stop, common, assume_unique=True).all():
             return None
         n, groups = len(units), len(common)
-        a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
+        n_a = np.bincount(np.searchsorted(common, a_end), minlength=groups)
+        n_b = np.bincount(np.searchsorted(common, b_end), minlength=groups)
         owner = np.searchsorted(stop, common)
-        n_a, n_b = np.bincount(a_group, minlength=groups), np.bincount(b_group, minlength=groups)
-        per_unit = [np.zeros(n, dtype=np.int64) for _ in range(4)]
-        for total, each in zip(per_unit, (n_a, n_b, np.ones(groups, dtype=np.int64), n_a * n_b)):
-            np.add.at(total, owner, each)
+        first = np.searchsorted(owner, np.arange(n + 1))
+        counts = np.add.reduceat(np.stack([n_a, n_b, np.ones_like(n_a), n_a * n_b], axis=1), first[:-1], axis=0)
         a_at, b_at = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        sa = list(map(self.a_text.__getitem__, a.tolist()))
-        sb = list(map(self.b_text.__getitem__, b.tolist()))
-        said = [
-            sa[i] + "|" + sb[j] if x == 1 == y else ",".join(sa[i : i + x]) + "|" + ",".join(sb[j : j + y])
-            for i, x, j, y in zip(a_at.tolist(), n_a.tolist(), b_at.tolist(), n_b.tolist())
-        ]
-        first = np.searchsorted(owner, np.arange(n + 1)).tolist()
+        text = [b""] * n
+        if texts:
+            sa = list(map(self.a_text.__getitem__, a.tolist()))
+            sb = list(map(self.b_text.__getitem__, b.tolist()))
+            said = [
+                sa[i] + "|" + sb[j] if x == 1 == y else ",".join(sa[i : i + x]) + "|" + ",".join(sb[j : j + y])
+                for i, x, j, y in zip(a_at.tolist(), n_a.tolist(), b_at.tolist(), n_b.tolist())
+            ]
+            at = first.tolist()
+            text = [";".join(said[i:j]).encode() if j - i > 1 else said[i].encode() for i, j in zip(at, at[1:])]
         # Links, a bounded number at a time; a unit's pairs are made distinct with their numbers.
-        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
+        found = []
         for low, high in _runs(n_a * n_b, _LINKS):
             if high - low == 1 and n_a[low] * n_b[low] > _LINKS:
-                pairs, links = _product(a[a_at[low] : a_at[low] + n_a[low]], b[b_at[low] : b_at[low] + n_b[low]])
-                found[owner[low]].append((pairs, links))
+                pair, links = _product(a[a_at[low] : a_at[low] + n_a[low]], b[b_at[low] : b_at[low] + n_b[low]])
+                found.append((np.full(len(pair), owner[low]), pair, links))
                 continue
-            x, y = n_a[low:high], n_b[low:high]
-            group = np.repeat(np.arange(low, high), x * y)
-            within = np.arange(len(group)) - np.repeat(np.cumsum(x * y) - x * y, x * y)
-            pair = a[a_at[group] + within // n_b[group]] << 32 | b[b_at[group] + within % n_b[group]]
-            distinct, place = np.unique(pair, return_inverse=True)
-            key, links = np.unique(owner[group] * len(distinct) + place, return_counts=True)
-            unit, pair = key // len(distinct), distinct[key % len(distinct)]
-            cuts = np.flatnonzero(np.diff(unit)) + 1
-            for who, p, m in zip(unit[np.r_[0, cuts]].tolist(), np.split(pair, cuts), np.split(links, cuts)):
-                found[who].append((p, m))
-        out = []
-        for i in range(n):
-            pairs, links = found[i][0] if len(found[i]) == 1 else summed(found[i])
-            text = ";".join(said[first[i] : first[i + 1]]).encode()
-            out.append(Aligned(*(int(t[i]) for t in per_unit), text, pairs, links))
-        return out
+            y = n_b[low:high]
+            size = n_a[low:high] * y
+            group = np.repeat(np.arange(high - low), size)
+            within = np.arange(len(group)) - (np.cumsum(size) - size)[group]
+            row = within // y[group]
+            pair = a[a_at[low:high][group] + row] << 32 | b[b_at[low:high][group] + within - row * y[group]]
+            found.append(_distinct(owner[low:high][group], pair, np.ones(len(pair), dtype=np.int64)))
+        unit, pairs, links = found[0] if len(found) == 1 else _distinct(*(np.concatenate(x) for x in zip(*found)))
+        return Units(counts, text, np.bincount(unit, minlength=n), pairs, links)
+
+
+def _distinct(unit: np.ndarray, pair: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of equal unit and pair as one, in the order of units."""
+    order = np.lexsort((pair, unit))
+    unit, pair, links = unit[order], pair[order], links[order]
+    new = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (pair[1:] != pair[:-1])])
+    return unit[new], pair[new], np.add.reduceat(links, new)
 
 
 def _runs(weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -191,42 +210,94 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return distinct, total
 
 
-class Aligner:
-    """Aligns texts and remembers their units, up to a number of bytes."""
-
-    def __init__(self, pair: Pair, room: int = CACHE_BYTES):
-        self.pair, self.room = pair, room
-        self.forget()
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of stretches laid one after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
 
-    def forget(self) -> None:
-        self.known: dict[bytes, Aligned | None] = {}
-        self.held = 0
 
-    def _keep(self, unit: bytes, found: Aligned | None) -> None:
-        self.known[unit] = found
-        self.held += 400 + len(unit) + (0 if found is None else len(found.text) + 16 * len(found.pairs))
-
-    def _alone(self, unit: bytes) -> Aligned | None:
-        ids = self.pair.encode(unit)
-        return None if ids is None else self.pair.align([unit], ids)[0]
-
-    def learn(self, units: list[bytes]) -> None:
+class Aligner:
+    """Aligns texts and remembers their units in arrays, up to a number of bytes; the most used ones stay."""
+
+    def __init__(self, pair: Pair, room: int = CACHE_BYTES, texts: bool = True):
+        self.pair, self.room, self.texts = pair, room, texts
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.text: list[bytes] = []
+        self.held = self.used = 0
+        # Per unit: tokens of A, of B, groups, links; a place for two sums; start and number of its pairs.
+        self.counts = np.zeros((1 << 12, 4), dtype=np.int64)
+        self.sums = np.full((1 << 12, 2), -1, dtype=np.int64)
+        self.places = np.zeros((1 << 12, 2), dtype=np.int64)
+        self.hits = np.zeros(1 << 12, dtype=np.int64)
+        self.wrong = np.zeros(1 << 12, dtype=bool)  # does not give back its bytes
+        self.pairs = np.zeros(1 << 14, dtype=np.int64)
+        self.links = np.zeros(1 << 14, dtype=np.int64)
+
+    def _keep(self, units: list[bytes], found: Units, wrong: bool = False) -> None:
+        n, m = len(self.known), len(found.pairs)
+        while n + len(units) > len(self.hits):
+            for name, empty in (("counts", 0), ("sums", -1), ("places", 0), ("hits", 0), ("wrong", False)):
+                own = getattr(self, name)
+                setattr(self, name, np.concatenate([own, np.full_like(own, empty)]))
+        while self.used + m > len(self.pairs):
+            self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
+            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
+        rows = slice(n, n + len(units))
+        self.counts[rows], self.sums[rows], self.hits[rows], self.wrong[rows] = found.counts, -1, 0, wrong
+        self.places[rows, 0] = self.used + np.cumsum(found.n_pairs) - found.n_pairs
+        self.places[rows, 1] = found.n_pairs
+        self.pairs[self.used : self.used + m], self.links[self.used : self.used + m] = found.pairs, found.links
+        self.used += m
+        self.known.update(zip(units, range(n, n + len(units))))
+        self.text += found.text
+        self.held += _UNIT_BYTES * len(units) + 16 * m + sum(map(len, units)) + sum(map(len, found.text))
+
+    def _make_room(self) -> None:
+        """Drop the less used half of the units; the counts of use of the others are halved, so that they can age."""
+        n = len(self.known)
+        keep = np.zeros(n, dtype=bool)
+        keep[np.argsort(-self.hits[:n], kind="stable")[: n // 2]] = True
+        units = [u for u, k in zip(self.known, keep.tolist()) if k]
+        at = spread(*self.places[:n][keep].T)
+        found = Units(
+            self.counts[:n][keep], [t for t, k in zip(self.text, keep.tolist()) if k], self.places[:n, 1][keep],
+            self.pairs[at], self.links[at],
+        )
+        sums, hits, wrong = self.sums[:n][keep], self.hits[:n][keep] // 2, self.wrong[:n][keep]
+        self._forget()
+        self._keep(units, found)
+        rows = slice(0, len(units))
+        self.sums[rows], self.hits[rows], self.wrong[rows] = sums, hits, wrong
+
+    def _alone(self, unit: bytes) -> None:
+        ids = self.pair.encode([unit])
+        none = np.zeros(0, dtype=np.int64)
+        found = Units(np.zeros((1, 4), dtype=np.int64), [b""], np.zeros(1, dtype=np.int64), none, none)
+        self._keep([unit], found if ids is None else self.pair.align([unit], ids, self.texts), wrong=ids is None)
+
+    def _learn(self, units: list[bytes]) -> None:
         """Align new units. Those that end in something sure go as one text, which both tokenizers part again."""
         sure, size = [], 0
 
         def flush() -> None:
-            ids = self.pair.encode(b"".join(sure)) if sure else None
-            found = None if ids is None else self.pair.align(sure, ids)
-            for i, unit in enumerate(sure):
-                self._keep(unit, self._alone(unit) if found is None else found[i])
+            if not sure:
+                return
+            ids = self.pair.encode(sure)
+            found = None if ids is None else self.pair.align(sure, ids, self.texts)
+            if found is None:
+                for unit in sure:
+                    self._alone(unit)
+            else:
+                self._keep(sure, found)
             sure.clear()
 
         for unit in units:
-            if unit in self.known:
-                continue
             last = unit.decode()[-1] if unit[-1] >= 0x80 else chr(unit[-1])
-            if not self.pair.parted or last.isspace() or last in (_MARK, "\x1c", "\x1d", "\x1e", "\x1f"):
-                self._keep(unit, self._alone(unit))
+            if not self.pair.parted or last.isspace() or last == _MARK:
+                self._alone(unit)
                 continue
             sure.append(unit)
             size += len(unit)
@@ -235,31 +306,88 @@ class Aligner:
                 size = 0
         flush()
 
-    def text(self, text: str | None) -> Iterator[list[Aligned]]:
-        """The units of one text, some at a time; nothing where it has no tokens."""
-        if not text:
-            return
-        data = b" " + text.encode()
-        at = self.pair.units(data)
-        runs = list(_runs(np.diff(at), _SLICE))
-        for check in (True, False) if len(runs) > 1 else (False,):
-            for low, high in runs:
-                if self.held > self.room:
-                    self.forget()
-                cuts = at[low : high + 1].tolist()
-                units = [data[i:j] for i, j in zip(cuts, cuts[1:])]
-                new = set(units) - self.known.keys()
-                if new:
-                    self.learn(list(new))
-                found = list(map(self.known.__getitem__, units))
-                if None in found:
-                    # A unit does not give back its bytes; the whole text decides.
-                    ids = self.pair.encode(data)
-                    if ids is not None:
-                        yield self.pair.align([data], ids)
+    def _numbers(self, data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the units of some texts laid one after the other, and the borders of the texts among them.
+
+        Numbers hold until the next call.
+        """
+        if self.held > self.room:
+            self._make_room()
+        raw = np.frombuffer(data, dtype=np.uint8)
+        begins = np.zeros(len(raw), dtype=bool)
+        begins[self.pair.cuts(raw)] = True
+        begins[starts] = True
+        at = np.flatnonzero(begins)
+        offsets = np.concatenate([at, [len(raw)]]).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        distinct = units.dictionary.to_pylist()
+        new = [u for u in distinct if u not in self.known]
+        if new:
+            self._learn(new)
+        found = np.array(list(map(self.known.__getitem__, distinct)), dtype=np.int64)
+        indices = units.indices.to_numpy()
+        self.hits[found] += np.bincount(indices, minlength=len(found))
+        return found[indices], np.searchsorted(at, np.append(starts, len(raw)))
+
+    def documents(self, texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Rows, the numbers of their units, and the borders of the rows among them; to be used before the next step.
+
+        A row with a long text comes several times, alone. Rows without tokens do not come.
+        """
+        held: list[tuple[int, bytes]] = []
+        size = 0
+
+        def whole(row: int, data: bytes) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+            # A unit does not give back its bytes; the whole text decides.
+            if data not in self.known:
+                self._alone(data)
+            number = self.known[data]
+            if not self.wrong[number]:
+                yield [row], np.array([number]), np.array([0, 1])
+
+        def several() -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+            if not held:
+                return
+            lengths = np.array([len(d) for _, d in held])
+            numbers, borders = self._numbers(b"".join([d for _, d in held]), np.cumsum(lengths) - lengths)
+            bad = np.add.reduceat(self.wrong[numbers], borders[:-1], dtype=np.int64) > 0
+            if not bad.any():
+                yield [i for i, _ in held], numbers, borders
+                return
+            sizes = np.diff(borders)
+            good = np.repeat(~bad, sizes)
+            yield [i for (i, _), b in zip(held, bad) if not b], numbers[good], np.concatenate([[0], np.cumsum(sizes[~bad])])
+            for (row, data), b in zip(held, bad):
+                if b:
+                    yield from whole(row, data)
+
+        for row, text in enumerate(texts):
+            if not text:
+                continue
+            data = b" " + text.encode()
+            if len(data) > _SLICE:
+                yield from several()
+                held, size = [], 0
+                yield from self._long(row, data, whole)
+                continue
+            if size + len(data) > _SLICE:
+                yield from several()
+                held, size = [], 0
+            held.append((row, data))
+            size += len(data)
+        yield from several()
+
+    def _long(self, row: int, data: bytes, whole) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        at = np.concatenate([[0], self.pair.cuts(np.frombuffer(data, dtype=np.uint8)), [len(data)]])
+        pieces = [(int(at[low]), int(at[high])) for low, high in _runs(np.diff(at), _SLICE)]
+        for checked in (False, True):
+            for a, b in pieces:
+                numbers, borders = self._numbers(data[a:b], np.zeros(1, dtype=np.int64))
+                if self.wrong[numbers].any():
+                    yield from whole(row, data)
                     return
-                if not check:
-                    yield found
+                if checked:
+                    yield [row], numbers, borders
 
 
 class PerfectHash:
@@ -352,11 +480,29 @@ def _batch(columns: dict[str, tuple[np.ndarray | list, pa.DataType]]) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns.values()], list(columns))
 
 
+def documents_with(aligner: Aligner, numbers: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of some documents and how many of these documents hold each."""
+    units, place = np.unique(numbers, return_inverse=True)
+    start, size = aligner.places[units].T
+    pairs, local = np.unique(aligner.pairs[spread(start, size)], return_inverse=True)
+    before = np.cumsum(size) - size
+    flat = local[spread(before[place], size[place])]
+    ends = np.concatenate([[0], np.cumsum(size[place])])[borders].tolist()
+    # Within a document the last writer of a pair is the one that counts.
+    writer, order = np.zeros(len(pairs), dtype=np.int64), np.arange(len(flat))
+    n = np.zeros(len(pairs), dtype=np.int64)
+    for a, b in zip(ends, ends[1:]):
+        own = flat[a:b]
+        writer[own] = order[a:b]
+        n[own[writer[own] == order[a:b]]] += 1
+    return pairs, n
+
+
 def part_pairs(parts: DataFrame, sent) -> DataFrame:
     """``part, pair, n``: the distinct linked pairs of each part, with the number of its documents that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(_pair(*sent.value))
+        aligner = Aligner(_pair(*sent.value), texts=False)
         held, size, own = [], 0, None
 
         def full() -> pa.RecordBatch:
@@ -369,17 +515,19 @@ def part_pairs(parts: DataFrame, sent) -> DataFrame:
                 yield full()
                 size = 0
             own = part
-            for text in rows.column("text"):
-                found = [np.zeros(0, dtype=np.int64)]
-                for units in aligner.text(text.as_py()):
-                    found.append(np.unique(np.concatenate([u.pairs for u in {id(u): u for u in units}.values()])))
-                pairs = found[-1] if len(found) <= 2 else np.unique(np.concatenate(found))
-                if len(pairs):
-                    held.append((pairs, np.ones(len(pairs), dtype=np.int64)))
-                    size += len(pairs)
+            long: dict[int, np.ndarray] = {}
+            texts = rows.column("text").to_pylist()
+            for who, numbers, borders in aligner.documents(texts):
+                pairs, n = documents_with(aligner, numbers, borders)
+                if len(who) == 1:
+                    long[who[0]] = np.union1d(long.get(who[0], pairs), pairs)
+                    continue
+                held.append((pairs, n))
+                size += len(pairs)
                 if size > 1 << 21:
                     held[:] = [summed(held)]
                     size = 0
+            held += [(pairs, np.ones(len(pairs), dtype=np.int64)) for pairs in long.values()]
         if own is not None:
             yield full()
 
@@ -504,19 +652,24 @@ def aligned_parts(parts: DataFrame, counted: DataFrame, sent, kind: str) -> Data
         aligner = Aligner(_pair(*sent.value))
         own, fresh = None, []
         keys = counts = best = None
-        sums: dict[int, tuple[Aligned, int, int]] = {}  # of the units of this part: links at the highest, sum of counts
 
-        def of(unit: Aligned) -> tuple[Aligned, int, int]:
-            at = np.minimum(np.searchsorted(keys, unit.pairs), len(keys) - 1)
-            if (keys[at] != unit.pairs).any():
-                raise ValueError("alignment: a pair has no count")
-            found = (unit, int(unit.links[best[at]].sum()), int((unit.links * counts[at]).sum()))
-            sums[id(unit)] = found  # the unit is held, so its number stays its own
-            return found
+        def sums(numbers: np.ndarray) -> np.ndarray:
+            """Links at the highest count, and the sum of counts, of each unit; they are the same in every part."""
+            new = np.unique(numbers[aligner.sums[numbers, 0] < 0])
+            if len(new):
+                start, size = aligner.places[new].T
+                flat = spread(start, size)
+                pairs, links = aligner.pairs[flat], aligner.links[flat]
+                at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+                if (keys[at] != pairs).any():
+                    raise ValueError("alignment: a pair has no count")
+                both = np.stack([links * best[at], links * counts[at]], axis=1)
+                aligner.sums[new] = np.add.reduceat(both, np.cumsum(size) - size, axis=0)
+            return aligner.sums[numbers]
 
         for part, rows in by_key(batches, "part"):
             if part != own:
-                own, fresh, sums = part, [], {}
+                own, fresh = part, []
             side = rows.column("side").to_numpy(zero_copy_only=False)
             if side[0]:
                 some = rows.filter(pa.array(side))
@@ -527,39 +680,23 @@ def aligned_parts(parts: DataFrame, counted: DataFrame, sent, kind: str) -> Data
             if fresh:
                 keys, counts, best = (np.concatenate(x) for x in zip(*fresh))
                 keys, first = np.unique(keys, return_index=True)
-                counts, best, fresh = counts[first], best[first].astype(bool), []
-            made, size = [], 0
-
-            def full() -> pa.RecordBatch:
-                columns = list(zip(*made)) or [[]] * 8
-                ints = [pa.array(list(c), pa.int64()) for c in columns[1:7]]
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(list(columns[0]), docs.schema.field("key").type), *ints, pa.array(list(columns[7]), pa.string())],
+                counts, best, fresh = counts[first].astype(np.int64), best[first].astype(np.int64), []
+            total = np.zeros((docs.num_rows, 6), dtype=np.int64)
+            said: list[list[bytes]] = [[] for _ in range(docs.num_rows)]
+            for who, numbers, borders in aligner.documents(docs.column("text").to_pylist()):
+                each = np.concatenate([aligner.counts[numbers], sums(numbers)], axis=1)
+                total[who] += np.add.reduceat(each, borders[:-1], axis=0)
+                text = list(map(aligner.text.__getitem__, numbers.tolist()))
+                for i, a, b in zip(who, borders.tolist(), borders[1:].tolist()):
+                    said[i].append(b";".join(text[a:b]))
+            groups = [b";".join(x) for x in said]
+            for a, b in _runs(np.array([len(g) for g in groups]), 1 << 24):
+                yield pa.RecordBatch.from_arrays(
+                    [docs.column("key").slice(a, b - a), *[pa.array(c) for c in total[a:b].T],
+                     pa.array(groups[a:b], pa.binary()).cast(pa.string())],
                     ["key", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"],
                 )
 
-            for key, text in zip(docs.column("key"), docs.column("text")):
-                total, said = [0] * 6, []
-                for units in aligner.text(text.as_py()):
-                    if len(sums) * 500 > aligner.room:
-                        sums = {}
-                    for unit in units:
-                        _, at_best, count = sums.get(id(unit)) or of(unit)
-                        total[0] += unit.n_a
-                        total[1] += unit.n_b
-                        total[2] += unit.n_groups
-                        total[3] += unit.n_links
-                        total[4] += at_best
-                        total[5] += count
-                    said.append(b";".join([u.text for u in units]))
-                made.append((key.as_py(), *total, b";".join(said).decode()))
-                size += len(made[-1][-1])
-                if size > 1 << 24:
-                    yield full()
-                    made, size = [], 0
-            if made:
-                yield full()
-
     return beside(parts, counted, "part").mapInArrow(
         run, f"key {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
     )

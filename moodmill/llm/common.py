@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from moodmill.session import durable
 
-__all__ = ["beside", "by_key", "durable", "given", "ranked", "whole_runs", "WHITESPACE"]
+__all__ = ["beside", "by_key", "byte_alphabet", "durable", "given", "ranked", "whole_runs", "WHITESPACE"]
 
 # Fixed value: the characters that part words, as a class of a regular expression.
 WHITESPACE = r"[\x20\x09-\x0D]"
@@ -91,3 +91,10 @@ def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, p
         cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield int(values[a]), batch.slice(a, b - a)
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, then from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from moodmill.llm.common import durable
+from moodmill.llm.common import byte_alphabet
 
 END_ID = 2
 BLOCK_BYTES = 1 << 20
@@ -41,8 +41,10 @@ DICTIONARY_BYTES = 64 * 1024
 SAMPLE_DOCS = 1_000  # the dictionary is trained on so many documents at most,
 SAMPLE_BYTES = 8_192  # and on so many bytes of each
 LEVEL = 3
-_PIECES = 1_500_000  # distinct pieces a worker remembers
-_BATCH = 1 << 23
+ROOM_BYTES = 96 << 20  # of distinct pieces that a worker remembers
+_PIECE_BYTES = 240  # a remembered piece beside its own bytes and ids
+_BATCH = 1 << 20
+_INNER, _OUTER = 20_000, 4_000  # new pieces encoded at a time
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -57,7 +59,8 @@ _WHOLE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f
 class PieceEncoder:
     """Encodes texts with a byte-level tokenizer, each distinct piece once."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, room: int = ROOM_BYTES):
+        self.room = room
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
@@ -68,13 +71,32 @@ class PieceEncoder:
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
             and not cut.get("normalizer")
         )
+        if self.parted:
+            alphabet = byte_alphabet()
+            names = (self.tokenizer.id_to_token(i) or "" for i in range(size))
+            self.size = np.array([len(n) if all(c in alphabet for c in n) else len(n.encode()) for n in names])  # bytes of each id
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, dtype=self.type)
-        self.used = 0
+        self.used = self.held = 0
         self.places = np.zeros((1 << 16, 2), dtype=np.int64)  # start and number of the ids of a piece
+        self.hits = np.zeros(1 << 16, dtype=np.int64)
+
+    def _make_room(self) -> None:
+        """Drop the less used half of the pieces; the counts of the others are halved, so that they can age."""
+        n = len(self.known)
+        keep = np.zeros(n, dtype=bool)
+        keep[np.argsort(-self.hits[:n], kind="stable")[: n // 2]] = True
+        pieces = [p for p, k in zip(self.known, keep.tolist()) if k]
+        start, sizes = self.places[:n][keep].T
+        before = np.cumsum(sizes) - sizes
+        ids = self.ids[np.repeat(start - before, sizes) + np.arange(int(sizes.sum()))]
+        hits = self.hits[:n][keep] // 2
+        self._forget()
+        self._remember(pieces, ids, sizes)
+        self.hits[: len(pieces)] = hits
 
     def _remember(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Keep the ids of new pieces, which stand one after the other in ``ids``."""
@@ -84,27 +106,31 @@ class PieceEncoder:
         number = len(self.known)
         while number + len(pieces) > len(self.places):
             self.places = np.concatenate([self.places, np.zeros_like(self.places)])
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
         self.places[number : number + len(pieces), 0] = self.used + np.cumsum(sizes) - sizes
         self.places[number : number + len(pieces), 1] = sizes
         self.known.update(zip(pieces, range(number, number + len(pieces))))
         self.used += len(ids)
+        self.held += _PIECE_BYTES * len(pieces) + sum(map(len, pieces)) + ids.nbytes
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        """The ids of texts, without their places in the text."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Encode new pieces. Those that begin with whitespace go as one text, which the tokenizer parts again."""
         inner = [p for p in pieces if _SPACE[p[0]] and not _SPACE[p[-1]]]
         outer = [p for p in pieces if not _SPACE[p[0]] or _SPACE[p[-1]]]
-        alone = [e.ids for e in self.tokenizer.encode_batch([p.decode() for p in outer], add_special_tokens=False)]
-        self._remember(
-            outer, np.fromiter(chain.from_iterable(alone), dtype=self.type), np.array([len(x) for x in alone], dtype=np.int64)
-        )
-        for at in range(0, len(inner), 20_000):
-            part = inner[at : at + 20_000]
-            texts = [p.decode() for p in part]
-            encoding = self.tokenizer.encode("".join(texts), add_special_tokens=False)
-            ids = np.array(encoding.ids, dtype=self.type)
-            first = np.fromiter((o[0] for o in encoding.offsets), dtype=np.int64, count=len(ids))
-            ends = np.cumsum([len(t) for t in texts])
-            self._remember(part, ids, np.diff(np.searchsorted(first, ends, side="left"), prepend=0))
+        for at in range(0, len(outer), _OUTER):
+            part = outer[at : at + _OUTER]
+            alone = self._ids([p.decode() for p in part])
+            sizes = np.array([len(x) for x in alone], dtype=np.int64)
+            self._remember(part, np.fromiter(chain.from_iterable(alone), dtype=self.type, count=int(sizes.sum())), sizes)
+        for at in range(0, len(inner), _INNER):
+            part = inner[at : at + _INNER]
+            ids = np.array(self._ids(["".join([p.decode() for p in part])])[0], dtype=self.type)
+            ends = np.cumsum([len(p) for p in part])
+            self._remember(part, ids, np.diff(np.searchsorted(np.cumsum(self.size[ids]), ends, side="right"), prepend=0))
 
     def _encode_parted(self, texts: list[bytes]) -> list[np.ndarray]:
         data = b"".join(texts)
@@ -120,13 +146,16 @@ class PieceEncoder:
             pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]
         ).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > _PIECES:
-            self._forget()
+        if self.held > self.room:
+            self._make_room()
         found = list(map(self.known.get, distinct))
         if None in found:
             self._learn([p for p, number in zip(distinct, found) if number is None])
             found = list(map(self.known.get, distinct))
-        numbers = np.array(found, dtype=np.int64)[pieces.indices.to_numpy()]
+        indices = pieces.indices.to_numpy()
+        found = np.array(found, dtype=np.int64)
+        self.hits[found] += np.bincount(indices, minlength=len(found))
+        numbers = found[indices]
         start, size = self.places[numbers].T
         before = np.cumsum(size) - size
         ids = self.ids[np.repeat(start - before, size) + np.arange(int(size.sum()))]
@@ -135,6 +164,21 @@ class PieceEncoder:
         borders = tokens[np.searchsorted(offsets[:-1], np.concatenate([begins, [len(raw)]]), side="left")]
         return [ids[a:b] for a, b in zip(borders, borders[1:])]
 
+    def _stretches(self, raw: bytes) -> Iterator[bytes]:
+        """A text in stretches of about ``_BATCH`` bytes that end where a piece does."""
+        at = 0
+        while at < len(raw):
+            stop = at + _BATCH
+            while stop < len(raw):
+                space = _SPACE[np.frombuffer(raw, dtype=np.uint8, offset=at, count=min(stop + 1, len(raw)) - at)]
+                cuts = np.flatnonzero(space[1:] & ~space[:-1])
+                if len(cuts):
+                    stop = at + int(cuts[-1]) + 1
+                    break
+                stop += _BATCH
+            yield raw[at:stop]
+            at = stop
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null is empty."""
         out: list[np.ndarray] = [np.zeros(0, dtype=self.type)] * len(texts)
@@ -154,6 +198,9 @@ class PieceEncoder:
             if not self.parted or any(x in raw for x in _WHOLE):
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type)
                 continue
+            if len(raw) > _BATCH:
+                out[i] = np.concatenate([self._encode_parted([x])[0] for x in self._stretches(raw)])
+                continue
             if n + len(raw) > _BATCH:
                 flush()
                 n = 0

@@ -10,6 +10,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from moodmill.llm import alignment
+from moodmill.llm.common import byte_alphabet
 
 DATA = pathlib.Path("/root/testdata/sf0.001")
 A_JSON = pathlib.Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
@@ -33,7 +34,7 @@ def plain_groups(text, tokenizers):
     a, b = tokenizers
     if not text:
         return []
-    chars = alignment.byte_alphabet()
+    chars = byte_alphabet()
     left = a.encode(" " + text, add_special_tokens=False).ids
     right = b.encode(text)
     left_bytes = [bytes(chars[c] for c in a.id_to_token(i)) for i in left]
@@ -86,29 +87,52 @@ WORDS = ["the", "water", "Straße", "日本語", "naïve", "x" * 40, "12,500", "
 SPACES = [" ", "  ", "\n", "\t ", " \n\n ", " ", "　", "  ", "", "\x1c", "\r\n"]
 
 
+def spelled(aligner, texts):
+    """Groups and links of each text by its units, and their number."""
+    groups, links = [[] for _ in texts], [Counter() for _ in texts]
+    for who, numbers, borders in aligner.documents(texts):
+        for i, a, b in zip(who, borders, borders[1:]):
+            for unit in numbers[a:b].tolist():
+                groups[i].append(aligner.text[unit].decode())
+                start, size = aligner.places[unit]
+                own = dict(zip(aligner.pairs[start : start + size].tolist(), aligner.links[start : start + size].tolist()))
+                links[i].update(own)
+                assert sum(own.values()) == aligner.counts[unit, 3]
+    return [";".join(g) for g in groups], links
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(WORDS) | st.text(max_size=4), st.sampled_from(SPACES)), max_size=12))
-def test_units_give_what_whole_texts_give(pair, plain_tokenizers, words):
-    text = "".join(w + s for w, s in words)
-    found = [u for units in alignment.Aligner(pair).text(text) for u in units]
-    groups = plain_groups(text, plain_tokenizers)
-    assert ";".join(u.text.decode() for u in found) == said(groups)
-    links = Counter(x << 32 | y for own_a, own_b in groups for x in own_a for y in own_b)
-    got = Counter()
-    for u in found:
-        got.update(dict(zip(u.pairs.tolist(), u.links.tolist())))
-    assert got == links and sum(u.n_links for u in found) == sum(links.values())
+@given(st.lists(st.lists(st.tuples(st.sampled_from(WORDS) | st.text(max_size=4), st.sampled_from(SPACES)), max_size=12), max_size=3))
+def test_units_give_what_whole_texts_give(pair, plain_tokenizers, texts):
+    texts = ["".join(w + s for w, s in words) for words in texts]
+    found, links = spelled(alignment.Aligner(pair), texts)
+    for text, got, own in zip(texts, found, links):
+        groups = plain_groups(text, plain_tokenizers)
+        assert got == said(groups)
+        assert own == Counter(x << 32 | y for own_a, own_b in groups for x in own_a for y in own_b)
 
 
 def test_small_room_and_slices_change_nothing(pair, plain_tokenizers, monkeypatch):
     monkeypatch.setattr(alignment, "_SLICE", 64)
     monkeypatch.setattr(alignment, "_LEARN", 32)
     monkeypatch.setattr(alignment, "_LINKS", 4)
-    text = " ".join(f"Wort{i % 37} {'ab' * (i % 9)}" for i in range(400))
-    found = [u for units in alignment.Aligner(pair, room=2000).text(text) for u in units]
-    assert ";".join(u.text.decode() for u in found) == said(plain_groups(text, plain_tokenizers))
+    long = " ".join(f"Wort{i % 37} {'ab' * (i % 9)}" for i in range(400))
     # A mark of tokenizer B far in the text takes all tokens away.
-    assert not list(alignment.Aligner(pair, room=2000).text(text + " ▁"))
+    texts = [long, None, "ein Wort", long + " ▁", "", "▁", "noch ein Wort", "x " * 31 + "日本"]
+    found, _ = spelled(alignment.Aligner(pair, room=4000), texts)
+    assert found == [said(plain_groups(t, plain_tokenizers)) for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=40) | st.text(alphabet="abcdet '12.,é日\n", max_size=60))
+def test_both_encoders_of_a_agree(pair, plain_tokenizers, text):
+    assert pair.quick.encode_ordinary(text) == plain_tokenizers[0].encode(text, add_special_tokens=False).ids
+
+
+def test_without_the_quick_encoder(pair, plain_tokenizers, monkeypatch):
+    monkeypatch.setattr(pair, "quick", None)
+    texts = ["the water, don't  stop", "x" * 3000]
+    assert spelled(alignment.Aligner(pair), texts)[0] == [said(plain_groups(t, plain_tokenizers)) for t in texts]
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 1000, 100_000])

@@ -30,12 +30,28 @@ def test_single_texts(text):
     assert ENCODER.encode([text])[0].tolist() == ids(text)
 
 
-def test_forgets_when_full(monkeypatch):
-    encoder = t.PieceEncoder(JSON)
-    monkeypatch.setattr(t, "_PIECES", 10)
-    for i in range(5):
-        texts = [f"some words {i} {j} and more" for j in range(4)]
+def test_keeps_within_its_room(monkeypatch):
+    monkeypatch.setattr(t, "_BATCH", 200)
+    encoder = t.PieceEncoder(JSON, room=20_000)
+    for i in range(40):
+        texts = [f"some words {i} {j} and more" for j in range(4)] + ["long " * 50 + f"x{i} " * 30]
         assert [x.tolist() for x in encoder.encode(texts)] == [ids(x) for x in texts]
+        assert encoder.held < 2 * encoder.room
+    # What is used again and again stays.
+    assert {b" words", b" and", b" long"} <= encoder.known.keys()
+
+
+def test_a_million_distinct_words():
+    encoder = t.PieceEncoder(JSON)
+    rng = np.random.default_rng(0)
+    most = 0
+    for _ in range(20):
+        words = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (50_000, 7))]
+        texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)] + [" ".join(words)]
+        found = encoder.encode(texts)
+        most = max(most, encoder.held)
+    assert [x.tolist() for x in found] == [ids(x) for x in texts]
+    assert most < 2 * t.ROOM_BYTES
 
 
 def test_other_tokenizers_encode_whole():
