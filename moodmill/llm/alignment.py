@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
@@ -37,9 +38,9 @@ from tokenizers import Tokenizer
 from moodmill.llm.common import beside, by_key, byte_alphabet, durable, whole_runs
 
 PART_ROWS = 4096
-SEGMENT_ROWS = 1 << 19  # rows of parts that a segment aims at
+SEGMENT_ROWS = 1 << 17  # rows of parts that a segment aims at
 LANES = 4
-CACHE_BYTES = 80 << 20  # what a worker remembers of units
+CACHE_BYTES = 64 << 20  # what a worker remembers of units
 _SLICE = 1 << 21  # bytes of text in hand
 _LEARN = 1 << 18  # bytes of new units encoded at a time
 _LINKS = 1 << 21  # links laid out at a time
@@ -480,6 +481,13 @@ def _batch(columns: dict[str, tuple[np.ndarray | list, pa.DataType]]) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns.values()], list(columns))
 
 
+def some_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about ``_SLICE`` bytes of text at a time, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    for a, b in _runs(sizes, _SLICE):
+        yield batch.slice(a, b - a)
+
+
 def documents_with(aligner: Aligner, numbers: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs of some documents and how many of these documents hold each."""
     units, place = np.unique(numbers, return_inverse=True)
@@ -516,18 +524,19 @@ def part_pairs(parts: DataFrame, sent) -> DataFrame:
                 size = 0
             own = part
             long: dict[int, np.ndarray] = {}
-            texts = rows.column("text").to_pylist()
-            for who, numbers, borders in aligner.documents(texts):
-                pairs, n = documents_with(aligner, numbers, borders)
-                if len(who) == 1:
-                    long[who[0]] = np.union1d(long.get(who[0], pairs), pairs)
-                    continue
-                held.append((pairs, n))
-                size += len(pairs)
-                if size > 1 << 21:
-                    held[:] = [summed(held)]
-                    size = 0
-            held += [(pairs, np.ones(len(pairs), dtype=np.int64)) for pairs in long.values()]
+            for some in some_rows(rows):
+                long.clear()
+                for who, numbers, borders in aligner.documents(some.column("text").to_pylist()):
+                    pairs, n = documents_with(aligner, numbers, borders)
+                    if len(who) == 1:
+                        long[who[0]] = np.union1d(long.get(who[0], pairs), pairs)
+                        continue
+                    held.append((pairs, n))
+                    size += len(pairs)
+                    if size > 1 << 20:
+                        held[:] = [summed(held)]
+                        size = 0
+                held += [(pairs, np.ones(len(pairs), dtype=np.int64)) for pairs in long.values()]
         if own is not None:
             yield full()
 
@@ -681,19 +690,18 @@ def aligned_parts(parts: DataFrame, counted: DataFrame, sent, kind: str) -> Data
                 keys, counts, best = (np.concatenate(x) for x in zip(*fresh))
                 keys, first = np.unique(keys, return_index=True)
                 counts, best, fresh = counts[first].astype(np.int64), best[first].astype(np.int64), []
-            total = np.zeros((docs.num_rows, 6), dtype=np.int64)
-            said: list[list[bytes]] = [[] for _ in range(docs.num_rows)]
-            for who, numbers, borders in aligner.documents(docs.column("text").to_pylist()):
-                each = np.concatenate([aligner.counts[numbers], sums(numbers)], axis=1)
-                total[who] += np.add.reduceat(each, borders[:-1], axis=0)
-                text = list(map(aligner.text.__getitem__, numbers.tolist()))
-                for i, a, b in zip(who, borders.tolist(), borders[1:].tolist()):
-                    said[i].append(b";".join(text[a:b]))
-            groups = [b";".join(x) for x in said]
-            for a, b in _runs(np.array([len(g) for g in groups]), 1 << 24):
+            for some in some_rows(docs):
+                total = np.zeros((some.num_rows, 6), dtype=np.int64)
+                said: list[list[bytes]] = [[] for _ in range(some.num_rows)]
+                for who, numbers, borders in aligner.documents(some.column("text").to_pylist()):
+                    each = np.concatenate([aligner.counts[numbers], sums(numbers)], axis=1)
+                    total[who] += np.add.reduceat(each, borders[:-1], axis=0)
+                    text = list(map(aligner.text.__getitem__, numbers.tolist()))
+                    for i, a, b in zip(who, borders.tolist(), borders[1:].tolist()):
+                        said[i].append(b";".join(text[a:b]))
                 yield pa.RecordBatch.from_arrays(
-                    [docs.column("key").slice(a, b - a), *[pa.array(c) for c in total[a:b].T],
-                     pa.array(groups[a:b], pa.binary()).cast(pa.string())],
+                    [some.column("key"), *[pa.array(c) for c in total.T],
+                     pa.array([b";".join(x).decode() for x in said], pa.string())],
                     ["key", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"],
                 )
 
