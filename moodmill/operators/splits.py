@@ -21,11 +21,17 @@ _BORDER_ROWS = 10_000
 def assemble_training(prepared: DataFrame, label_map: DataFrame, id_from: tuple[str, ...] = ("source_file", "text")) -> DataFrame:
     """``row_id, processed, target, lang`` of the prepared rows whose class is in ``label_map(emoji, target)``.
 
-    ``row_id`` is a repeatable hash of those columns of ``id_from`` that there are. It is
-    unique where they are, as source file and text are after the preparation.
+    ``row_id`` is a repeatable hash of the columns ``id_from``, each with its length, a null apart
+    from an empty text. It is unique where they are, as source file and text are after the
+    preparation. A column that lacks is an error: rows of equal text from two
+    files would become one further on.
     """
+    lacking = [c for c in id_from if c not in prepared.columns]
+    if lacking:
+        raise ValueError(f"row ids need the columns {', '.join(lacking)}; prepare them with their source, or name others in id_from")
     targets = label_map.select(F.col("emoji").alias("class"), "target")
-    row_id = F.md5(F.concat_ws("|", *[c for c in id_from if c in prepared.columns]))
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("null")) for c in id_from]
+    row_id = F.md5(F.concat_ws("|", *parts))
     return lookup(prepared.withColumn("row_id", row_id), targets, "class", "inner").select(
         "row_id", process_text_dataset(F.col("text")).alias("processed"), "target", "lang"
     )

@@ -331,7 +331,11 @@ def _bodies() -> dict[str, str]:
         ),
         "f0_assemble_training": _with(
             VERDICTS + ", targets(class, target) AS (VALUES " + ", ".join(f"('{e}', {t})" for e, t in LABEL_MAP) + ")",
-            f"SELECT md5(source_file || '|' || text) AS row_id, {b9('text')} AS processed, target, lang FROM verdicts JOIN targets USING (class) WHERE verdict = 'kept'",
+            f"SELECT md5(length(source_file) || ':' || source_file || '|' || length(text) || ':' || text) AS row_id, {b9('text')} AS processed, target, lang FROM verdicts JOIN targets USING (class) WHERE verdict = 'kept'",
+        ),
+        "f0_prepared_to_features": _with(
+            LABELLED + ", targets(class, target) AS (VALUES " + ", ".join(f"('{e}', {t})" for e, t in LABEL_MAP) + ")",
+            f"""SELECT md5(length(source_file) || ':' || source_file || '|' || length(text) || ':' || text) AS row_id, target, 1 AS n, 64 AS dim FROM labelled JOIN targets USING (class)""",
         ),
         "f1_holdout_split": f"SELECT doc_id, lang, is_val FROM ({_split('documents', 'doc_id', 0.25)})",
         "f2_split_mode": f"SELECT o_orderkey FROM ({_split('orders', 'o_orderkey', 0.1)}) WHERE is_val",
@@ -483,7 +487,7 @@ def _bodies() -> dict[str, str]:
         "train_tweets": _with(
             LABELLED + ", " + BAYES + ", " + languages("labelled", "source_file, text", "text")
             + ", targets(class, target) AS (VALUES " + ", ".join(f"('{e}', {t})" for e, t in LABEL_MAP) + f"""), framed AS (
-  SELECT md5(source_file || '|' || text) AS row_id, target FROM labelled JOIN answers a USING (source_file, text)
+  SELECT md5(length(source_file) || ':' || source_file || '|' || length(text) || ':' || text) AS row_id, target FROM labelled JOIN answers a USING (source_file, text)
   JOIN targets USING (class) WHERE a.lang = 'en')""",
             f"""SELECT CASE WHEN is_val THEN 'Val' ELSE 'Train' END AS loop, count(*) AS n,
   {", ".join(f"count(*) FILTER (target = {t}) AS class_{t}" for _, t in LABEL_MAP)}, true AS has_loss

@@ -36,10 +36,15 @@ def prepare(
     dictionary: DataFrame | EmojiDictionary,
     languages: LanguageModel,
     config: FilterConfig = FilterConfig(),
+    with_source: bool = False,
 ) -> DataFrame:
     """Prepared rows ``text, lang, prob, class, count``, distinct per source file.
 
+    ``with_source`` puts ``source_file`` first; the training frame makes its row ids from it,
+    so that a text of two files stays two rows.
+
     The kept texts are written once; the language prediction reads them several times.
     """
     labelled = durable(labelled_tweets(tweets, dictionary, config), "labelled")
-    return language_predict(labelled, languages).select("text", "lang", "prob", "class", "count")
+    source = ["source_file"] if with_source else []
+    return language_predict(labelled, languages).select(*source, "text", "lang", "prob", "class", "count")

@@ -325,6 +325,16 @@ def f0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assemble_training(kept, rel.label_map(spark))
 
 
+@register("f0_prepared_to_features")
+def f0_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the preparation to features: rows of one text in several files stay apart."""
+    model = language.language_fit(rel.table(spark, sf_dir, "documents"))
+    rows = prepare(rel.tweets(spark, sf_dir), rel.dictionary(spark), model, with_source=True)
+    frame = durable(splits.assemble_training(rows, rel.label_map(spark)), "frame")
+    features = text_features(frame, ["row_id", "target"], rel.token_table(spark, sf_dir), DIM, FeatureConfig("bag", "mean", 30))
+    return features.groupBy("row_id", "target").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim"))
+
+
 @register("f1_holdout_split")
 def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rel.table(spark, sf_dir, "documents").select("doc_id", "lang")

@@ -69,9 +69,15 @@ def test_training_frame(spark):
     prepared = spark.createDataFrame(
         [("So GOOD, yes", "en", "😂"), ("other", "en", "🔥")], "text string, lang string, class string"
     )
-    rows = splits.assemble_training(prepared, label_map(spark)).collect()
+    with pytest.raises(ValueError, match="source_file"):
+        splits.assemble_training(prepared, label_map(spark))
+    rows = splits.assemble_training(prepared, label_map(spark), ("text",)).collect()
     assert [tuple(r)[1:] for r in rows] == [("so good yes", 0, "en")]
     named = prepared.withColumn("source_file", F.lit("f"))
+    # One text in two files is two rows; a null, an empty name and a separator in it are told apart.
+    files = [("f", "a"), ("g", "a"), (None, "a"), ("", "a"), ("f|1:a", "b"), ("f", "1:a|1:b")]
+    several = spark.createDataFrame([(s, t, "en", "😂") for s, t in files], "source_file string, text string, lang string, class string")
+    assert splits.assemble_training(several, label_map(spark)).select("row_id").distinct().count() == len(files)
     ids = {r.row_id for r in splits.assemble_training(named.unionByName(named), label_map(spark)).collect()}
     assert len(ids) == 1 and ids != {rows[0].row_id}
 
