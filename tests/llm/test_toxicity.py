@@ -1,4 +1,8 @@
+import math
 import pathlib
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,32 +12,47 @@ from moodmill.llm import toxicity as t
 DATA = pathlib.Path("/root/testdata/sf0.1")
 
 
-def symbols(machine, *read):
+def letter(symbol, *marks):
+    return symbol, frozenset(marks)
+
+
+def marks(machine, *read):
+    """The marks that the machine writes for each word, after the look-ahead."""
     state, out = 0, []
-    for s in read:
-        state, marks = machine.step(state, s)
-        out.append(set(marks))
+    for one, _ in t.looked_ahead((s, "") for s in read):
+        state, (_, given) = machine.step(state, one)
+        out.append(set(given))
     return out
 
 
 def test_machine():
     m = t.grammar()
-    assert symbols(m, t.INSULT) == [{"insult"}]
-    assert symbols(m, t.TARGET, t.OTHER, t.INSULT)[-1] == {"insult", "target_before"}
-    assert symbols(m, t.TARGET, *[t.OTHER] * 4, t.INSULT)[-1] == {"insult"}
-    assert symbols(m, t.NEGATION, t.INSULT)[-1] == {"insult", "negated"}
-    assert symbols(m, t.THREAT, t.OTHER, t.TARGET)[-1] == {"threat", "target_after"}
-    assert symbols(m, t.THREAT, *[t.OTHER] * 3, t.TARGET)[-1] == set()
-    assert symbols(m, t.REPORT, *[t.OTHER] * 9, t.INSULT)[-1] == {"insult", "reported"}
-
-
-def test_composition_equals_parts():
+    assert marks(m, t.INSULT) == [{"insult"}]
+    assert marks(m, t.TARGET, t.OTHER, t.INSULT)[-1] == {"insult", "target_before"}
+    assert marks(m, t.TARGET, *[t.OTHER] * 4, t.INSULT)[-1] == {"insult"}
+    assert marks(m, t.NEGATION, t.INSULT)[-1] == {"insult", "negated"}
+    # A threat is booked on its own word.
+    assert marks(m, t.THREAT, t.OTHER, t.TARGET) == [{"threat", "target_after"}, set(), set()]
+    assert marks(m, t.THREAT, *[t.OTHER] * 3, t.TARGET) == [set()] * 5
+    assert marks(m, t.REPORT, *[t.OTHER] * 9, t.INSULT)[-1] == {"insult", "reported"}
+    # Marks belong to one event, not to its clause.
+    assert marks(m, t.NEGATION, t.INSULT, *[t.OTHER] * 4, t.INSULT)[1::5] == [{"insult", "negated"}, {"insult"}]
+
+
+def test_composition_reads_what_the_first_writes():
     import itertools
 
-    a, b = t.within((t.NEGATION,), (t.INSULT,), 2, "n"), t.after((t.REPORT,), (t.INSULT,), "r")
+    a = t.events_of(t.LETTERS)
+    b = t.after(a.writes, t.NEGATION, "negated", 2)
     both = t.compose(a, b)
-    for word in itertools.product(range(6), repeat=4):
-        assert symbols(both, *word) == [x | y for x, y in zip(symbols(a, *word), symbols(b, *word))]
+    for word in itertools.product(t.LETTERS, repeat=3):
+        x = y = z = 0
+        for one in word:
+            x, between = a.step(x, one)
+            y, out = b.step(y, between)
+            z, composed = both.step(z, one)
+            assert composed == out
+    assert t.context_of(letter(t.OTHER)) is None
 
 
 def test_events():
@@ -45,6 +64,49 @@ def test_events():
     assert events("he said: no. She said you are not an idiot") == [("idiot", "insult-directed-negated-reported")]
     assert events("I will kill you") == [("kill", "threat-directed")]
     assert events("kill time") == []
+    assert events("kill idiot you") == [("kill", "threat-directed"), ("idiot", "insult-directed")]
+    assert events("idiot idiot idiot") == [("idiot", "insult-plain")] * 3
+    assert events("..idiot!!moron") == [("idiot", "insult-plain")]
+
+
+def plainly(reader, text):
+    """The events by looking around each word of each clause."""
+    out = []
+    for clause in re.split("[.!?;:\\n]", (text or "").lower()):
+        read = [reader.symbol(w) for w in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", clause)]
+        kinds = [s for s, _ in read]
+        for i, (symbol, entry) in enumerate(read):
+            ahead = t.TARGET in kinds[i + 1 : i + 4]
+            if symbol == t.INSULT or symbol == t.THREAT and ahead:
+                context = ["insult" if symbol == t.INSULT else "threat"]
+                context.append("directed" if ahead or t.TARGET in kinds[max(0, i - 4) : i] else "plain")
+                context += ["negated"] * (t.NEGATION in kinds[max(0, i - 3) : i]) + ["reported"] * (t.REPORT in kinds[:i])
+                out.append((entry, "-".join(context)))
+    return out
+
+
+def test_events_and_scores_by_a_plain_parser():
+    model = t.Model({"idiot": 2.0, "lowe*": 3.0, "kill": 1.0, "hu*": 4.0}, {"threat-directed": 0.5, "insult-plain-negated": -1.0})
+    words = "idiot lowen kill hurt you they not never said a b hum .  ! \n ; killer".split(" ")
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(25)))
+        expected = plainly(model.reader, text)
+        assert model.reader.events(text) == expected, text
+        weights = [model.entries.get(e, 0.0) + model.contexts.get(c, 0.0) for e, c in expected]
+        positive = [w for w in weights if w > 0]
+        x = (max(positive), math.log1p(sum(positive)), min(5, len(positive))) if positive else (0, 0, 0)
+        z = model.logistic[0] + sum(b * v for b, v in zip(model.logistic[1:], x))
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_very_long_texts_take_linear_time():
+    model = t.Model({"idiot": 2.0})
+    for line in ("a quiet line\nidiot ", "quiet words without an end idiot ", "idiot, "):
+        text = line * 200_000
+        start = time.process_time()
+        assert len(model.reader.events(text)) == 200_000
+        assert time.process_time() - start < 30
 
 
 def test_entries():
@@ -54,6 +116,20 @@ def test_entries():
     assert "vequ*" in got and not {"vequa*", "vequais", "the", "rare"} & set(got) and got["idiot"] == 1.5
 
 
+def test_entries_do_not_fade_as_labels_grow():
+    """30 toxic rows and no clean one make an entry at any number of labels, two do not."""
+    for n in (300, 3_000, 300_000):
+        got = t.learned_entries({"zorb": 30, "chance": 2}, {}, n, 9 * n)
+        assert "zorb" in got and "chance" not in got
+
+
+def test_chance_is_the_binomial_tail():
+    for toxic, clean in ((3, 0), (5, 2), (1, 9), (0, 4)):
+        n = toxic + clean
+        tail = sum(math.comb(n, k) * 0.2**k * 0.8 ** (n - k) for k in range(toxic, n + 1))
+        assert t._chance(toxic, clean, 20, 80) == pytest.approx(math.log(tail), abs=1e-9)
+
+
 def made(spark, n=240):
     rows, labels = [], []
     for i in range(n):
@@ -74,6 +150,9 @@ def test_fit_and_score(spark):
     assert all((by[i] >= t.THRESHOLD) == (i % 6 == 0) for i in range(240))
     assert by[1000] == by[1001] == by[None] < t.THRESHOLD < by[1002]
     # Held-out labels are not read: turning them around changes nothing.
+    # Threat words are threats in a fitted model too.
+    assert all(model.reader.symbol(w) == (t.THREAT, w) for w in t.THREATS)
+    assert model.score("I will kill you") > model.score("kill time") == model.score("fine day")
     turned = labels.withColumn("toxic", F.when(t.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert {(r.doc_id, r.score) for r in t.scored(docs, t.fit(docs, turned)).collect()} == scores
     assert t.scored(docs.where("false"), model).count() == 0
@@ -93,3 +172,21 @@ def test_held_out_accuracy(spark):
     rows = QUERIES["op10_toxicity"](spark, str(DATA)).where("held_out").join(labels, "doc_id").collect()
     hits = sum(r.predicted and r.toxic for r in rows)
     assert hits / sum(r.toxic for r in rows) > 0.9 and hits / sum(r.predicted for r in rows) > 0.9
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the given tables")
+def test_held_out_accuracy_with_few_labels(spark):
+    from moodmill.llm.queries import QUERIES
+
+    # Here most German, French and Spanish insults stand in less than four of the 37 toxic rows.
+    few = DATA.parent / "sf0.01"
+    labels = spark.read.parquet(f"{few}/labels.parquet")
+    rows = QUERIES["op10_toxicity"](spark, str(few)).where("held_out").join(labels, "doc_id").collect()
+    hits = sum(r.predicted and r.toxic for r in rows)
+    assert hits / sum(r.toxic for r in rows) > 0.6 and hits / sum(r.predicted for r in rows) >= 0.9
+
+
+def test_a_repeated_key_is_one_row_of_the_sample(spark):
+    docs, labels = made(spark)
+    again = docs.where("doc_id = 1").crossJoin(spark.range(500)).drop("id")
+    assert t.fit(docs.union(again), labels) == t.fit(docs, labels)
