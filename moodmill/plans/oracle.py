@@ -527,6 +527,11 @@ def _bodies() -> dict[str, str]:
     narrowed = CLEANED.replace("FROM tweets)", f"FROM tweets WHERE NOT {JUNK})", 1)
     kept = LABELLED.replace(CLEANED, narrowed, 1)
     sql["a5_prepare_incremental"] = sql["prepared_tweets"].replace(LABELLED, kept, 1)
+    once = kept.replace("SELECT DISTINCT source_file, text, class, count", "SELECT DISTINCT text, class, count", 1)
+    sql["a5_prepare_incremental_all_files"] = _with(
+        once + ", " + BAYES + ", " + languages("labelled", "text", "text"),
+        "SELECT text, lang, round(prob, 5) AS prob, class, count FROM labelled JOIN answers USING (text)",
+    )
     sql["a5_refused_records"] = sql["a2_split_bad_records"]
     return sql
 

@@ -110,7 +110,7 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("doc_id", "pos", "lang", "class", "count")
 
 
-def _incremental(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+def _incremental(spark: SparkSession, sf_dir: str, scope: str = "file") -> tuple[str, str]:
     """Prepare an archive in several batches, then again after more files have come."""
     source = rel.archive(spark, sf_dir, late=False)
     target, refused, checkpoint = (scratch_path(spark, f"stream-{x}") for x in ("out", "refused", "log"))
@@ -119,7 +119,8 @@ def _incremental(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
         if late:
             rel.archive(spark, sf_dir, late=True, path=source)
         prepare_incremental(
-            spark, f"{source}/*", target, checkpoint, rel.dictionary(spark), model, files_per_batch=120, refused=refused
+            spark, f"{source}/*", target, checkpoint, rel.dictionary(spark), model, files_per_batch=120, refused=refused,
+            scope=scope,
         )
     return target, refused
 
@@ -130,6 +131,12 @@ def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).select("text", "lang", F.round("prob", 5).alias("prob"), "class", "count")
 
 
+@register("a5_prepare_incremental_all_files")
+def a5_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target, _ = _incremental(spark, sf_dir, "all")
+    return spark.read.parquet(target).select("text", "lang", F.round("prob", 5).alias("prob"), "class", "count")
+
+
 @register("a5_refused_records")
 def a5_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, refused = _incremental(spark, sf_dir)

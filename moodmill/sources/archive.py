@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+
+from moodmill.session import durable
 
 RECORD = "text STRING, _corrupt_record STRING"
 
@@ -40,18 +42,43 @@ def split_bad_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def usable_texts(lines: DataFrame, refused: str | None = None) -> DataFrame:
-    """Texts of the usable records of raw lines; the refused records are written to a folder if one is given."""
-    good, bad = split_bad_records(parse_records(lines))
-    if refused:
-        bad.write.mode("overwrite").parquet(refused)
-    return good
+class TooManyRefused(ValueError):
+    """An archive has more refused records than its reader allows."""
+
+
+def usable_texts(lines: DataFrame, refused: str | None = None, max_refused: float | None = None) -> DataFrame:
+    """Texts of the usable records of raw lines, ``source_file, text``.
+
+    Without ``refused`` this is a projection. With it, each record is decoded once and
+    routed by one write to a table of two partitions, usable and refused; the refused ones
+    go on to that folder, and the result reads the others. The write counts both as it
+    goes; a share of refused records above ``max_refused`` raises ``TooManyRefused``, when
+    the folder holds them already.
+    """
+    records = parse_records(lines)
+    if refused is None:
+        if max_refused is not None:
+            raise ValueError("a limit of refused records needs a folder for them")
+        return split_bad_records(records)[0]
+    counted = Observation()
+    broken = F.col("reason").isNotNull()
+    routed = records.observe(counted, F.count("*").alias("records"), F.count("reason").alias("refused")).select(
+        "source_file", F.when(broken, F.col("raw")).alias("raw"), "text", "reason", broken.alias("_refused")
+    )
+    written = durable(routed, "records", partition_by="_refused")
+    split_bad_records(written.where("_refused"))[1].write.mode("overwrite").parquet(refused)
+    n = counted.get
+    if max_refused is not None and n["refused"] > max_refused * n["records"]:
+        raise TooManyRefused(f"{n['refused']} of {n['records']} records are refused; see {refused}")
+    return written.where("NOT _refused").select("source_file", "text")
 
 
-def read_tweets(spark: SparkSession, path: str, refused: str | None = None) -> DataFrame:
+def read_tweets(
+    spark: SparkSession, path: str, refused: str | None = None, max_refused: float | None = None
+) -> DataFrame:
     """``source_file, text`` of all records with a text.
 
     ``refused`` names a folder for the others, a table ``source_file, raw, reason`` that
-    a repeated read writes anew.
+    a repeated read writes anew; ``max_refused`` is the largest share of them.
     """
-    return usable_texts(read_archive(spark, path), refused)
+    return usable_texts(read_archive(spark, path), refused, max_refused)

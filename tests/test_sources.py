@@ -40,6 +40,32 @@ def test_refused_records_are_written(spark, archive_dir, tmp_path):
     assert spark.read.parquet(folder).count() == 2
 
 
+def test_records_are_decoded_once(spark, archive_dir, tmp_path):
+    read = archive.read_tweets(spark, f"{archive_dir}/*.json.bz2", str(tmp_path / "refused"))
+    # The result reads the routed table, not the archive.
+    assert read.inputFiles() and not any("json.bz2" in f for f in read.inputFiles())
+    lazily = archive.read_tweets(spark, f"{archive_dir}/*.json.bz2")
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, lazily.collect()))
+
+
+def test_too_many_refused_records(spark, archive_dir, tmp_path):
+    path, folder = f"{archive_dir}/*.json.bz2", str(tmp_path / "refused")
+    assert archive.read_tweets(spark, path, folder, max_refused=2 / 6).count() == 4
+    with pytest.raises(archive.TooManyRefused, match="2 of 6"):
+        archive.read_tweets(spark, path, folder, max_refused=0.3)
+    assert spark.read.parquet(folder).count() == 2
+    with pytest.raises(ValueError, match="folder"):
+        archive.read_tweets(spark, path, max_refused=0.3)
+
+
+def test_an_archive_without_records(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n\n")
+    refused = str(tmp_path / "refused")
+    assert archive.read_tweets(spark, str(tmp_path / "in"), refused, max_refused=0.0).count() == 0
+    assert spark.read.parquet(refused).count() == 0
+
+
 def test_emoji_dictionary(spark, tmp_path):
     lines = [
         "# comment 1F600", "", "1F602 ; fully-qualified # 😂 face with tears 64", "0023 ; x # # hash",

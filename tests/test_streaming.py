@@ -1,10 +1,14 @@
 import bz2
 import json
+import shutil
+
+import pytest
+from pyspark.sql import functions as F
 
 from moodmill.operators.language import language_fit
-from moodmill.plans.preparation import prepare
+from moodmill.plans.preparation import labelled_tweets, prepare
 from moodmill.plans.relations import dictionary
-from moodmill.sources.archive import read_tweets
+from moodmill.sources.archive import TooManyRefused, read_tweets
 from moodmill.streaming.incremental import prepare_incremental
 
 
@@ -38,3 +42,51 @@ def test_files_are_prepared_once(spark, tmp_path):
     write(source / "late.json.bz2", ["the late cat is here 😭"])
     second = run()
     assert second == batch() and len(second) == 11
+
+
+def test_texts_are_prepared_once_over_all_files_and_runs(spark, tmp_path):
+    source, target, log = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "log")
+    source.mkdir()
+    labelled = spark.createDataFrame([("the cat is here", "en"), ("le chat est ici", "fr")], "text string, lang string")
+    model = language_fit(labelled)
+    for i in range(5):
+        write(source / f"{i}.json.bz2", ["the same cat is here 😂", "the same cat is here 😂", f"le chat est {i % 2} ans 😍"])
+
+    def run(checkpoint=log):
+        prepare_incremental(spark, str(source), target, checkpoint, dictionary(spark), model, files_per_batch=2, scope="all")
+        return sorted(map(tuple, spark.read.parquet(target).select("text", "class", "count").collect()))
+
+    def batch():
+        rows = labelled_tweets(read_tweets(spark, str(source)), dictionary(spark), scope="all")
+        return sorted(map(tuple, rows.select("text", "class", "count").collect()))
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    first = run()
+    assert first == batch() and len(first) == 3
+    assert run() == first
+    write(source / "late.json.bz2", ["the late cat is here 😭", "the same cat is here 😂"])
+    shutil.copytree(log, tmp_path / "old-log")
+    second = run()
+    assert second == batch() and len(second) == 4
+    # The batch is run again from the state before it, as after a failure.
+    assert run(str(tmp_path / "old-log")) == second
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+    with pytest.raises(ValueError, match="scope"):
+        prepare_incremental(spark, str(source), target, log, dictionary(spark), model, scope="some")
+
+
+def test_a_batch_with_too_many_refused_records_stops(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text('{"text": "the cat 😂"}\n{"text": "cut\n')
+    model = language_fit(spark.createDataFrame([("the cat", "en")], "text string, lang string"))
+    paths = [str(tmp_path / x) for x in ("out", "log", "refused")]
+
+    def run(limit):
+        prepare_incremental(spark, str(source), paths[0], paths[1], dictionary(spark), model, refused=paths[2], max_refused=limit)
+
+    with pytest.raises(Exception, match="1 of 2 records are refused") as raised:
+        run(0.4)
+    assert TooManyRefused.__name__ in str(raised.value)
+    run(0.5)
+    assert spark.read.parquet(paths[0]).where(F.col("text").contains("cat")).count() == 1
