@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 MAX_AGGREGATES = 256
 
@@ -55,6 +55,11 @@ def checked(c: Column, dim: int) -> Column:
     return F.when(c.isNull() | right, c.cast("array<double>")).otherwise(failed.cast("array<double>"))
 
 
+def with_checked(df: DataFrame, dim: int, vector: str = "vector") -> DataFrame:
+    """The rows with their vectors checked, once each: aggregates over many numbers would repeat a check within them."""
+    return df.withColumn(vector, checked(F.col(vector), dim))
+
+
 # A null vector must not count, but an aggregate over whole vectors fails on a group without any weight.
 _NO_WEIGHT = 1e-300
 
@@ -62,12 +67,10 @@ _NO_WEIGHT = 1e-300
 def mean_vector(c: Column, dim: int, weight: Column | None = None, vectors: int = 1) -> Column:
     """Mean of the vectors of a group, weighted if there is a ``weight``; null if it has none.
 
-    Null vectors are left out; a vector with another size or a null element fails the
-    job. ``vectors`` is the number of such means in the same aggregation. With more than
+    The vectors come from ``with_checked``; null ones are left out. ``vectors`` is the number of such means in the same aggregation. With more than
     ``MAX_AGGREGATES`` numbers in all, plans and generated code would grow too large,
     and whole vectors are aggregated instead, with the same results.
     """
-    c = checked(c, dim)
     own = F.lit(1.0) if weight is None else weight.cast("double")
     if vectors * dim > MAX_AGGREGATES:
         whole = array_to_vector(F.coalesce(c, F.array_repeat(F.lit(0.0), dim)))
@@ -83,7 +86,6 @@ def mean_vector(c: Column, dim: int, weight: Column | None = None, vectors: int
 
 def max_vector(c: Column, dim: int) -> Column:
     """Elementwise maximum of the vectors of a group, by the rules of ``mean_vector``."""
-    c = checked(c, dim)
     if dim > MAX_AGGREGATES:
         whole = array_to_vector(F.coalesce(c, F.array_repeat(F.lit(float("-inf")), dim)))
         top = vector_to_array(Summarizer.max(whole))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from moodmill.functions.tokens import exploded, word_ngrams
-from moodmill.functions.vectors import dot, double_array, mean_vector, nonlinear
+from moodmill.functions.vectors import dot, double_array, mean_vector, nonlinear, with_checked
 from moodmill.operators.lookup import lookup
 from moodmill.operators.vocabulary import UNKNOWN
 
@@ -73,7 +73,7 @@ def _with_unknown(words: DataFrame, pooled: DataFrame, table: DataFrame) -> Data
 def word_vectors_mean(words: DataFrame, table: DataFrame, dim: int) -> DataFrame:
     """Per distinct ``word``: the mean ``vector`` of its known n-grams."""
     distinct = _distinct(words)
-    found = _hits(distinct, table.select("token", "vector"))
+    found = with_checked(_hits(distinct, table.select("token", "vector")), dim)
     pooled = found.groupBy("word").agg(mean_vector(F.col("vector"), dim).alias("vector"))
     return _with_unknown(distinct, pooled, table)
 
@@ -90,7 +90,7 @@ def word_vectors_attention(
         "token", "vector", nonlinear(dot(F.col("vector"), weights), nonlinearity).alias("_score")
     )
     distinct = _distinct(words)
-    found = _hits(distinct, scored)
+    found = with_checked(_hits(distinct, scored), dim)
     shift = F.lit(0.0)
     if nonlinearity == "relu":
         # The window holds the n-grams of one distinct word.

@@ -8,17 +8,17 @@ result, with a null vector if nothing of it counts. Keys may be null.
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import DataFrame, Window, functions as F
 
-from pyspark.sql import DataFrame, functions as F
+from moodmill.functions.vectors import dot, max_vector, mean_vector, nonlinear, with_checked
 
-from moodmill.functions.vectors import dot, max_vector, mean_vector, nonlinear
+_SPAN = 256.0  # exp of it, times any number of steps, is a double
 
 
-def _kept(steps: DataFrame, include_padding: bool) -> DataFrame:
-    if include_padding:
-        return steps
-    return steps.withColumn("vector", F.when(F.col("pos") < F.col("seq_len"), F.col("vector")))
+def _kept(steps: DataFrame, include_padding: bool, dim: int) -> DataFrame:
+    if not include_padding:
+        steps = steps.withColumn("vector", F.when(F.col("pos") < F.col("seq_len"), F.col("vector")))
+    return with_checked(steps, dim)
 
 
 def pool_mean(
@@ -26,12 +26,12 @@ def pool_mean(
 ) -> DataFrame:
     """Mean over the steps. ``times`` names a column that says how often a step stands in its sequence."""
     weight = F.col(times) if times else None
-    return _kept(steps, include_padding).groupBy(*keys).agg(mean_vector(F.col("vector"), dim, weight).alias("vector"))
+    return _kept(steps, include_padding, dim).groupBy(*keys).agg(mean_vector(F.col("vector"), dim, weight).alias("vector"))
 
 
 def pool_max(steps: DataFrame, keys: list[str], dim: int, include_padding: bool = True) -> DataFrame:
     """Elementwise maximum over the steps."""
-    return _kept(steps, include_padding).groupBy(*keys).agg(max_vector(F.col("vector"), dim).alias("vector"))
+    return _kept(steps, include_padding, dim).groupBy(*keys).agg(max_vector(F.col("vector"), dim).alias("vector"))
 
 
 def pool_attention(
@@ -52,27 +52,40 @@ def pool_attention_multi(
 ) -> DataFrame:
     """One attention pooling per head: ``keys, head, vector``.
 
-    All heads share one pass and one shuffle; rows are not multiplied by heads.
+    All heads share one pass and one shuffle; rows are not multiplied by heads. Scores of
+    ``relu`` have no upper bound: steps are first pooled by the multiple of ``_SPAN`` that
+    their score exceeds, weighted by ``exp`` of the rest, and the pooled vectors of a
+    sequence are then weighted by their distance from its highest multiple. So no step is
+    shuffled to meet the highest score, and none overflows.
     """
     heads = range(len(weights))
-    scored = _kept(steps, False).select(
+    scored = _kept(steps, False, dim).select(
         *keys, "vector", (F.col(times) if times else F.lit(1)).alias("_times"),
         *[nonlinear(dot(F.col("vector"), w), nonlinearity).alias(f"_score_{h}") for h, w in zip(heads, weights)],
     )
+    levels = [f"_level_{h}" for h in heads] if nonlinearity == "relu" else []
     shifts = [F.lit(0.0) for _ in heads]
-    if nonlinearity == "relu":
-        # Unbounded scores: subtract the largest one of the sequence.
-        top = scored.groupBy(*keys).agg(*[F.max(f"_score_{h}").alias(f"_top_{h}") for h in heads])
-        top = top.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
-        same = [scored[k].eqNullSafe(top[f"_key_{i}"]) for i, k in enumerate(keys)]
-        scored = scored.join(top, reduce(lambda a, b: a & b, same), "left")
-        shifts = [F.col(f"_top_{h}") for h in heads]
+    if levels:
+        shifts = [_SPAN * F.col(level) for level in levels]
+        scored = scored.withColumns(
+            {level: F.coalesce(F.floor(F.col(f"_score_{h}") / _SPAN), F.lit(0)) for h, level in enumerate(levels)}
+        )
     weighted = scored.select(
-        *keys, "vector",
+        *keys, *levels, "vector",
         *[(F.col("_times") * F.exp(F.col(f"_score_{h}") - shifts[h])).alias(f"_weight_{h}") for h in heads],
     )
-    pooled = weighted.groupBy(*keys).agg(
-        *[mean_vector(F.col("vector"), dim, F.col(f"_weight_{h}"), len(weights)).alias(f"_head_{h}") for h in heads]
+    pooled = weighted.groupBy(*keys, *levels).agg(
+        *[mean_vector(F.col("vector"), dim, F.col(f"_weight_{h}"), len(weights)).alias(f"_head_{h}") for h in heads],
+        *[F.sum(F.when(F.col("vector").isNotNull(), F.col(f"_weight_{h}"))).alias(f"_weight_{h}") for h in heads if levels],
     )
+    if levels:
+        counted = [F.when(F.col(f"_head_{h}").isNotNull(), F.col(level)) for h, level in enumerate(levels)]
+        tops = [F.max(c).over(Window.partitionBy(*keys)) for c in counted]
+        below = pooled.select(
+            "*", *[(F.exp(_SPAN * (c - top)) * F.col(f"_weight_{h}")).alias(f"_share_{h}") for h, (c, top) in enumerate(zip(counted, tops))]
+        )
+        pooled = below.groupBy(*keys).agg(
+            *[mean_vector(F.col(f"_head_{h}"), dim, F.col(f"_share_{h}"), len(weights)).alias(f"_head_{h}") for h in heads]
+        )
     stacked = F.array(*[F.col(f"_head_{h}") for h in heads])
     return pooled.select(*keys, F.posexplode(stacked).alias("head", "vector"))

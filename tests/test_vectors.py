@@ -163,6 +163,18 @@ def test_attention(sequences, way, kind, scale):
         assert one[doc] == pytest.approx(got[doc, 1])
 
 
+def test_unbounded_scores_need_no_join(sequences):
+    """Steps of one sequence over many spans of the scores; only pooled rows are shuffled, and none meets a maximum by a join."""
+    rows, df = sequences
+    pooled = pooling.pool_attention(df, ["doc"], [400.0, -300.0, 100.0, 7.0], DIM, "relu")
+    plan = pooled._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "partial_sum" in plan[plan.rindex("Exchange") :]
+    got = {r.doc: r.vector for r in pooled.collect()}
+    for doc, vectors in groups(rows, True):
+        scores = [max(float(np.dot(v, [400.0, -300.0, 100.0, 7.0])), 0.0) for v in vectors]
+        assert got[doc] == pytest.approx(softmax_sum(vectors, scores))
+
+
 def test_heads_share_one_shuffle(sequences):
     plan = pooling.pool_attention_multi(sequences[1], ["doc"], [[0.1] * DIM] * 3, DIM)
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
