@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from moodmill.functions.text import process_text_dataset
 from moodmill.operators.lookup import lookup
 from moodmill.operators.ordering import with_ordinal
+from moodmill.session import durable
 
 # The share of validation rows, and the seed.
 HOLDOUT_SHARE = 0.25
@@ -43,48 +45,61 @@ def shuffle_key(row_id: Column, *parts: object) -> Column:
 
 
 def _border(keys: DataFrame, share: float) -> str:
-    """The largest key of the first ``ceil(share * n)`` rows in key order, ``''`` if there are none.
+    """The key up to which the first ``ceil(share * n)`` rows in key order lie, ``''`` if there are none.
 
-    Counts rows per key prefix, descends into the prefix that holds the border,
-    and sorts only the last one. Each pass returns at most 4096 rows, and the
-    rows themselves never move.
+    ``keys`` holds keys ``k`` that stand for ``n`` rows each, or for one without such a column. Counts rows per key prefix,
+    descends into the prefix that holds the border, and sorts only the last one. Each pass
+    returns at most 4096 rows, and the rows themselves never move.
     """
+    if "n" not in keys.columns:
+        keys = keys.withColumn("n", F.lit(1))
     prefix, wanted = "", None
     while True:
         digits = len(prefix) + _DIGITS
         counts = sorted(
             keys.where(F.col("k").startswith(prefix))
             .groupBy(F.substring("k", 1, digits).alias("p"))
-            .agg(F.count("*").alias("n"))
+            .agg(F.sum("n").alias("n"), F.count("*").alias("keys"))
             .collect()
         )
         if wanted is None:
-            wanted = math.ceil(share * sum(n for _, n in counts))
+            wanted = math.ceil(share * sum(r.n for r in counts))
             if wanted <= 0:
                 return ""
-        for prefix, n in counts:
+        for prefix, n, n_keys in counts:
             if wanted <= n:
                 break
             wanted -= n
-        if n <= _BORDER_ROWS or digits >= _KEY_DIGITS:
+        if n_keys <= _BORDER_ROWS or digits >= _KEY_DIGITS:
             inside = keys.where(F.col("k").startswith(prefix)).orderBy("k").limit(min(wanted, _BORDER_ROWS) + 1)
-            found = [r.k for r in inside.collect()]
-            if wanted > len(found) or found[wanted - 1 : wanted] == found[wanted : wanted + 1]:
+            found = inside.collect()
+            ends = list(accumulate(r.n for r in found))
+            last = next((i for i, end in enumerate(ends) if end >= wanted), None)
+            if last is None or found[last].k in [r.k for r in found[last + 1 : last + 2]]:
                 raise ValueError("row ids are not unique: the border of the holdout falls among equal ones")
-            return found[wanted - 1]
+            return found[last].k
 
 
 def holdout_split(
-    df: DataFrame, row_id: str, share: float = HOLDOUT_SHARE, seed: int = SEED, name: str = "is_val"
+    df: DataFrame, row_id: str, share: float = HOLDOUT_SHARE, seed: int = SEED, name: str = "is_val",
+    group: str | None = None,
 ) -> DataFrame:
     """Mark ``ceil(share * n)`` rows as validation rows.
 
     The border between the sides is found by counting; the split itself is a
     comparison per row without a shuffle. ``row_id`` must be unique.
+
+    With ``group``, the rows that agree in that column are on one side, so that no text, say, is learned
+    and validated; those with a null there are one group. The group at the border is a whole
+    validation group: the side has fewer rows than that group too many. Row ids play no
+    part then. Only the distinct keys of the groups with their numbers are shuffled.
     """
-    key = shuffle_key(F.col(row_id), seed)
-    border = _border(df.select(key.alias("k")), share)
-    return df.withColumn(name, key <= F.lit(border))
+    key = shuffle_key(F.col(group or row_id), seed)
+    if group:
+        keys = durable(df.groupBy(key.alias("k")).agg(F.count("*").alias("n")), "groups")
+    else:
+        keys = df.select(key.alias("k"))
+    return df.withColumn(name, key <= F.lit(_border(keys, share)))
 
 
 def split_mode(df: DataFrame, mode: str, name: str = "is_val") -> DataFrame:

@@ -338,6 +338,10 @@ def _bodies() -> dict[str, str]:
             f"""SELECT md5(length(source_file) || ':' || source_file || '|' || length(text) || ':' || text) AS row_id, target, 1 AS n, 64 AS dim FROM labelled JOIN targets USING (class)""",
         ),
         "f1_holdout_split": f"SELECT doc_id, lang, is_val FROM ({_split('documents', 'doc_id', 0.25)})",
+        "f1_holdout_split_groups": f"""WITH keyed AS (
+  SELECT doc_id, coalesce(md5('{SEED}|' || text), md5('{SEED}')) AS k FROM documents), counted AS (
+  SELECT k, sum(count(*)) OVER (ORDER BY k) - count(*) AS before, sum(count(*)) OVER () AS n FROM keyed GROUP BY k)
+  SELECT doc_id, before < ceil(0.25 * n) AS is_val FROM keyed JOIN counted USING (k)""",
         "f2_split_mode": f"SELECT o_orderkey FROM ({_split('orders', 'o_orderkey', 0.1)}) WHERE is_val",
         "f3_shuffle_rows": f"""SELECT doc_id, lang, n_chars,
   row_number() OVER (ORDER BY md5('{SEED}|1|' || doc_id)) - 1 AS position FROM documents""",

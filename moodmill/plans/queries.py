@@ -348,6 +348,12 @@ def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.holdout_split(rows, "doc_id")
 
 
+@register("f1_holdout_split_groups")
+def f1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rel.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return splits.holdout_split(rows, "doc_id", group="text").select("doc_id", "is_val")
+
+
 @register("f2_split_mode")
 def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = splits.holdout_split(rel.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.1)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -65,6 +66,26 @@ def test_holdout_is_exact_and_repeatable(spark, share, n):
         assert val != {r.id for r in split_mode(holdout_split(df, "id", share, seed=1), "val").collect()}
 
 
+@pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 1.0])
+def test_groups_are_on_one_side(spark, share, monkeypatch):
+    """A hot group with a third of the rows, null and empty groups, repeated rows; also with a descent over several prefixes."""
+    monkeypatch.setattr("moodmill.operators.splits._BORDER_ROWS", 3)
+    groups = ["hot"] * 100 + [None] * 7 + [""] * 5 + [f"g{i % 90}" for i in range(188)]
+    df = spark.createDataFrame([(i // 2, g) for i, g in enumerate(groups)], "id int, text string")
+    rows = holdout_split(df, "id", share, group="text").collect()
+    sides, sizes = {}, {}
+    for r in rows:
+        sides.setdefault(r.text, set()).add(r.is_val)
+        sizes[r.text] = sizes.get(r.text, 0) + 1
+    assert len(rows) == 300 and all(len(s) == 1 for s in sides.values())
+    wanted, val = math.ceil(share * 300), sum(r.is_val for r in rows)
+    taken = [n for g, n in sizes.items() if sides[g] == {True}]
+    assert wanted <= val and (not taken or val - wanted < max(taken))
+    assert holdout_split(df.where("false"), "id", share, group="text").count() == 0
+    again = holdout_split(df.repartition(5), "id", share, group="text").where("is_val").count()
+    assert again == val
+
+
 def test_holdout_refuses_a_border_among_equal_ids(spark):
     df = spark.range(100).select((F.col("id") % 20).alias("id"))
     with pytest.raises(ValueError, match="not unique"):
