@@ -29,15 +29,18 @@ def ranked(df: DataFrame, order_by: list[Column], name: str = "ordinal") -> Data
 
     A range sort places the rows and is written once; each partition numbers its own
     rows and the row counts of the partitions before it are added. The driver sees one
-    count per partition. Equal rows get neighbouring ranks.
+    count per partition. Equal rows get neighbouring ranks. Columns of any name stay.
     """
-    placed = durable(df.orderBy(*order_by).withColumn("_placed", F.monotonically_increasing_id()), "ranked")
-    part = F.shiftright("_placed", _ROW_BITS)
+    at = "_placed"
+    while at.lower() in {c.lower() for c in [*df.columns, name]}:
+        at += "_"
+    placed = durable(df.orderBy(*order_by).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright(at, _ROW_BITS)
     counts = {r.p: r.n for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     starts = list(accumulate([0, *(counts.get(p, 0) for p in range(max(counts, default=0)))]))
     offset = F.get(F.expr("array(" + ",".join(f"{s}L" for s in starts) + ")"), part.cast("int"))
-    row = F.col("_placed").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return placed.withColumn(name, (offset + row).cast("long")).drop("_placed")
+    row = F.col(at).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return placed.withColumn(name, (offset + row).cast("long")).drop(at)
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200_000) -> Iterator[pa.Table]:

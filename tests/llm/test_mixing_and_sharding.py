@@ -109,3 +109,11 @@ def test_ranked(spark):
     want = sorted(((x % 7, -x) for x in range(50)))
     assert [(r.a, -r.ordinal) for r in sorted(got, key=lambda r: r.at)] == want
     assert sorted(r.at for r in got) == list(range(50))
+
+
+def test_ranked_keeps_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(x, -x, str(x)) for x in range(30)], "a int, _PLACED int, _placed_ string").repartition(3)
+    got = ranked(frame, [frame["a"]], "at").collect()
+    assert sorted(map(tuple, got)) == [(x, -x, str(x), x) for x in range(30)]
+    docs = spark.createDataFrame([(x, "t", x * 10) for x in range(30)], "doc_id long, text string, _placed int")
+    assert sorted((r.doc_id, r._placed) for r in s.sharded(docs, ["doc_id"]).collect()) == [(x, x * 10) for x in range(30)]
