@@ -510,6 +510,15 @@ def _bodies() -> dict[str, str]:
   FROM metrics GROUP BY ALL"""),
         "j4_running_average": _with(METRICS, f"""SELECT run, loop, batch,
   {rounded('sum(value * n) OVER w / sum(n) OVER w')} AS avg FROM metrics
+  WINDOW w AS (PARTITION BY run, loop ORDER BY batch)"""),
+        "j4_running_average_stream": _with(METRICS, f"""SELECT run, loop, batch AS at,
+  {rounded('sum(value * n) OVER w / sum(n) OVER w')} AS avg FROM metrics
+  WINDOW w AS (PARTITION BY run, loop ORDER BY batch)"""),
+        "j4_running_average_late": _with(METRICS + """, parts AS (SELECT *, 3 * (batch - min(batch) OVER ())
+    // (max(batch) OVER () - min(batch) OVER () + 1) AS part FROM metrics), judged AS (
+  SELECT *, part = 0 AND bool_or(part = 1) OVER (PARTITION BY run, loop) AS late FROM parts)""", f"""
+  SELECT run, loop, batch AS at, late, CASE WHEN NOT late THEN {rounded(
+    'sum(value * n) FILTER (NOT late) OVER w / sum(n) FILTER (NOT late) OVER w')} END AS avg FROM judged
   WINDOW w AS (PARTITION BY run, loop ORDER BY batch)"""),
         "j4_running_average_null_groups": _with(METRICS, f"""SELECT run, loop, batch,
   {rounded('sum(value * n) OVER w / sum(n) OVER w')} AS avg

@@ -20,6 +20,7 @@ from moodmill.plans.training import FeatureConfig, text_features, train_and_eval
 from moodmill.session import durable, scratch_path
 from moodmill.sources import archive, tables
 from moodmill.streaming.incremental import prepare_incremental
+from moodmill.streaming.running_average import running_average_stream
 
 DIM = 64
 CLASSES = 10
@@ -791,6 +792,31 @@ def j4_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run", "loop", "batch", rounded("avg"))
 
 
+def _streamed_average(spark: SparkSession, sf_dir: str, order: tuple[int, ...]) -> str:
+    """The metrics arrive in thirds of the range of ``batch``, in the given order; returns the target."""
+    source, target, checkpoint = (scratch_path(spark, x) for x in ("metrics", "averages", "stream"))
+    rows = durable(rel.metrics(spark, sf_dir), "metrics-rows")
+    ends = rows.agg(F.min("batch").alias("low"), F.max("batch").alias("high")).first()
+    third = F.floor(3 * (F.col("batch") - ends.low) / (ends.high - ends.low + 1))
+    for part in order:
+        rows.where(third == part).write.mode("append").parquet(source)
+        running_average_stream(spark, source, target, checkpoint, ["run", "loop"], files_per_batch=10_000)
+    return target
+
+
+@register("j4_running_average_stream")
+def j4_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = _streamed_average(spark, sf_dir, (0, 1, 2))
+    return spark.read.parquet(f"{target}/rows/*").select("run", "loop", F.col("batch").alias("at"), rounded("avg"))
+
+
+@register("j4_running_average_late")
+def j4_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = _streamed_average(spark, sf_dir, (1, 0, 2))
+    both = spark.read.parquet(f"{target}/rows/*").unionByName(spark.read.parquet(f"{target}/late/*"), allowMissingColumns=True)
+    return both.select("run", "loop", F.col("batch").alias("at"), F.isnull("avg").alias("late"), rounded("avg"))
+
+
 @register("j6_best_epochs_null_groups")
 def j6_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rel.metrics(spark, sf_dir).select(

@@ -64,7 +64,7 @@ def prepare_incremental(
         write_prepared(rows.select(*PREPARED), f"{target}/batch={number:06d}", mode="overwrite")
 
     files = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(source)
-    _drain(named_lines(files), write, f"{checkpoint}/files" if scope == "all" else checkpoint)
+    drain(named_lines(files), write, f"{checkpoint}/files" if scope == "all" else checkpoint)
     if scope == "all":
         schema = labelled_tweets(spark.createDataFrame([], "source_file string, text string"), d, config).schema
         rows = spark.readStream.schema(schema).parquet(f"{labelled}/batch=*")
@@ -73,12 +73,12 @@ def prepare_incremental(
         with_state = spark.conf.get(_STATE_STORE, None)
         spark.conf.set(_STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         try:
-            _drain(new, write_new, f"{checkpoint}/texts")
+            drain(new, write_new, f"{checkpoint}/texts")
         finally:
             spark.conf.set(_STATE_STORE, with_state) if with_state else spark.conf.unset(_STATE_STORE)
 
 
-def _drain(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def drain(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Write all that a stream has to give now."""
     query = (
         rows.writeStream.foreachBatch(write)
