@@ -2,7 +2,8 @@
 
 A token table has ``token STRING, idx BIGINT, vector ARRAY``. Word vectors are
 computed once per distinct word and joined back, so frequent words and padding
-cost nothing extra.
+cost nothing extra. ``bucketed`` says that the table is stored in buckets of its
+token (of its ``idx`` for ``embedding_lookup``), and then it is not shuffled.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ def _distinct(words: DataFrame) -> DataFrame:
     return words.select("word").distinct()
 
 
-def _hits(words: DataFrame, table: DataFrame) -> DataFrame:
+def _hits(words: DataFrame, table: DataFrame, bucketed: bool = False) -> DataFrame:
     """The known n-grams of distinct words, with their position and what the table has for them."""
     grams = words.select(
         "word", exploded(word_ngrams(F.col("word"), MIN_GRAM, MAX_GRAM), with_position=True).alias("pos", "token")
     )
-    return lookup(grams, table, "token", "inner")
+    return lookup(grams, table, "token", "inner", bucketed=bucketed)
 
 
 def _unknown(table: DataFrame):
@@ -38,7 +39,7 @@ def _unknown(table: DataFrame):
     return row
 
 
-def ngram_lookup(words: DataFrame, table: DataFrame) -> DataFrame:
+def ngram_lookup(words: DataFrame, table: DataFrame, bucketed: bool = False) -> DataFrame:
     """Per distinct ``word``: ``ids`` of its known n-grams, repeats kept, and ``known``.
 
     A word without any known n-gram gets the id of the unknown word.
@@ -47,7 +48,7 @@ def ngram_lookup(words: DataFrame, table: DataFrame) -> DataFrame:
     unk = _unknown(ids).idx
     distinct = _distinct(words)
     # A group is the n-grams of one word.
-    grouped = _hits(distinct, ids).groupBy("word").agg(
+    grouped = _hits(distinct, ids, bucketed).groupBy("word").agg(
         F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("_items")
     )
     known = F.col("_items").isNotNull()
@@ -57,10 +58,10 @@ def ngram_lookup(words: DataFrame, table: DataFrame) -> DataFrame:
     )
 
 
-def unknown_words(words: DataFrame, table: DataFrame) -> DataFrame:
+def unknown_words(words: DataFrame, table: DataFrame, bucketed: bool = False) -> DataFrame:
     """Occurrences of each word without any known n-gram: ``word, n``."""
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    known = _hits(_distinct(words), table.select("token")).select("word")
+    known = _hits(_distinct(words), table.select("token"), bucketed).select("word")
     return counts.join(known, "word", "left_anti")
 
 
@@ -70,16 +71,17 @@ def _with_unknown(words: DataFrame, pooled: DataFrame, table: DataFrame) -> Data
     return words.join(pooled, "word", "left").select("word", F.coalesce("vector", fallback).alias("vector"))
 
 
-def word_vectors_mean(words: DataFrame, table: DataFrame, dim: int) -> DataFrame:
+def word_vectors_mean(words: DataFrame, table: DataFrame, dim: int, bucketed: bool = False) -> DataFrame:
     """Per distinct ``word``: the mean ``vector`` of its known n-grams."""
     distinct = _distinct(words)
-    found = with_checked(_hits(distinct, table.select("token", "vector")), dim)
+    found = with_checked(_hits(distinct, table.select("token", "vector"), bucketed), dim)
     pooled = found.groupBy("word").agg(mean_vector(F.col("vector"), dim).alias("vector"))
     return _with_unknown(distinct, pooled, table)
 
 
 def word_vectors_attention(
-    words: DataFrame, table: DataFrame, weights: list[float], dim: int, nonlinearity: str = "tanh"
+    words: DataFrame, table: DataFrame, weights: list[float], dim: int, nonlinearity: str = "tanh",
+    bucketed: bool = False,
 ) -> DataFrame:
     """Per distinct ``word``: its n-gram vectors summed with softmax weights.
 
@@ -90,7 +92,7 @@ def word_vectors_attention(
         "token", "vector", nonlinear(dot(F.col("vector"), weights), nonlinearity).alias("_score")
     )
     distinct = _distinct(words)
-    found = with_checked(_hits(distinct, scored), dim)
+    found = with_checked(_hits(distinct, scored, bucketed), dim)
     shift = F.lit(0.0)
     if nonlinearity == "relu":
         # The window holds the n-grams of one distinct word.
@@ -105,9 +107,9 @@ def attach_word_vectors(steps: DataFrame, vectors: DataFrame) -> DataFrame:
     return lookup(steps, vectors, "word", "left")
 
 
-def embedding_lookup(steps: DataFrame, table: DataFrame) -> DataFrame:
+def embedding_lookup(steps: DataFrame, table: DataFrame, bucketed: bool = False) -> DataFrame:
     """Add the ``vector`` of each step's ``idx``; an id outside the table fails the job."""
-    found = lookup(steps, table.select("idx", "vector"), "idx", "left")
+    found = lookup(steps, table.select("idx", "vector"), "idx", "left", bucketed=bucketed)
     missing = F.raise_error(F.concat(F.lit("no vector for id "), F.col("idx").cast("string")))
     return found.withColumn("vector", F.coalesce("vector", missing.cast(found.schema["vector"].dataType)))
 

@@ -43,6 +43,7 @@ def lookup(
     max_bytes: int = BROADCAST_BYTES,
     hot_share: float = HOT_SHARE,
     salts: int = SALTS,
+    bucketed: bool = False,
 ) -> DataFrame:
     """Join ``facts`` with ``table`` on one key column.
 
@@ -50,11 +51,20 @@ def lookup(
     do not move. A larger one is joined by a shuffle in which the keys that hold
     more than ``hot_share`` of the facts are salted: their facts spread over
     ``salts`` reducers and their table rows are repeated once per salt. Facts without
-    a key match nothing and are spread as well. Both ways give the same rows.
+    a key match nothing and are spread as well.
+
+    ``bucketed`` says that the table is stored in buckets of the key, one row per key. Beyond ``max_bytes``
+    it then stays where it is and only facts move: those of frequent keys, and those without a key, meet a
+    broadcast of the table rows of the frequent keys, ``1/hot_share`` at most; the others are shuffled to the
+    buckets. The facts are evaluated once for each of the two. All ways give the same rows.
     """
     if table_bytes(table) <= max_bytes:
         return facts.join(F.broadcast(table), key, how)
     hot = hot_keys(facts, key, hot_share)
+    if bucketed:
+        often = F.col(key).isNull() | F.col(key).isin(hot)
+        few = F.broadcast(table.where(F.col(key).isin(hot)))
+        return facts.where(~often).join(table, key, how).unionByName(facts.where(often).join(few, key, how))
     # A salt from the row itself is the same on every retry of the task.
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int")
     salted = facts.withColumn("_salt", F.when(F.col(key).isNull() | F.col(key).isin(hot), spread).otherwise(F.lit(0)))

@@ -281,6 +281,10 @@ def _bodies() -> dict[str, str]:
         "a6_read_training": "SELECT text, n_chars FROM documents WHERE lang = 'en'",
         "a7_read_lines": _with(LINES, "SELECT line FROM lines"),
         "a7_read_lines_first": _with(LINES, "SELECT line FROM lines ORDER BY doc_id, pos LIMIT 500"),
+        "a8_bucketed_token_table": _with(TOKENS, """SELECT word AS token, idx, count(*) AS n
+  FROM words LEFT JOIN tokens ON word = token GROUP BY word, idx"""),
+        "a8_bucketed_id_table": _with(TOKENS, f"""SELECT vec_id, label AS idx, token, {vector_columns('vector')}
+  FROM embeddings LEFT JOIN tokens ON label = idx"""),
         "a8_read_token_table": _with(TOKENS, f"SELECT token, idx, {vector_columns('vector')} FROM tokens"),
         "b1_remove_control_chars": _cleaned("documents", "doc_id", b1("text")),
         "b2_remove_links": _cleaned("tweets", two, b2("text")),

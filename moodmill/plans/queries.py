@@ -13,6 +13,7 @@ from moodmill.functions import tokens as tok
 from moodmill.functions.vectors import dot
 from moodmill.operators import classifier, dedup, embeddings, emoji, evaluation, language, pooling, splits, vocabulary
 from moodmill.operators import subwords, training_rounds
+from moodmill.operators.lookup import lookup
 from moodmill.operators.ordering import with_ordinal
 from moodmill.plans import relations as rel
 from moodmill.plans.preparation import labelled_tweets, prepare
@@ -175,6 +176,30 @@ def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("token", "idx", *vector_columns(dim=dim))
 
 
+def _bucketed_tokens(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "bucketed-tokens")
+    name = "tokens_" + path[-32:]
+    tables.write_token_table(rel.token_table(spark, sf_dir), name, path, buckets, by)
+    return tables.read_bucketed_tokens(spark, name)[0]
+
+
+@register("a8_bucketed_token_table")
+def a8_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _bucketed_tokens(spark, sf_dir, "token").select("token", "idx")
+    words = _words(spark, sf_dir).select(F.col("word").alias("token"))
+    found = lookup(words, table, "token", "left", max_bytes=0, bucketed=True)
+    return found.groupBy("token", "idx").agg(F.count("*").alias("n"))
+
+
+@register("a8_bucketed_id_table")
+def a8_bucketed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _bucketed_tokens(spark, sf_dir, "idx")
+    labels = rel.table(spark, sf_dir, "embeddings").select(F.col("label").cast("bigint").alias("idx"), "vec_id")
+    found = lookup(labels, table, "idx", "left", max_bytes=0, bucketed=True)
+    return found.select("vec_id", "idx", "token", *vector_columns())
+
+
 # Text cleaning
 
 

@@ -111,3 +111,19 @@ def read_token_table(spark: SparkSession, path: str, word_mode: bool = True) ->
     """A checked token table ``token, idx, vector`` and its vector size."""
     table = spark.read.parquet(path).select("token", "idx", "vector")
     return table, check_token_table(table, word_mode)
+
+
+def write_token_table(table: DataFrame, name: str, path: str, buckets: int, by: str = "token") -> None:
+    """Store a token table in buckets of its token or ``idx``, as the table ``name`` of the catalog with files at ``path``.
+
+    Give at least as many buckets as the session has shuffle partitions: below that Spark may prefer to
+    shuffle both sides of a join. A bucket is one file, written by one task, and has about ``1/buckets`` of the table.
+    """
+    placed = table.select("token", "idx", "vector").repartition(buckets, by)
+    placed.write.bucketBy(buckets, by).sortBy(by).option("path", path).format("parquet").saveAsTable(name)
+
+
+def read_bucketed_tokens(spark: SparkSession, name: str, word_mode: bool = True) -> tuple[DataFrame, int]:
+    """The checked token table of that name and its vector size; lookups take it with ``bucketed=True``."""
+    table = spark.table(name).select("token", "idx", "vector")
+    return table, check_token_table(table, word_mode)

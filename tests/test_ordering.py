@@ -8,6 +8,7 @@ from moodmill.operators import lookup as lk
 from moodmill.operators.ordering import prefix_scan, with_ordinal
 from moodmill.operators.splits import _border, assign_batches, holdout_split, shuffle_rows, split_mode
 from moodmill.operators import splits
+from moodmill.sources.tables import read_bucketed_tokens, write_token_table
 
 
 def test_ordinals_are_dense_and_in_order(spark):
@@ -120,6 +121,34 @@ def test_lookup_ways_agree_under_skew(spark, how):
     assert lk.hot_keys(facts, "k", 0.1) == ["hot"]
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_bucketed_table_is_not_shuffled(spark, tmp_path, how):
+    key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 11 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 50))
+    facts = spark.range(3000).select("id", key.alias("token"))
+    rows = [(" ", 0), ("UNK", 1), ("hot", 2), *[(f"k{i}", i + 3) for i in range(40)]]
+    plain = spark.createDataFrame([(t, i, [float(i)] * 3) for t, i in rows], "token string, idx long, vector array<double>")
+    name = f"tokens_{how}"
+    write_token_table(plain, name, str(tmp_path / "tokens"), 8)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table, dim = read_bucketed_tokens(spark, name)
+        joined = lk.lookup(facts, table, "token", how, max_bytes=0, hot_share=0.1, bucketed=True)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        found = sorted(map(str, joined.select("id", "token", "idx", "vector").collect()))
+        # One shuffle in the plan, that of the facts; the table is read by its buckets.
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan
+        assert "Bucketed: true" in joined._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        )
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql(f"DROP TABLE {name}")
+    small = lk.lookup(facts, plain, "token", how)
+    assert dim == 3 and len(found) > 1000
+    assert found == sorted(map(str, small.select("id", "token", "idx", "vector").collect()))
+
+
 def test_salts_spread_the_hot_key(spark):
     facts = spark.range(3000).select("id", F.lit("hot").alias("k"))
     table = spark.createDataFrame([("hot", 1)], "k string, v int")
