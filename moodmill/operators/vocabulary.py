@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from moodmill.functions.tokens import exploded
 from moodmill.operators.lookup import lookup
 from moodmill.operators.ordering import with_ordinal
+from moodmill.session import durable
 
 # The padding word and the unknown word of the token dictionary.
 PAD_WORD = " "
 UNKNOWN = "UNK"
+# A summary of ``t`` items is off by at most 3.5 rows in ``t / 0.75``; an item that it does not report may have twice that.
+UNSEEN = 2 * 3.5 * 0.75
 
 
 def token_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -19,15 +22,47 @@ def token_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return items.groupBy("token").agg(F.count("*").alias("n"))
 
 
+def frequent_counts(df: DataFrame, tokens: str, top: int, min_count: int, tracked: int) -> DataFrame | None:
+    """Exact counts that hold the ``top`` most frequent tokens of at least ``min_count``, or None if that is not proven.
+
+    Each task keeps a summary of ``tracked`` tokens and the summaries are merged, so what is shuffled does
+    not grow with the number of distinct tokens. The tokens of the merged summary are counted exactly. A token
+    that it lacks occurs at most as often as the bound of the summary says, and at most as often as
+    there are rows that belong to no counted token; if the last place is above the smaller of the two,
+    no token is missing. Reserved words take no part.
+    """
+    items = df.select(exploded(F.col(tokens)).alias("token"))
+    items = items.where(F.col("token").isNotNull() & ~F.col("token").isin(PAD_WORD, UNKNOWN))
+    found = F.expr(f"approx_top_k(token, {tracked}, {tracked})")
+    summary = durable(items.agg(F.count("*").alias("rows"), found.alias("found")), "frequent")
+    # At most ``tracked`` rows.
+    named = summary.select(F.explode("found").alias("f")).select(F.col("f.item").alias("token"))
+    met = lookup(items, named, "token", "left_semi")
+    counts = durable(met.groupBy("token").agg(F.count("*").alias("n")), "counts")
+    rows = summary.first().rows
+    uncounted = rows - (counts.agg(F.sum("n").alias("n")).first().n or 0)
+    places = counts.where(F.col("n") >= min_count).orderBy(F.desc("n")).limit(top)
+    last = places.agg(F.count("*").alias("places"), F.min("n").alias("n")).first()
+    needed = last.n if last.places == top and top else min_count
+    return counts if min(uncounted, UNSEEN * rows / tracked) < needed else None
+
+
 def build_vocabulary(
-    df: DataFrame, tokens: str = "tokens", min_count: int = 1, size: int | None = None
+    df: DataFrame, tokens: str = "tokens", min_count: int = 1, size: int | None = None,
+    tracked: int | None = None,
 ) -> DataFrame:
     """``token, idx, n`` by falling frequency, ties by token; the reserved words come first.
 
-    ``size`` bounds the rows including the two reserved words.
+    ``size`` bounds the rows including the two reserved words. With ``tracked`` (up to 1,000,000), the tokens
+    within ``size`` are found by summaries of that many tokens, if the data let that be proven; all tokens
+    are counted otherwise. The rows are the same.
     """
     reserved = [PAD_WORD, UNKNOWN]
-    counts = token_counts(df, tokens).where((F.col("n") >= min_count) & ~F.col("token").isin(reserved))
+    if tracked is not None and size is None:
+        raise ValueError("tracked needs a size")
+    counts = frequent_counts(df, tokens, max(0, size - len(reserved)), min_count, tracked) if tracked else None
+    counts = token_counts(df, tokens) if counts is None else counts
+    counts = counts.where((F.col("n") >= min_count) & ~F.col("token").isin(reserved))
     ranked = with_ordinal(counts, [F.desc("n"), F.asc("token")], "idx")
     ranked = ranked.select("token", (F.col("idx") + len(reserved)).alias("idx"), "n")
     first = df.sparkSession.createDataFrame(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from moodmill.operators.language import TOP_GRAMS
 from moodmill.operators.splits import SEED
-from moodmill.plans.queries import BATCH, CLASSES, DIM, GIVEN, HEADS, MAX_LEN, WIDE
+from moodmill.plans.queries import BATCH, CLASSES, DIM, FREQUENT, GIVEN, HEADS, MAX_LEN, WIDE
 from moodmill.plans.relations import EMOJIS, LABEL_MAP, TAILS
 
 # The classes of characters, written for the other regex dialect.
@@ -372,6 +372,9 @@ def _bodies() -> dict[str, str]:
         "g5_build_vocabulary": _with(RANKED, """, kept AS (SELECT token, n FROM ranked WHERE n >= 2)
   SELECT ' ' AS token, 0 AS idx, 0 AS n UNION ALL SELECT 'UNK', 1, 0
   UNION ALL SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1, n FROM kept"""),
+        "g5_frequent_vocabulary": _with(RANKED, f""", kept AS (SELECT token, n FROM ranked WHERE n >= 2)
+  SELECT ' ' AS token, 0 AS idx, 0 AS n UNION ALL SELECT 'UNK', 1, 0 UNION ALL SELECT * FROM (
+    SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS idx, n FROM kept) WHERE idx < {FREQUENT}"""),
         "g6_encode_ids": _with(
             RANKED + """, placed AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM (
   SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS t FROM documents))""",

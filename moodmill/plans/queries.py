@@ -27,6 +27,7 @@ DIM = 64
 CLASSES = 10
 MAX_LEN = 100
 BATCH = 512
+FREQUENT = 300  # rows of the vocabulary of frequent words
 WIDE = 5  # times the vector stands in the wide queries, so that it is beyond one aggregate per number
 # Attention vectors of the queries, by a rule of head and dimension.
 HEADS = [[((i * (h + 1)) % 7 - 3) / 10 for i in range(DIM)] for h in range(3)]
@@ -445,6 +446,11 @@ def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.build_vocabulary(rel.document_words(spark, sf_dir), min_count=2)
 
 
+@register("g5_frequent_vocabulary")
+def g5_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary.build_vocabulary(rel.document_words(spark, sf_dir), min_count=2, size=FREQUENT, tracked=50_000)
+
+
 @register("g6_encode_ids")
 def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = rel.document_words(spark, sf_dir)

@@ -255,3 +255,29 @@ def test_features_with_categories_and_heads(spark, table):
     got = {(r.id, r["head"]): r.vector for r in out.collect()}
     assert len(got) == 4 and all(len(v) == DIM + 1 for v in got.values())
     assert got[1, 0][-1] == pytest.approx(2.0) and got[2, 1][-1] == pytest.approx(0.0)
+
+
+def test_frequent_tokens_are_proven_or_counted_in_full(spark):
+    # 40 tokens of falling frequency among 3,000 single ones, more than a summary holds.
+    often = [t for i in range(40) for t in [f"f{i:02d}"] * (400 - 5 * i)]
+    single = [f"s{i}" for i in range(3000)]
+    words = often + single + [None, vocabulary.PAD_WORD]
+    random.Random(1).shuffle(words)
+    df = spark.createDataFrame([(words[i::50],) for i in range(50)], "tokens array<string>")
+
+    def rows(**more):
+        return vocabulary.build_vocabulary(df, min_count=2, **more).orderBy("idx").collect()
+
+    for size in (12, 42, 60):
+        assert rows(size=size, tracked=1000) == rows(size=size)
+    found = vocabulary.frequent_counts(df, "tokens", 10, 2, 1000)
+    assert {f"f{i:02d}": 400 - 5 * i for i in range(10)}.items() <= {r.token: r.n for r in found.collect()}.items()
+    assert found.count() < 1500
+    # The places beyond the frequent ones cannot be proven by so small a summary; a large one leaves nothing uncounted.
+    assert vocabulary.frequent_counts(df, "tokens", 60, 1, 1000) is None
+    assert vocabulary.frequent_counts(df, "tokens", 60, 1, 20_000).count() == 3040
+    assert rows(size=60, tracked=20_000) == rows(size=60)
+    empty = df.where("false")
+    assert vocabulary.build_vocabulary(empty, size=9, tracked=10).count() == 2
+    with pytest.raises(ValueError, match="size"):
+        vocabulary.build_vocabulary(df, tracked=10)
