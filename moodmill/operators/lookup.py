@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from moodmill.session import durable
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+PIECES = 16  # broadcasts of one table, at most
 HOT_SHARE = 0.001
 SALTS = 64
+_NARROW = (T.FloatType, T.IntegerType)
 
 
 def _width(field: T.StructField) -> Column:
@@ -16,7 +18,7 @@ def _width(field: T.StructField) -> Column:
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(c), F.lit(0)) + 16
     if isinstance(field.dataType, T.ArrayType):
-        return F.coalesce(F.size(c), F.lit(0)) * 8 + 24
+        return F.coalesce(F.size(c), F.lit(0)) * (4 if isinstance(field.dataType.elementType, _NARROW) else 8) + 24
     return F.lit(16)
 
 
@@ -35,6 +37,22 @@ def hot_keys(facts: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     return found
 
 
+def _in_pieces(facts: DataFrame, table: DataFrame, key: str, how: str, n: int) -> DataFrame:
+    """A left or inner join with ``n`` broadcasts, each of the keys of one hash part; the facts do not move."""
+    rest = [f"`{c}`" for c in table.columns if c != key]
+    part = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+    parts = durable(table.where(F.col(key).isNotNull()).withColumn("_part", part), "pieces", partition_by="_part")
+    joined = facts
+    for i in range(n):
+        piece = parts.where(F.col("_part") == i).select(key, F.struct(*rest).alias(f"_piece_{i}"))
+        joined = joined.join(F.broadcast(piece), key, "left")
+    # A key is in one piece only.
+    found = F.coalesce(*[F.col(f"_piece_{i}") for i in range(n)])
+    kept = [key, *[f"`{c}`" for c in facts.columns if c != key]]
+    whole = joined.select(*kept, found.alias("_found"))
+    return (whole.where(F.col("_found").isNotNull()) if how == "inner" else whole).select(*kept, "_found.*")
+
+
 def lookup(
     facts: DataFrame,
     table: DataFrame,
@@ -48,7 +66,9 @@ def lookup(
     """Join ``facts`` with ``table`` on one key column.
 
     A table whose measured size is within ``max_bytes`` is broadcast, so the facts
-    do not move. A larger one is joined by a shuffle in which the keys that hold
+    do not move. One of up to ``PIECES`` times that is broadcast in pieces, for left and inner joins:
+    facts stay with those of the same group, and what the table has for them is not shuffled.
+    A larger one is joined by a shuffle in which the keys that hold
     more than ``hot_share`` of the facts are salted: their facts spread over
     ``salts`` reducers and their table rows are repeated once per salt. Facts without
     a key match nothing and are spread as well.
@@ -58,8 +78,11 @@ def lookup(
     broadcast of the table rows of the frequent keys, ``1/hot_share`` at most; the others are shuffled to the
     buckets. The facts are evaluated once for each of the two. All ways give the same rows.
     """
-    if table_bytes(table) <= max_bytes:
+    size = table_bytes(table)
+    if size <= max_bytes:
         return facts.join(F.broadcast(table), key, how)
+    if not bucketed and how in ("left", "inner") and size <= PIECES * max_bytes and len(table.columns) > 1:
+        return _in_pieces(facts, table, key, how, -(-size // max_bytes))
     hot = hot_keys(facts, key, hot_share)
     if bucketed:
         often = F.col(key).isNull() | F.col(key).isin(hot)

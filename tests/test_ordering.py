@@ -121,6 +121,20 @@ def test_lookup_ways_agree_under_skew(spark, how):
     assert lk.hot_keys(facts, "k", 0.1) == ["hot"]
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_pieces_leave_the_facts_in_place(spark, how):
+    key = F.when(F.col("id") % 11 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 50))
+    facts = spark.range(3000).select("id", key.alias("k"))
+    rows = [(f"k{i}", None if i == 3 else [float(i)] * 4, i) for i in range(40)]
+    table = spark.createDataFrame([*rows, ("k7", [1.5], 99), (None, [0.0], 0)], "k string, v array<float>, n int")
+    large = lk.lookup(facts, table, "k", how, max_bytes=-(-lk.table_bytes(table) // 5))
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 5 and "hashpartitioning" not in plan
+    small = lk.lookup(facts, table, "k", how)
+    assert large.columns == small.columns
+    assert sorted(map(str, large.collect())) == sorted(map(str, small.collect()))
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_bucketed_table_is_not_shuffled(spark, tmp_path, how):
     key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 11 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 50))
