@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_AGGREGATES = 256
+MAX_AGGREGATES = 256  # numbers of one aggregation; beyond, plans and generated code would grow too large
+SLICE = 64  # numbers of an aggregation of slices
 
 
 def dot(c: Column, weights: list[float] | Column) -> Column:
@@ -60,25 +59,16 @@ def with_checked(df: DataFrame, dim: int, vector: str = "vector") -> DataFrame:
     return df.withColumn(vector, checked(F.col(vector), dim))
 
 
-# A null vector must not count, but an aggregate over whole vectors fails on a group without any weight.
-_NO_WEIGHT = 1e-300
-
-
-def mean_vector(c: Column, dim: int, weight: Column | None = None, vectors: int = 1) -> Column:
+def mean_vector(c: Column, dim: int, weight: Column | None = None) -> Column:
     """Mean of the vectors of a group, weighted if there is a ``weight``; null if it has none.
 
-    The vectors come from ``with_checked``; null ones are left out. ``vectors`` is the number of such means in the same aggregation. With more than
-    ``MAX_AGGREGATES`` numbers in all, plans and generated code would grow too large,
-    and whole vectors are aggregated instead, with the same results.
+    The vectors come from ``with_checked``; null ones are left out.
     """
-    own = F.lit(1.0) if weight is None else weight.cast("double")
-    if vectors * dim > MAX_AGGREGATES:
-        whole = array_to_vector(F.coalesce(c, F.array_repeat(F.lit(0.0), dim)))
-        mean = vector_to_array(Summarizer.mean(whole, F.when(c.isNull(), _NO_WEIGHT).otherwise(own)))
-    elif weight is None:
+    if weight is None:
         n = F.count(c)
         mean = per_dimension(lambda v: F.try_divide(F.sum(v), n), c, dim)
     else:
+        own = weight.cast("double")
         total = F.sum(F.when(c.isNotNull(), own))
         mean = per_dimension(lambda v: F.try_divide(F.sum(own * v), total), c, dim)
     return F.when(F.count(c) > 0, mean)
@@ -86,9 +76,34 @@ def mean_vector(c: Column, dim: int, weight: Column | None = None, vectors: int
 
 def max_vector(c: Column, dim: int) -> Column:
     """Elementwise maximum of the vectors of a group, by the rules of ``mean_vector``."""
-    if dim > MAX_AGGREGATES:
-        whole = array_to_vector(F.coalesce(c, F.array_repeat(F.lit(float("-inf")), dim)))
-        top = vector_to_array(Summarizer.max(whole))
-    else:
-        top = per_dimension(F.max, c, dim)
-    return F.when(F.count(c) > 0, top)
+    return F.when(F.count(c) > 0, per_dimension(F.max, c, dim))
+
+
+def grouped_vectors(
+    df: DataFrame, keys: list[str], dim: int, named: dict[str, tuple[str, Callable[[Column, int], Column]]],
+    further: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Group by ``keys``; per name an aggregate of a vector column, given that column and its size, and ``further`` plain ones.
+
+    With more than ``MAX_AGGREGATES`` numbers in all, vectors are cut into slices that are aggregated as rows of
+    their own, each step before the shuffle by sums of numbers too, and put together again; an aggregate
+    over whole vectors would sort all steps.
+    """
+    further = further or {}
+    plain = [c.alias(name) for name, c in further.items()]
+    if dim * len(named) <= MAX_AGGREGATES:
+        return df.groupBy(*keys).agg(*[f(F.col(c), dim).alias(name) for name, (c, f) in named.items()], *plain)
+    width = max(1, min(SLICE, MAX_AGGREGATES) // len(named))
+    n = -(-dim // width)
+    start = F.col("_slice") * width + 1
+    sliced = df.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns(
+        {c: F.slice(F.col(c), start, F.lit(width)) for c, _ in named.values()}
+    )
+    each = sliced.groupBy(*keys, "_slice").agg(*[f(F.col(c), width).alias(name) for name, (c, f) in named.items()], *plain)
+    ordered = F.array_sort(F.collect_list(F.struct("_slice", *named, *further)))
+    gathered = each.groupBy(*keys).agg(ordered.alias("_slices"))
+    return gathered.select(
+        *keys,
+        *[F.slice(F.flatten(F.transform("_slices", lambda s: s[name])), 1, dim).alias(name) for name in named],
+        *[F.get("_slices", F.lit(0))[name].alias(name) for name in further],
+    )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from moodmill.functions.tokens import exploded, word_ngrams
-from moodmill.functions.vectors import dot, double_array, mean_vector, nonlinear, with_checked
+from moodmill.functions.vectors import dot, double_array, grouped_vectors, mean_vector, nonlinear, with_checked
 from moodmill.operators.lookup import lookup
 from moodmill.operators.vocabulary import UNKNOWN
 
@@ -24,12 +24,23 @@ def _distinct(words: DataFrame) -> DataFrame:
     return words.select("word").distinct()
 
 
-def _hits(words: DataFrame, table: DataFrame, bucketed: bool = False) -> DataFrame:
+def _hits(words: DataFrame, table: DataFrame, bucketed: bool = False, how: str = "inner") -> DataFrame:
     """The known n-grams of distinct words, with their position and what the table has for them."""
     grams = words.select(
         "word", exploded(word_ngrams(F.col("word"), MIN_GRAM, MAX_GRAM), with_position=True).alias("pos", "token")
     )
-    return lookup(grams, table, "token", "inner", bucketed=bucketed)
+    return lookup(grams, table, "token", how, bucketed=bucketed)
+
+
+def _vector_hits(words: DataFrame, table: DataFrame, dim: int, bucketed: bool) -> DataFrame:
+    """The vectors of the known n-grams of the distinct words, and a row per word that stays if it has none.
+
+    Words are dealt over all shuffle partitions, since the sums of a word need many times its own space; a
+    table that is broadcast leaves its n-grams there, so no vector is shuffled.
+    """
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = _hits(_distinct(words).repartition(parts, "word"), table, bucketed, "left")
+    return with_checked(found.where(F.col("vector").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0)), dim)
 
 
 def _unknown(table: DataFrame):
@@ -65,18 +76,17 @@ def unknown_words(words: DataFrame, table: DataFrame, bucketed: bool = False) ->
     return counts.join(known, "word", "left_anti")
 
 
-def _with_unknown(words: DataFrame, pooled: DataFrame, table: DataFrame) -> DataFrame:
-    """All words, those that were not pooled with the vector of the unknown word."""
+def _with_unknown(pooled: DataFrame, table: DataFrame) -> DataFrame:
+    """All words, those without a known n-gram with the vector of the unknown word."""
     fallback = double_array(_unknown(table.select("token", "vector")).vector)
-    return words.join(pooled, "word", "left").select("word", F.coalesce("vector", fallback).alias("vector"))
+    return pooled.select("word", F.coalesce("vector", fallback).alias("vector"))
 
 
 def word_vectors_mean(words: DataFrame, table: DataFrame, dim: int, bucketed: bool = False) -> DataFrame:
     """Per distinct ``word``: the mean ``vector`` of its known n-grams."""
-    distinct = _distinct(words)
-    found = with_checked(_hits(distinct, table.select("token", "vector"), bucketed), dim)
-    pooled = found.groupBy("word").agg(mean_vector(F.col("vector"), dim).alias("vector"))
-    return _with_unknown(distinct, pooled, table)
+    found = _vector_hits(words, table.select("token", "vector"), dim, bucketed)
+    pooled = grouped_vectors(found, ["word"], dim, {"vector": ("vector", mean_vector)})
+    return _with_unknown(pooled, table)
 
 
 def word_vectors_attention(
@@ -91,15 +101,15 @@ def word_vectors_attention(
     scored = table.select(
         "token", "vector", nonlinear(dot(F.col("vector"), weights), nonlinearity).alias("_score")
     )
-    distinct = _distinct(words)
-    found = with_checked(_hits(distinct, scored, bucketed), dim)
+    found = _vector_hits(words, scored, dim, bucketed)
     shift = F.lit(0.0)
     if nonlinearity == "relu":
         # The window holds the n-grams of one distinct word.
         shift = F.max("_score").over(Window.partitionBy("word"))
     weighted = found.withColumn("_weight", F.exp(F.col("_score") - shift))
-    pooled = weighted.groupBy("word").agg(mean_vector(F.col("vector"), dim, F.col("_weight")).alias("vector"))
-    return _with_unknown(distinct, pooled, table)
+    mean = ("vector", lambda c, size: mean_vector(c, size, F.col("_weight")))
+    pooled = grouped_vectors(weighted, ["word"], dim, {"vector": mean})
+    return _with_unknown(pooled, table)
 
 
 def attach_word_vectors(steps: DataFrame, vectors: DataFrame) -> DataFrame:

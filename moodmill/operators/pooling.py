@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from moodmill.functions.vectors import dot, max_vector, mean_vector, nonlinear, with_checked
+from moodmill.functions.vectors import dot, grouped_vectors, max_vector, mean_vector, nonlinear, with_checked
 
 _SPAN = 256.0  # exp of it, times any number of steps, is a double
 
@@ -21,17 +21,22 @@ def _kept(steps: DataFrame, include_padding: bool, dim: int) -> DataFrame:
     return with_checked(steps, dim)
 
 
+def _weighted_by(weight: str):
+    return lambda c, size: mean_vector(c, size, F.col(weight))
+
+
 def pool_mean(
     steps: DataFrame, keys: list[str], dim: int, include_padding: bool = True, times: str | None = None
 ) -> DataFrame:
     """Mean over the steps. ``times`` names a column that says how often a step stands in its sequence."""
     weight = F.col(times) if times else None
-    return _kept(steps, include_padding, dim).groupBy(*keys).agg(mean_vector(F.col("vector"), dim, weight).alias("vector"))
+    mean = ("vector", lambda c, size: mean_vector(c, size, weight))
+    return grouped_vectors(_kept(steps, include_padding, dim), keys, dim, {"vector": mean})
 
 
 def pool_max(steps: DataFrame, keys: list[str], dim: int, include_padding: bool = True) -> DataFrame:
     """Elementwise maximum over the steps."""
-    return _kept(steps, include_padding, dim).groupBy(*keys).agg(max_vector(F.col("vector"), dim).alias("vector"))
+    return grouped_vectors(_kept(steps, include_padding, dim), keys, dim, {"vector": ("vector", max_vector)})
 
 
 def pool_attention(
@@ -74,9 +79,9 @@ def pool_attention_multi(
         *keys, *levels, "vector",
         *[(F.col("_times") * F.exp(F.col(f"_score_{h}") - shifts[h])).alias(f"_weight_{h}") for h in heads],
     )
-    pooled = weighted.groupBy(*keys, *levels).agg(
-        *[mean_vector(F.col("vector"), dim, F.col(f"_weight_{h}"), len(weights)).alias(f"_head_{h}") for h in heads],
-        *[F.sum(F.when(F.col("vector").isNotNull(), F.col(f"_weight_{h}"))).alias(f"_weight_{h}") for h in heads if levels],
+    pooled = grouped_vectors(
+        weighted, [*keys, *levels], dim, {f"_head_{h}": ("vector", _weighted_by(f"_weight_{h}")) for h in heads},
+        {f"_weight_{h}": F.sum(F.when(F.col("vector").isNotNull(), F.col(f"_weight_{h}"))) for h in heads if levels},
     )
     if levels:
         counted = [F.when(F.col(f"_head_{h}").isNotNull(), F.col(level)) for h, level in enumerate(levels)]
@@ -84,8 +89,8 @@ def pool_attention_multi(
         below = pooled.select(
             "*", *[(F.exp(_SPAN * (c - top)) * F.col(f"_weight_{h}")).alias(f"_share_{h}") for h, (c, top) in enumerate(zip(counted, tops))]
         )
-        pooled = below.groupBy(*keys).agg(
-            *[mean_vector(F.col(f"_head_{h}"), dim, F.col(f"_share_{h}"), len(weights)).alias(f"_head_{h}") for h in heads]
+        pooled = grouped_vectors(
+            below, keys, dim, {f"_head_{h}": (f"_head_{h}", _weighted_by(f"_share_{h}")) for h in heads}
         )
     stacked = F.array(*[F.col(f"_head_{h}") for h in heads])
     return pooled.select(*keys, F.posexplode(stacked).alias("head", "vector"))

@@ -163,6 +163,22 @@ def test_attention(sequences, way, kind, scale):
         assert one[doc] == pytest.approx(got[doc, 1])
 
 
+def test_wide_vectors_are_not_sorted(spark):
+    """Beyond one aggregation the steps still meet sums of numbers in a hash aggregate, slice by slice."""
+    rng = np.random.default_rng(3)
+    rows = [(d, p, 3, [float(x) for x in rng.normal(size=600)]) for d in range(300) for p in range(4)]
+    df = spark.createDataFrame(rows, "doc int, pos int, seq_len int, vector array<double>")
+    pooled = pooling.pool_attention(df, ["doc"], [0.01] * 600, 600)
+    plan = pooled._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan[plan.rindex("Exchange") :] and "partial_sum" in plan[plan.rindex("Exchange") :]
+    mean = {r.doc: r.vector for r in pooling.pool_mean(df, ["doc"], 600).collect()}
+    got = {r.doc: r.vector for r in pooled.collect()}
+    for doc in range(300):
+        own = [r[3] for r in rows if r[0] == doc]
+        assert mean[doc] == pytest.approx(np.mean(own, axis=0)) and len(got[doc]) == 600
+        assert got[doc] == pytest.approx(softmax_sum(own[:3], [math.tanh(0.01 * sum(v)) for v in own[:3]]))
+
+
 def test_unbounded_scores_need_no_join(sequences):
     """Steps of one sequence over many spans of the scores; only pooled rows are shuffled, and none meets a maximum by a join."""
     rows, df = sequences
