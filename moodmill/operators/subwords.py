@@ -47,9 +47,15 @@ def subword_text(ids: Column, model: bytes) -> Column:
     return decode(ids)
 
 
-def subword_samples(df: DataFrame, keys: list[str], model: bytes, text: str = "processed", max_len: int = 100) -> DataFrame:
-    """``keys, ids, seq_len``: the padded subword ids of each text."""
-    encoded = df.select(*keys, subword_ids(F.col(text), model).alias("_ids"))
+def subword_samples(
+    df: DataFrame, keys: list[str], model: bytes, text: str = "processed", max_len: int = 100, encoded: str | None = None
+) -> DataFrame:
+    """``keys, ids, seq_len``: the padded subword ids of each text.
+
+    ``encoded`` names a column that holds the ids of the texts already, as ``subword_ids`` gives them.
+    """
+    found = F.col(encoded) if encoded else subword_ids(F.col(text), model)
+    encoded = df.select(*keys, found.alias("_ids"))
     ids = F.col("_ids").cast("array<bigint>")
     return encoded.select(
         *keys,

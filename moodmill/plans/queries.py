@@ -534,13 +534,21 @@ def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g13_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _subword_model()
     documents = rel.table(spark, sf_dir, "documents")
-    ids = documents.select("doc_id", subwords.subword_ids(F.col("text"), model).alias("ids"))
-    samples = subwords.subword_samples(documents, ["doc_id"], model, "text", MAX_LEN)
-    back = subwords.subword_text(F.col("ids"), model)
-    whole = ids.join(documents.select("doc_id", "text"), "doc_id").select(
-        "doc_id", F.size("ids").alias("n"), digest(F.col("ids")).alias("all_ids"), (back == F.col("text")).alias("round_trip")
+    # Each text is encoded once, and texts and ids meet by their digests; neither is shuffled.
+    encoded = documents.select("doc_id", F.sha2("text", 256).alias("_text"), subwords.subword_ids(F.col("text"), model).alias("_all"))
+    samples = subwords.subword_samples(encoded, ["doc_id", "_text", "_all"], model, max_len=MAX_LEN, encoded="_all")
+    back = F.sha2(subwords.subword_text(F.col("_all"), model), 256)
+    rows = durable(
+        samples.select(
+            "doc_id", "_text", F.size("_all").alias("n"), digest(F.col("_all")).alias("all_ids"), back.alias("_back"),
+            "seq_len", digest(F.col("ids")).alias("ids"),
+        ),
+        "subwords",
     )
-    return whole.join(samples.select("doc_id", "seq_len", digest(F.col("ids")).alias("ids")), "doc_id")
+    whole = rows.select("doc_id", "n", "all_ids", "_back").join(rows.select("doc_id", "_text"), "doc_id").select(
+        "doc_id", "n", "all_ids", (F.col("_back") == F.col("_text")).alias("round_trip")
+    )
+    return whole.join(rows.select("doc_id", "seq_len", "ids"), "doc_id")
 
 
 @register("g14_category_embedding")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from moodmill.session import durable
 from moodmill.operators import subwords, training_rounds as t
 from moodmill.plans.training import FeatureConfig, text_features
 
@@ -115,6 +116,16 @@ def test_heads_of_a_row(spark):
         t.side_by_side(spark.createDataFrame(rows[:3], "k int, head int, vector array<double>"), ["k"], 2).collect()
 
 
+@pytest.mark.skipif(not MODEL.exists(), reason="needs a public subword model")
+def test_encoded_texts_are_not_encoded_again(spark):
+    model = MODEL.read_bytes()
+    df = spark.createDataFrame([(1, "some words of a text"), (2, None), (3, "")], "doc_id int, processed string")
+    held = durable(df.select("doc_id", subwords.subword_ids(F.col("processed"), model).alias("held")))
+    samples = subwords.subword_samples(held, ["doc_id"], model, max_len=3, encoded="held")
+    assert "Python" not in samples._jdf.queryExecution().executedPlan().toString()
+    assert sorted(samples.collect()) == sorted(subwords.subword_samples(df, ["doc_id"], model, max_len=3).collect())
+
+
 @pytest.mark.skipif(not MODEL.exists(), reason="needs a public subword model")
 def test_subwords(spark):
     import sentencepiece
