@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from moodmill.session import durable
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-PIECES = 16  # broadcasts of one table, at most
+PIECES = 8  # broadcasts of one table, at most; they are in the memory of the driver and of each executor
 HOT_SHARE = 0.001
 SALTS = 64
 _NARROW = (T.FloatType, T.IntegerType)
@@ -66,8 +66,8 @@ def lookup(
     """Join ``facts`` with ``table`` on one key column.
 
     A table whose measured size is within ``max_bytes`` is broadcast, so the facts
-    do not move. One of up to ``PIECES`` times that is broadcast in pieces, for left and inner joins:
-    facts stay with those of the same group, and what the table has for them is not shuffled.
+    do not move. One of up to ``PIECES`` times that with arrays is broadcast in pieces, for left and inner joins:
+    facts stay with those of the same group, and the vectors that the table has for them are not shuffled.
     A larger one is joined by a shuffle in which the keys that hold
     more than ``hot_share`` of the facts are salted: their facts spread over
     ``salts`` reducers and their table rows are repeated once per salt. Facts without
@@ -81,7 +81,8 @@ def lookup(
     size = table_bytes(table)
     if size <= max_bytes:
         return facts.join(F.broadcast(table), key, how)
-    if not bucketed and how in ("left", "inner") and size <= PIECES * max_bytes and len(table.columns) > 1:
+    wide = any(isinstance(f.dataType, T.ArrayType) for f in table.schema.fields if f.name != key)
+    if wide and not bucketed and how in ("left", "inner") and size <= PIECES * max_bytes:
         return _in_pieces(facts, table, key, how, -(-size // max_bytes))
     hot = hot_keys(facts, key, hot_share)
     if bucketed:
