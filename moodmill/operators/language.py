@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from moodmill.functions.grams import MAX_SIZE, GramWeights, counted_cuts
 from moodmill.functions.tokens import exploded, find_ngrams
 from moodmill.functions.vectors import per_dimension
-from moodmill.operators.lookup import lookup
+from moodmill.operators.lookup import BROADCAST_BYTES, lookup
 from moodmill.session import durable
 
 GRAM_SIZES = (1, 2, 3)
@@ -35,6 +41,25 @@ class LanguageModel:
     defaults: tuple[float, ...]
     sizes: tuple[int, ...]
 
+    @cached_property
+    def array_bytes(self) -> int:
+        """Size of the weights as arrays of sums, a row per gram."""
+        return self.weights.count() * (len(self.languages) + 1) * 8
+
+    @cached_property
+    def arrays(self) -> GramWeights:
+        """The weights in arrays, languages in the order of their codes; the driver holds them."""
+        used = self.weights.where(F.length("gram").isin(*self.sizes)).select("gram", "held.lang", "held.w").toArrow().combine_chunks()
+        langs, weights = (pa.concat_arrays(used.column(c).chunks) if used.num_rows else None for c in ("lang", "w"))
+        if langs is None:
+            empty = np.zeros(0, np.int64)
+            return GramWeights(pa.array([], pa.string()), empty, empty, np.zeros(0), len(self.languages))
+        rows = np.repeat(np.arange(used.num_rows), np.asarray(pc.list_value_length(langs)))
+        columns = np.asarray(pc.index_in(langs.flatten(), pa.array(sorted(self.languages), langs.type.value_type)).fill_null(-1))
+        known = columns >= 0
+        grams = pa.concat_arrays(used.column("gram").chunks)
+        return GramWeights(grams, rows[known], columns[known], np.asarray(weights.flatten())[known], len(self.languages))
+
 
 def char_grams(text: Column, sizes: tuple[int, ...] = GRAM_SIZES) -> Column:
     """All character n-grams of the given sizes."""
@@ -57,9 +82,23 @@ def _prefixes(cuts: DataFrame, sizes: tuple[int, ...], *keep: str) -> DataFrame:
 def gram_counts(
     df: DataFrame, text: str = "text", lang: str = "lang", sizes: tuple[int, ...] = GRAM_SIZES
 ) -> DataFrame:
-    """Occurrences of each gram per language: ``lang, gram, n``. The text is cut once."""
-    cuts = df.select(F.col(lang).alias("lang"), exploded(_cuts(F.col(text), sizes)).alias("cut"))
-    counted = cuts.where(F.col("cut").isNotNull()).groupBy("lang", "cut").agg(F.count("*").alias("n"))
+    """Occurrences of each gram per language: ``lang, gram, n``. The text is cut once.
+
+    Grams of up to ``MAX_SIZE`` code points are counted in Arrow batches, before they become rows.
+    """
+    longest, texts = max(sizes), df.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    if longest <= MAX_SIZE:
+        kind = texts.schema["lang"].dataType
+        schema = T.StructType([T.StructField("lang", kind), T.StructField("cut", T.StringType()), T.StructField("n", T.LongType())])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return counted_cuts(batches, longest)
+
+        cuts = texts.where(F.col("text").isNotNull()).mapInArrow(count, schema)
+        counted = cuts.groupBy("lang", "cut").agg(F.sum("n").alias("n"))
+    else:
+        cuts = texts.select("lang", exploded(_cuts(F.col("text"), sizes)).alias("cut"))
+        counted = cuts.where(F.col("cut").isNotNull()).groupBy("lang", "cut").agg(F.count("*").alias("n"))
     return _prefixes(counted, sizes, "lang", "n").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -113,13 +152,53 @@ def language_fit(
     )
 
 
-def language_predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+def language_predict(df: DataFrame, model: LanguageModel, text: str = "text", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``lang, prob``: the most probable language, ``'none'`` and 0 for a text without any gram of the model.
 
+    A model whose sums fit into ``max_bytes`` goes to the tasks as arrays, and texts are weighed in
+    Arrow batches where they are. With a larger one the cuts of the texts meet it in joins. Both give the same
+    answers; ties go to the lowest language code.
+    """
+    if model.array_bytes > max_bytes:
+        return _predicted_by_joins(df, model, text)
+    answer = F.col("_answer")
+    return df.select("*", _answers(F.col(text), model).alias("_answer")).select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.coalesce(answer["lang"], F.lit("none")).alias("lang"),
+        F.coalesce(answer["prob"], F.lit(0.0)).alias("prob"),
+    )
+
+
+def _answers(text: Column, model: LanguageModel) -> Column:
+    """Language and probability of each text, nulls if it has no gram of the model."""
+    arrays, order = model.arrays, sorted(range(len(model.languages)), key=lambda i: model.languages[i])
+    names = pa.array([model.languages[i] for i in order], pa.string())
+    priors, defaults = (np.array([x[i] for i in order])[:, None] for x in (model.priors, model.defaults))
+
+    @F.arrow_udf("struct<lang:string,prob:double>")
+    def answer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        read = arrays.reader()
+        for texts in batches:
+            sums = read(texts)
+            none = sums[0] == 0
+            if not len(names):
+                yield pa.nulls(len(texts), pa.struct([("lang", pa.string()), ("prob", pa.float64())]))
+                continue
+            scores = priors + defaults * sums[0] + sums[1:]
+            best = scores.argmax(axis=0)
+            rest = np.exp(scores - scores.max(axis=0)).sum(axis=0)
+            lang = names.take(pa.array(best, mask=none))
+            yield pa.StructArray.from_arrays([lang, pa.array(1 / rest, mask=none)], ["lang", "prob"])
+
+    return answer(text)
+
+
+def _predicted_by_joins(df: DataFrame, model: LanguageModel, text: str) -> DataFrame:
+    """The answers of a model of any size.
+
     Texts are cut at each position. For each distinct cut the weights of its grams are
     added up once; the cuts of the texts then meet that table, which ``lookup``
     broadcasts if it is small. Partial sums leave a row per text before the shuffle.
-    Ties go to the lowest language code.
     """
     # Two hashes stand for a text, so that long texts are not dragged through the joins.
     key = [F.xxhash64(F.col(text)).alias("_h"), F.xxhash64(F.lit(1), F.col(text)).alias("_i")]
