@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from moodmill.functions.tokens import exploded, word_ngrams
 from moodmill.functions.vectors import dot, double_array, grouped_vectors, mean_vector, nonlinear, with_checked
-from moodmill.operators.lookup import lookup
+from moodmill.operators.lookup import BROADCAST_BYTES, PIECES, lookup, table_bytes
 from moodmill.operators.vocabulary import UNKNOWN
 
 # N-gram lengths of the embedding bag, and the width rule of categories.
 MIN_GRAM, MAX_GRAM = 1, 6
 MAX_CATEGORY_WIDTH = 50
+GROUP_STEPS = 1 << 20  # steps of the texts to which a vector is sent once
 
 
 def _distinct(words: DataFrame) -> DataFrame:
@@ -112,9 +113,27 @@ def word_vectors_attention(
     return _with_unknown(pooled, table)
 
 
-def attach_word_vectors(steps: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Join the vectors of the distinct words back to all steps."""
-    return lookup(steps, vectors, "word", "left")
+def attach_word_vectors(
+    steps: DataFrame, vectors: DataFrame, group: str | None = None, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Join the vectors of the distinct words back to all steps.
+
+    ``group`` names a column with the number of the group of texts to which a step belongs. Vectors beyond all
+    broadcasts are then sent once to each group that has the word, and steps meet them there: the result lies by groups, so
+    an aggregate by group and text shuffles no vector of a step. Groups are put together up to
+    ``GROUP_STEPS`` where that leaves enough for all cores.
+    """
+    if group is None or table_bytes(vectors) <= PIECES * max_bytes:
+        return lookup(steps, vectors, "word", "left", max_bytes=max_bytes)
+    spark = steps.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, -(-steps.count() // GROUP_STEPS))
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
+    steps = steps.withColumn(group, F.pmod(F.col(group), F.lit(parts)))
+    # A word comes once per group at most, so no key is frequent.
+    sent = steps.select(group, "word").distinct().join(vectors, "word").withColumn("_step", F.lit(False))
+    met = steps.withColumn("_step", F.lit(True)).unionByName(sent, allowMissingColumns=True).repartitionById(parts, group)
+    before = Window.partitionBy(group, "word").orderBy("_step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return met.withColumn("vector", F.first("vector").over(before)).where("_step").drop("_step")
 
 
 def embedding_lookup(steps: DataFrame, table: DataFrame, bucketed: bool = False) -> DataFrame:

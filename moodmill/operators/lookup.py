@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from moodmill.session import durable
@@ -62,6 +64,7 @@ def lookup(
     hot_share: float = HOT_SHARE,
     salts: int = SALTS,
     bucketed: bool = False,
+    frequent: Callable[[], list] | None = None,
 ) -> DataFrame:
     """Join ``facts`` with ``table`` on one key column.
 
@@ -77,6 +80,9 @@ def lookup(
     it then stays where it is and only facts move: those of frequent keys, and those without a key, meet a
     broadcast of the table rows of the frequent keys, ``1/hot_share`` at most; the others are shuffled to the
     buckets. The facts are evaluated once for each of the two. All ways give the same rows.
+
+    ``frequent`` gives the frequent keys of the facts, where they are known without counting them; it is asked
+    only for a table that is not broadcast.
     """
     size = table_bytes(table)
     if size <= max_bytes:
@@ -84,7 +90,7 @@ def lookup(
     wide = any(isinstance(f.dataType, T.ArrayType) for f in table.schema.fields if f.name != key)
     if wide and not bucketed and how in ("left", "inner") and size <= PIECES * max_bytes:
         return _in_pieces(facts, table, key, how, -(-size // max_bytes))
-    hot = hot_keys(facts, key, hot_share)
+    hot = frequent() if frequent else hot_keys(facts, key, hot_share)
     if bucketed:
         often = F.col(key).isNull() | F.col(key).isin(hot)
         few = F.broadcast(table.where(F.col(key).isin(hot)))

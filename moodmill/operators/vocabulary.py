@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from moodmill.functions.tokens import exploded
-from moodmill.operators.lookup import lookup
+from moodmill.operators.lookup import HOT_SHARE, lookup
 from moodmill.operators.ordering import with_ordinal
 from moodmill.session import durable
 
@@ -79,19 +79,30 @@ def sequence_steps(df: DataFrame, tokens: str, name: str = "word") -> DataFrame:
     return steps.where(F.col("pos").isNotNull())
 
 
+def _frequent(vocabulary: DataFrame) -> list:
+    """The tokens that hold ``HOT_SHARE`` of all; the reserved words, which are not counted, are among them."""
+    total = vocabulary.agg(F.sum("n").alias("n")).first().n or 0
+    often = F.col("token").isin(PAD_WORD, UNKNOWN) | (F.col("n") >= max(2, int(total * HOT_SHARE)))
+    return [r.token for r in vocabulary.where(often).select("token").collect()]
+
+
 def encode_ids(
-    df: DataFrame, vocabulary: DataFrame, keys: list[str], tokens: str = "tokens", oov: str = "error"
+    df: DataFrame, vocabulary: DataFrame, keys: list[str], tokens: str = "tokens", oov: str = "error",
+    counted: bool = False,
 ) -> DataFrame:
     """Replace tokens by their index: ``keys`` and ``ids``, in the order of the tokens.
 
     ``oov`` says what an unknown token does: ``'error'`` fails the job and names
     it, ``'unk'`` takes the index of the unknown word, ``'drop'`` leaves it out. Two
     rows with the same keys would become one sequence, which fails the job.
+
+    ``counted`` says that ``n`` of the vocabulary counts all tokens of ``df``, so that the frequent ones, which a join with a
+    large vocabulary spreads, need no count of their own.
     """
     table = vocabulary.select("token", "idx")
     # A text without tokens keeps one row without position and gets no ids.
     steps = df.select(*keys, exploded(F.col(tokens), with_position=True).alias("pos", "token"))
-    found = lookup(steps, table, "token", "left")
+    found = lookup(steps, table, "token", "left", frequent=(lambda: _frequent(vocabulary)) if counted else None)
     if oov == "error":
         failed = F.raise_error(F.concat(F.lit("unknown token: "), F.col("token"))).cast("bigint")
         idx = F.coalesce(F.col("idx"), F.when(F.col("pos").isNotNull(), failed))

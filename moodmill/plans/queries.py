@@ -455,7 +455,7 @@ def g5_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = rel.document_words(spark, sf_dir)
     table = durable(vocabulary.build_vocabulary(words), "vocabulary")
-    encoded = vocabulary.encode_ids(words, table, ["doc_id"], oov="unk")
+    encoded = vocabulary.encode_ids(words, table, ["doc_id"], oov="unk", counted=True)
     return encoded.select("doc_id", F.size("ids").alias("n"), digest(F.col("ids")).alias("ids"))
 
 

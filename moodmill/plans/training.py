@@ -23,9 +23,10 @@ from moodmill.operators.subwords import subword_samples
 from moodmill.operators.vocabulary import encode_ids, sequence_steps
 from moodmill.session import durable
 
-# Length of a padded text, and the id of the padding.
+# Length of a padded text, the id of the padding, and the column with the group of a text.
 MAX_LEN = 100
 PAD_ID = 0
+GROUP = "_group"
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,9 @@ def vector_steps(
 
     No pooling looks at the order of steps, so a word that stands several times in a
     text, as the padding does, is one step with its number as ``times``. Then ``pos`` and
-    ``seq_len`` only say whether it is a word of the text (0 of 1) or padding (1 of 1).
+    ``seq_len`` only say whether it is a word of the text (0 of 1) or padding (1 of 1). A further
+    column ``_group`` deals the texts into as many groups as there are shuffle partitions; the steps of a
+    group lie together, so that sums over a text are taken before they are shuffled.
     """
     if config.embedding == "dict":
         samples = encode_samples(df, keys, table, text, config.max_len, oov)
@@ -93,9 +96,11 @@ def vector_steps(
         samples = subword_samples(df, keys, config.subword_model, text, config.max_len)
         steps = embedding_lookup(sequence_steps(samples, "ids", "idx"), table).drop("idx")
         return steps.withColumn("times", F.lit(1))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     padding = (F.col("pos") >= F.col("seq_len")).cast("int").alias("pos")
-    every = sequence_steps(word_samples(df, keys, text, config.max_len), "words")
-    steps = every.groupBy(*keys, padding, "word").agg(F.count("*").alias("times"), F.lit(1).alias("seq_len"))
+    samples = word_samples(df, keys, text, config.max_len).withColumn(GROUP, F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+    every = sequence_steps(samples.repartition(parts, GROUP), "words")
+    steps = every.groupBy(GROUP, *keys, padding, "word").agg(F.count("*").alias("times"), F.lit(1).alias("seq_len"))
     # Written once: its words are listed, and then it is joined with their vectors.
     steps = durable(steps, "steps")
     if config.embedding == "bag":
@@ -104,7 +109,7 @@ def vector_steps(
         vectors = word_vectors_attention(steps, table, list(config.word_weights), dim)
     else:
         raise ValueError(f"unknown embedding {config.embedding!r}")
-    return attach_word_vectors(steps, durable(vectors, "word-vectors")).drop("word")
+    return attach_word_vectors(steps, durable(vectors, "word-vectors"), GROUP).drop("word")
 
 
 def text_features(
@@ -121,14 +126,16 @@ def text_features(
     if categories:
         steps = category_embedding(steps, categories)
         dim += sum(category_width(size) for _, size in categories.values())
+    if GROUP in steps.columns:
+        keys = [GROUP, *keys]
     if config.pooling == "mean":
-        return pool_mean(steps, keys, dim, times="times")
+        return pool_mean(steps, keys, dim, times="times").drop(GROUP)
     if config.pooling == "max":
-        return pool_max(steps, keys, dim)
+        return pool_max(steps, keys, dim).drop(GROUP)
     if config.pooling == "attention":
-        return pool_attention(steps, keys, list(config.step_weights), dim, times="times")
+        return pool_attention(steps, keys, list(config.step_weights), dim, times="times").drop(GROUP)
     if config.pooling == "heads":
-        return pool_attention_multi(steps, keys, [list(w) for w in config.head_weights], dim, times="times")
+        return pool_attention_multi(steps, keys, [list(w) for w in config.head_weights], dim, times="times").drop(GROUP)
     raise ValueError(f"unknown pooling {config.pooling!r}")
 
 

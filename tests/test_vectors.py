@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from moodmill.functions import vectors
 from moodmill.functions.vectors import dot, log_sum_exp
-from moodmill.operators import embeddings, pooling, vocabulary
+from moodmill.operators import embeddings, lookup as lookups, pooling, vocabulary
 from moodmill.plans.training import FeatureConfig, encode_samples, text_features, word_samples
 
 DIM = 4
@@ -297,3 +297,43 @@ def test_frequent_tokens_are_proven_or_counted_in_full(spark):
     assert vocabulary.build_vocabulary(empty, size=9, tracked=10).count() == 2
     with pytest.raises(ValueError, match="size"):
         vocabulary.build_vocabulary(df, tracked=10)
+
+
+@pytest.mark.parametrize("pooled", ["mean", "attention"])
+def test_vectors_beyond_broadcasts_are_sent_once_per_group(spark, table, monkeypatch, pooled):
+    w = tuple([0.5] * DIM)
+    rng = random.Random(5)
+    words = ["cat", "at", "is", "e", "the", "mat", "xyz", "<ca"]
+    rows = [(i % 40 or None, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, processed string")
+    config = FeatureConfig("bag", pooled, 8, w, w)
+
+    def features():
+        return text_features(df, ["id"], table, DIM, config, oov="unk")
+
+    near = {r.id: r.vector for r in features().collect()}
+    monkeypatch.setattr(embeddings.attach_word_vectors, "__defaults__", (None, 0))
+    far = features()
+    got = far.collect()
+    assert len(got) == len(near) and all(r.vector == pytest.approx(near[r.id]) for r in got)
+    # After the steps have met their vectors nothing is shuffled.
+    plan = far._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan[: plan.index("Window")]
+
+
+def test_a_counted_vocabulary_names_the_frequent_tokens(spark, monkeypatch):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, rng.choices(["a", "b", "c", " ", "UNK"], (50, 5, 1, 9, 9), k=i % 7)) for i in range(60)], "id int, tokens array<string>")
+    vocab = vocabulary.build_vocabulary(df)
+
+    def ids_(**more):
+        return sorted(map(tuple, vocabulary.encode_ids(df, vocab, ["id"], **more).collect()))
+
+    near = ids_()
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(lookups.lookup, "__defaults__", tuple(0 if x == 64 << 20 else x for x in lookups.lookup.__defaults__))
+    assert ids_() == near
+    # The tokens are not counted once more.
+    monkeypatch.setattr(lookups, "hot_keys", None)
+    assert ids_(counted=True) == near
+    assert set(vocabulary._frequent(vocab)) == {"a", "b", "c", " ", "UNK"}
