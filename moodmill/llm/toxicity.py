@@ -218,7 +218,7 @@ class Reader:
         }
         self.words = {e for e in entries if not e.endswith("*")}.difference(THREATS)
         self.beginnings = {e[:-1] for e in entries if e.endswith("*")}
-        self.lengths = sorted({len(b) for b in self.beginnings})
+        self.lengths = sorted({len(b) for b in self.beginnings}, reverse=True)  # the longest beginning counts
         self.closed = {}
         for symbol, listed in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             self.closed.update(dict.fromkeys(listed, symbol))
@@ -321,16 +321,18 @@ def learned_entries(toxic: dict[str, int], clean: dict[str, int], n_toxic: int,
         if t >= least and (w := _log_odds(t, clean.get(g, 0), n_toxic, n_clean)) >= MIN_LOG_ODDS
         and _chance(t, clean.get(g, 0), n_toxic, n_clean) <= level
     }
+    # The surest first. A beginning that others of the chosen entries lengthen stays for the rows that these leave:
+    # at least so many toxic ones, at most so many clean ones.
     chosen: dict[str, float] = {}
-    for gram in sorted(found, key=lambda g: (-toxic[g], -found[g], -len(g), g)):
-        stem = gram.rstrip("*")
-        covered = any(
-            (stem.startswith(c[:-1]) or c[:-1].startswith(stem) and gram.endswith("*")) if c.endswith("*") else
-            (gram.endswith("*") and c.startswith(stem) or c == gram)
-            for c in chosen
-        )
-        if not covered:
-            chosen[gram] = found[gram]
+    for gram in sorted(found, key=lambda g: (-found[g], -toxic[g], -len(g), g)):
+        if gram in chosen or any(gram.rstrip("*")[:n] + "*" in chosen for n in range(1, len(gram) + 1)):
+            continue
+        stem = gram[:-1]
+        longer = [c for c in chosen if c.startswith(stem)] if gram.endswith("*") else []
+        rest, others = toxic[gram] - sum(toxic[c] for c in longer), clean.get(gram, 0)
+        weight = _log_odds(max(rest, 0), others, n_toxic, n_clean)
+        if not longer or rest >= least and weight >= MIN_LOG_ODDS and _chance(rest, others, n_toxic, n_clean) <= level:
+            chosen[gram] = weight
     for word in (*INSULTS, *THREATS):
         t, c = toxic.get(word, 0), clean.get(word, 0)
         # A fixed entry begins at a moderate weight that labelled rows outweigh.
@@ -346,11 +348,23 @@ def _ridge_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[f
     base = (y.sum() + 0.5) / (len(y) + 1.0)
     beta[0] = math.log(base / (1 - base))
     penalty = np.diag([1e-6, *[ridge] * x.shape[1]])
-    for _ in range(50):
+
+    def loss(b: np.ndarray) -> float:
+        return float((np.logaddexp(0, z @ b) - y * (z @ b)).sum() + b @ penalty @ b / 2)
+
+    now = loss(beta)
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + penalty, z.T @ (y - p) - penalty @ beta)
-        beta += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        # A whole step can go beyond the least loss and back for ever, so it is halved until the loss falls.
+        size = 1.0
+        while size > 1e-9 and not loss(beta + size * step) < now:
+            size /= 2
+        if size <= 1e-9:
+            break
+        beta = beta + size * step
+        now = loss(beta)
+        if np.abs(size * step).max() < 1e-6:
             break
     return tuple(float(b) for b in beta)
 

@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,33 @@ def test_entries_do_not_fade_as_labels_grow():
         assert "zorb" in got and "chance" not in got
 
 
+def test_an_unsure_beginning_does_not_hide_a_sure_one():
+    """``lost*`` stands in clean rows, too; before, it took the place of the insult ``lostra*`` with a low weight."""
+    toxic, clean = {"lost*": 44, "lostr*": 42, "lostra*": 42, "lostraei": 20}, {"lost*": 9, "lostr*": 4}
+    got = t.learned_entries(toxic, clean, 400, 3600)
+    assert got["lostra*"] == pytest.approx(t._log_odds(42, 0, 400, 3600))
+    assert not {"lost*", "lostr*", "lostraei"} & set(got)
+    # With toxic rows of its own the shorter one stays, weighed by them; the longest beginning of a word counts.
+    got = t.learned_entries(toxic | {"lost*": 72}, clean | {"lost*": 2}, 400, 3600)
+    assert got["lost*"] == pytest.approx(t._log_odds(30, 2, 400, 3600))
+    assert [e for e, _ in t.Model(got).reader.events("lostrawei losty")] == ["lostra*", "lost*"]
+
+
+def test_logistic_ends_at_the_least_loss():
+    """Whole Newton steps went back and forth here and ended with weights below 0, so that no text was toxic."""
+    # Greatest weight, logarithm of the sum, number; 30 toxic and 270 clean rows as in a small sample of labels.
+    toxic = [(4.9, 3.8, 5), (4.4, 3.3, 5), (4.9, 3.8, 5), (4.6, 3.9, 5), (4.6, 3.0, 5), (4.6, 3.0, 5), (3.8, 2.9, 5),
+             (4.9, 3.5, 5), (4.6, 2.9, 4), (4.9, 2.4, 2), (4.9, 3.3, 5), (4.9, 2.7, 3), (4.4, 2.8, 4), (4.6, 2.8, 4),
+             (3.8, 4.0, 5), (4.9, 3.6, 5), (3.7, 2.5, 3), (3.8, 2.9, 5), (3.7, 2.5, 3), (4.4, 2.5, 3), (4.4, 2.5, 3),
+             (3.7, 3.3, 5), (3.8, 2.8, 5), *[(0, 0, 0)] * 7]
+    clean = [(3.4, 1.5, 1), (3.5, 2.1, 2), (3.4, 1.5, 1), *[(0, 0, 0)] * 267]
+    x, y = np.array(toxic + clean, dtype=float), np.array([1.0] * 30 + [0.0] * 270)
+    beta = np.array(t._ridge_logistic(x, y))
+    z = np.column_stack([np.ones(300), x])
+    slope = z.T @ (y - 1 / (1 + np.exp(-z @ beta))) - np.array([1e-6, 1, 1, 1]) * beta
+    assert np.abs(slope).max() < 1e-4
+
+
 def test_chance_is_the_binomial_tail():
     for toxic, clean in ((3, 0), (5, 2), (1, 9), (0, 4)):
         n = toxic + clean
