@@ -48,6 +48,7 @@ _UNIT_BYTES = 330  # a remembered unit beside its own bytes, groups and pairs
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_SPACES = _SPACE.tolist()
 _MARK = "▁"
 # Whitespace beyond ASCII and the mark of tokenizer B, in UTF-8 as whole numbers.
 _UNSURE = np.array([
@@ -138,12 +139,16 @@ class Pair:
         a, b = ids
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         stop = np.cumsum([len(u) for u in units])
-        common = np.intersect1d(a_end, b_end, assume_unique=True)
-        if not np.isin(stop, common, assume_unique=True).all():
+        # A mark for each byte at which a token of both ends; the marks before a byte number its group.
+        end, other = np.zeros(int(stop[-1]) + 1, dtype=bool), np.zeros(int(stop[-1]) + 1, dtype=bool)
+        end[a_end], other[b_end] = True, True
+        end &= other
+        if not end[stop].all():
             return None
+        common, before = np.flatnonzero(end), np.cumsum(end) - end
         n, groups = len(units), len(common)
-        n_a = np.bincount(np.searchsorted(common, a_end), minlength=groups)
-        n_b = np.bincount(np.searchsorted(common, b_end), minlength=groups)
+        n_a = np.bincount(before[a_end], minlength=groups)
+        n_b = np.bincount(before[b_end], minlength=groups)
         owner = np.searchsorted(stop, common)
         first = np.searchsorted(owner, np.arange(n + 1))
         counts = np.add.reduceat(np.stack([n_a, n_b, np.ones_like(n_a), n_a * n_b], axis=1), first[:-1], axis=0)
@@ -153,7 +158,7 @@ class Pair:
             sa = list(map(self.a_text.__getitem__, a.tolist()))
             sb = list(map(self.b_text.__getitem__, b.tolist()))
             said = [
-                sa[i] + "|" + sb[j] if x == 1 == y else ",".join(sa[i : i + x]) + "|" + ",".join(sb[j : j + y])
+                f"{sa[i]}|{sb[j]}" if x == 1 == y else f"{','.join(sa[i : i + x])}|{','.join(sb[j : j + y])}"
                 for i, x, j, y in zip(a_at.tolist(), n_a.tolist(), b_at.tolist(), n_b.tolist())
             ]
             at = first.tolist()
@@ -296,8 +301,8 @@ class Aligner:
             sure.clear()
 
         for unit in units:
-            last = unit.decode()[-1] if unit[-1] >= 0x80 else chr(unit[-1])
-            if not self.pair.parted or last.isspace() or last == _MARK:
+            last = unit[-1]
+            if not self.pair.parted or _SPACES[last] or last >= 0x80 and ((c := unit.decode()[-1]).isspace() or c == _MARK):
                 self._alone(unit)
                 continue
             sure.append(unit)
@@ -321,11 +326,14 @@ class Aligner:
         at = np.flatnonzero(begins)
         offsets = np.concatenate([at, [len(raw)]]).astype(np.int32)
         units = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        distinct = units.dictionary.to_pylist()
-        new = [u for u in distinct if u not in self.known]
+        distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = list(map(self.known.get, distinct))
+        new = [i for i, number in enumerate(numbers) if number is None]
         if new:
-            self._learn(new)
-        found = np.array(list(map(self.known.__getitem__, distinct)), dtype=np.int64)
+            self._learn([distinct[i] for i in new])
+            for i in new:
+                numbers[i] = self.known[distinct[i]]
+        found = np.array(numbers, dtype=np.int64)
         indices = units.indices.to_numpy()
         self.hits[found] += np.bincount(indices, minlength=len(found))
         return found[indices], np.searchsorted(at, np.append(starts, len(raw)))

@@ -169,3 +169,28 @@ def test_query(spark, plain_tokenizers):
     want = {r[0]: (*r[:-1], hashlib.sha256(r[-1].encode()).hexdigest() if r[-1] else "") for r in want}
     got = {r.doc_id: tuple(r) for r in QUERIES["op11_alignment"](spark, str(DATA)).collect()}
     assert got == want
+
+
+def test_a_remembered_unit_is_looked_up_once(pair):
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            Counted.n += 1
+            return super().get(*a)
+
+        def __contains__(self, key):
+            Counted.n += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            Counted.n += 1
+            return super().__getitem__(key)
+
+    aligner = alignment.Aligner(pair)
+    aligner.known = Counted()
+    texts = ["one two three two", "two four one"]
+    first = [(who, numbers.tolist(), borders.tolist()) for who, numbers, borders in aligner.documents(texts)]
+    Counted.n = 0
+    again = [(who, numbers.tolist(), borders.tolist()) for who, numbers, borders in aligner.documents(texts)]
+    assert again == first and Counted.n == len({" one", " two", " three", " four"})
