@@ -202,7 +202,8 @@ def emoji_verdict(
     held = held.withColumn("_label", _label(F.col("_hits")))
     hits, rest = F.col("_hits"), F.col("_rest")
     kinds = F.size(F.filter(hits, lambda h: h["is_64"]))
-    short = (F.size(F.split(rest, " ")) < config.min_len) & (F.length(rest) < config.min_len)
+    # The length first, so that only texts of a few characters are split into words.
+    short = (F.length(rest) < config.min_len) & (F.size(F.split(rest, " ")) < config.min_len)
     reason = F.when(F.col("_label").isNull(), "no_emoji")
     if config.exclude_non64:
         reason = reason.when(F.exists(hits, lambda h: ~h["is_64"]), "other_emoji")
