@@ -119,8 +119,9 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Encode new pieces. Those that begin with whitespace go as one text, which the tokenizer parts again."""
-        inner = [p for p in pieces if _SPACE[p[0]] and not _SPACE[p[-1]]]
-        outer = [p for p in pieces if not _SPACE[p[0]] or _SPACE[p[-1]]]
+        inner, outer = [], []
+        for p in pieces:  # bytes.isspace knows the whitespace of _SPACE
+            (inner if p[:1].isspace() and not p[-1:].isspace() else outer).append(p)
         for at in range(0, len(outer), _OUTER):
             part = outer[at : at + _OUTER]
             alone = self._ids([p.decode() for p in part])
@@ -128,8 +129,8 @@ class PieceEncoder:
             self._remember(part, np.fromiter(chain.from_iterable(alone), dtype=self.type, count=int(sizes.sum())), sizes)
         for at in range(0, len(inner), _INNER):
             part = inner[at : at + _INNER]
-            ids = np.array(self._ids(["".join([p.decode() for p in part])])[0], dtype=self.type)
-            ends = np.cumsum([len(p) for p in part])
+            ids = np.array(self._ids([b"".join(part).decode()])[0], dtype=self.type)
+            ends = np.cumsum(list(map(len, part)))
             self._remember(part, ids, np.diff(np.searchsorted(np.cumsum(self.size[ids]), ends, side="right"), prepend=0))
 
     def _encode_parted(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -145,13 +146,16 @@ class PieceEncoder:
         pieces = pa.Array.from_buffers(
             pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]
         ).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
+        # Through an object array: a list of Arrow's own makes a scalar of each piece first.
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.held > self.room:
             self._make_room()
         found = list(map(self.known.get, distinct))
-        if None in found:
-            self._learn([p for p, number in zip(distinct, found) if number is None])
-            found = list(map(self.known.get, distinct))
+        new = [i for i, number in enumerate(found) if number is None]
+        if new:
+            self._learn([distinct[i] for i in new])
+            for i in new:
+                found[i] = self.known[distinct[i]]
         indices = pieces.indices.to_numpy()
         found = np.array(found, dtype=np.int64)
         self.hits[found] += np.bincount(indices, minlength=len(found))

@@ -62,6 +62,23 @@ def test_other_tokenizers_encode_whole():
     assert encoder.encode(["Hello there, you"])[0].tolist() == Tokenizer.from_str(text).encode("Hello there, you", add_special_tokens=False).ids
 
 
+def test_looks_known_pieces_up_once():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+    encoder = t.PieceEncoder(JSON)
+    many = " ".join(f"word{i}" for i in range(500))
+    encoder.encode([many])
+    encoder.known = Counting(encoder.known)
+    text = many + " another\u00e9\t one"
+    assert encoder.encode([text])[0].tolist() == ids(text)
+    assert encoder.known.asked <= 503
+
+
 def test_round_trip(spark, monkeypatch):
     texts = {i * 3 % 50: f"text number {i} " * (i % 7) for i in range(50)} | {60: None, 61: "", 62: "long " * 40000}
     docs = spark.createDataFrame([(k, v, "x") for k, v in texts.items()], "doc_id long, text string, part string").repartition(6)
