@@ -1,46 +1,56 @@
 """Vectors of words and ids from token tables.
 
 A token table has ``token STRING, idx BIGINT, vector ARRAY``. Word vectors are
-computed once per distinct word and joined back, so frequent words and padding
-cost nothing extra. ``bucketed`` says that the table is stored in buckets of its
+computed once per distinct word, or once per group of texts that has the word, and joined
+back, so frequent words and padding cost nothing extra. ``bucketed`` says that the table is stored in buckets of its
 token (of its ``idx`` for ``embedding_lookup``), and then it is not shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from moodmill.functions.tokens import exploded, word_ngrams
 from moodmill.functions.vectors import dot, double_array, grouped_vectors, mean_vector, nonlinear, with_checked
-from moodmill.operators.lookup import BROADCAST_BYTES, PIECES, lookup, table_bytes
+from moodmill.operators.lookup import BROADCAST_BYTES, lookup
 from moodmill.operators.vocabulary import UNKNOWN
+from moodmill.session import durable
 
 # N-gram lengths of the embedding bag, and the width rule of categories.
 MIN_GRAM, MAX_GRAM = 1, 6
 MAX_CATEGORY_WIDTH = 50
-GROUP_STEPS = 1 << 20  # steps of the texts to which a vector is sent once
+GROUP_STEPS = 1 << 20  # steps of the texts for which a vector is computed once
+PARTS_OF_GROUP = 4  # partitions per group: the hash of a group's number lays few of them into one
 
 
 def _distinct(words: DataFrame) -> DataFrame:
     return words.select("word").distinct()
 
 
-def _hits(words: DataFrame, table: DataFrame, bucketed: bool = False, how: str = "inner") -> DataFrame:
+def _keys(group: str | None) -> list[str]:
+    return ["word"] if group is None else [group, "word"]
+
+
+def _hits(words: DataFrame, table: DataFrame, bucketed: bool = False, how: str = "inner", group: str | None = None) -> DataFrame:
     """The known n-grams of distinct words, with their position and what the table has for them."""
     grams = words.select(
-        "word", exploded(word_ngrams(F.col("word"), MIN_GRAM, MAX_GRAM), with_position=True).alias("pos", "token")
+        *_keys(group), exploded(word_ngrams(F.col("word"), MIN_GRAM, MAX_GRAM), with_position=True).alias("pos", "token")
     )
     return lookup(grams, table, "token", how, bucketed=bucketed)
 
 
-def _vector_hits(words: DataFrame, table: DataFrame, dim: int, bucketed: bool) -> DataFrame:
+def _vector_hits(words: DataFrame, table: DataFrame, dim: int, bucketed: bool, group: str | None) -> DataFrame:
     """The vectors of the known n-grams of the distinct words, and a row per word that stays if it has none.
 
     Words are dealt over all shuffle partitions, since the sums of a word need many times its own space; a
-    table that is broadcast leaves its n-grams there, so no vector is shuffled.
+    table that is broadcast leaves its n-grams there, so no vector is shuffled. Words with a ``group`` are
+    distinct already and lie by it.
     """
-    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = _hits(_distinct(words).repartition(parts, "word"), table, bucketed, "left")
+    if group is None:
+        words = _distinct(words).repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    found = _hits(words, table, bucketed, "left", group)
     return with_checked(found.where(F.col("vector").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0)), dim)
 
 
@@ -77,24 +87,29 @@ def unknown_words(words: DataFrame, table: DataFrame, bucketed: bool = False) ->
     return counts.join(known, "word", "left_anti")
 
 
-def _with_unknown(pooled: DataFrame, table: DataFrame) -> DataFrame:
+def _with_unknown(pooled: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """All words, those without a known n-gram with the vector of the unknown word."""
     fallback = double_array(_unknown(table.select("token", "vector")).vector)
-    return pooled.select("word", F.coalesce("vector", fallback).alias("vector"))
+    return pooled.select(*keys, F.coalesce("vector", fallback).alias("vector"))
 
 
-def word_vectors_mean(words: DataFrame, table: DataFrame, dim: int, bucketed: bool = False) -> DataFrame:
-    """Per distinct ``word``: the mean ``vector`` of its known n-grams."""
-    found = _vector_hits(words, table.select("token", "vector"), dim, bucketed)
-    pooled = grouped_vectors(found, ["word"], dim, {"vector": ("vector", mean_vector)})
-    return _with_unknown(pooled, table)
+def word_vectors_mean(
+    words: DataFrame, table: DataFrame, dim: int, bucketed: bool = False, group: str | None = None
+) -> DataFrame:
+    """Per distinct ``word``: the mean ``vector`` of its known n-grams.
+
+    With ``group``, a column of ``words`` by which they are partitioned, distinct together with it: per group and word.
+    """
+    found = _vector_hits(words, table.select("token", "vector"), dim, bucketed, group)
+    pooled = grouped_vectors(found, _keys(group), dim, {"vector": ("vector", mean_vector)})
+    return _with_unknown(pooled, table, _keys(group))
 
 
 def word_vectors_attention(
     words: DataFrame, table: DataFrame, weights: list[float], dim: int, nonlinearity: str = "tanh",
-    bucketed: bool = False,
+    bucketed: bool = False, group: str | None = None,
 ) -> DataFrame:
-    """Per distinct ``word``: its n-gram vectors summed with softmax weights.
+    """Per distinct ``word``: its n-gram vectors summed with softmax weights; ``group`` as for the mean.
 
     The weighted mean with ``exp(score)`` is the softmax sum. A bounded score
     needs no shift; for ``relu`` the largest score of the word is subtracted.
@@ -102,36 +117,45 @@ def word_vectors_attention(
     scored = table.select(
         "token", "vector", nonlinear(dot(F.col("vector"), weights), nonlinearity).alias("_score")
     )
-    found = _vector_hits(words, scored, dim, bucketed)
+    found = _vector_hits(words, scored, dim, bucketed, group)
     shift = F.lit(0.0)
     if nonlinearity == "relu":
         # The window holds the n-grams of one distinct word.
-        shift = F.max("_score").over(Window.partitionBy("word"))
+        shift = F.max("_score").over(Window.partitionBy(*_keys(group)))
     weighted = found.withColumn("_weight", F.exp(F.col("_score") - shift))
     mean = ("vector", lambda c, size: mean_vector(c, size, F.col("_weight")))
-    pooled = grouped_vectors(weighted, ["word"], dim, {"vector": mean})
-    return _with_unknown(pooled, table)
+    pooled = grouped_vectors(weighted, _keys(group), dim, {"vector": mean})
+    return _with_unknown(pooled, table, _keys(group))
 
 
 def attach_word_vectors(
-    steps: DataFrame, vectors: DataFrame, group: str | None = None, max_bytes: int = BROADCAST_BYTES
+    samples: DataFrame, steps_of: Callable[[DataFrame], DataFrame], vectors_of: Callable[[DataFrame, str | None], DataFrame],
+    dim: int, group: str | None = None, max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join the vectors of the distinct words back to all steps.
-
-    ``group`` names a column with the number of the group of texts to which a step belongs. Vectors beyond all
-    broadcasts are then sent once to each group that has the word, and steps meet them there: the result lies by groups, so
-    an aggregate by group and text shuffles no vector of a step. Groups are put together up to
-    ``GROUP_STEPS`` where that leaves enough for all cores.
+    """The steps of texts with the vectors of their words.
+
+    ``samples`` is a written table with the ``words`` of each text and a hash of its keys, ``group``. ``steps_of`` makes
+    of them steps with a ``word``, each within its text, and ``vectors_of`` makes the vectors of the distinct words it is given,
+    for each group if the column with its number is named. Vectors that fit a broadcast are computed once.
+    Others are computed in each group of texts that has the word, so that no vector is written or shuffled: only
+    texts and words are. A group has about ``GROUP_STEPS`` steps where that leaves enough groups for all cores.
+    The result lies by groups, so an aggregate by group and text does not shuffle either.
     """
-    if group is None or table_bytes(vectors) <= PIECES * max_bytes:
-        return lookup(steps, vectors, "word", "left", max_bytes=max_bytes)
-    spark = steps.sparkSession
-    wanted = max(spark.sparkContext.defaultParallelism, -(-steps.count() // GROUP_STEPS))
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
-    steps = steps.withColumn(group, F.pmod(F.col(group), F.lit(parts)))
-    # A word comes once per group at most, so no key is frequent.
-    sent = steps.select(group, "word").distinct().join(vectors, "word").withColumn("_step", F.lit(False))
-    met = steps.withColumn("_step", F.lit(True)).unionByName(sent, allowMissingColumns=True).repartitionById(parts, group)
+    spark = samples.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = durable(samples.select(exploded(F.col("words")).alias("word")).distinct(), "words")
+    if group is None or words.count() * (8 * dim + 64) <= max_bytes:
+        dealt = samples if group is None else samples.repartition(partitions, group)
+        vectors = durable(vectors_of(words, None), "word-vectors")
+        return lookup(steps_of(dealt), vectors, "word", "left", max_bytes=max_bytes)
+    n_steps = samples.agg(F.sum(F.size(F.array_distinct("words"))).alias("n")).first().n or 0
+    parts = min(partitions, max(spark.sparkContext.defaultParallelism, -(-n_steps // GROUP_STEPS)))
+    grouped = samples.withColumn(group, F.pmod(F.col(group), F.lit(parts)).cast("int"))
+    own = grouped.select(group, exploded(F.col("words")).alias("word")).distinct()
+    steps, own = (x.repartition(PARTS_OF_GROUP * parts, group) for x in (grouped, own))
+    # Both sides lie by the same hash of the group, so the union and the window leave them there.
+    sent = vectors_of(own, group).withColumn("_step", F.lit(False))
+    met = steps_of(steps).withColumn("_step", F.lit(True)).unionByName(sent, allowMissingColumns=True)
     before = Window.partitionBy(group, "word").orderBy("_step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return met.withColumn("vector", F.first("vector").over(before)).where("_step").drop("_step")
 

@@ -778,7 +778,7 @@ def train_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = FeatureConfig("bag", "mean", 30)
     features = text_features(english, ["row_id", "target"], rel.token_table(spark, sf_dir), DIM, config)
     kept = durable(features, "features")
-    fitted, metrics = train_and_evaluate(kept, "row_id", DIM, (len(rel.LABEL_MAP),), max_iter=20)
+    fitted, metrics = train_and_evaluate(kept, "row_id", DIM, (len(rel.LABEL_MAP),), max_iter=20, written=True)
     loop = F.when(F.col("is_val"), "Val").otherwise("Train").alias("loop")
     sides = splits.holdout_split(kept, "row_id").groupBy(loop).agg(
         *[F.count_if(F.col("target") == t).alias(f"class_{t}") for _, t in rel.LABEL_MAP]

@@ -85,8 +85,8 @@ def vector_steps(
     No pooling looks at the order of steps, so a word that stands several times in a
     text, as the padding does, is one step with its number as ``times``. Then ``pos`` and
     ``seq_len`` only say whether it is a word of the text (0 of 1) or padding (1 of 1). A further
-    column ``_group`` deals the texts into as many groups as there are shuffle partitions; the steps of a
-    group lie together, so that sums over a text are taken before they are shuffled.
+    column ``_group`` deals the texts into groups whose steps lie together, so that sums over a text are not
+    shuffled.
     """
     if config.embedding == "dict":
         samples = encode_samples(df, keys, table, text, config.max_len, oov)
@@ -96,20 +96,23 @@ def vector_steps(
         samples = subword_samples(df, keys, config.subword_model, text, config.max_len)
         steps = embedding_lookup(sequence_steps(samples, "ids", "idx"), table).drop("idx")
         return steps.withColumn("times", F.lit(1))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    padding = (F.col("pos") >= F.col("seq_len")).cast("int").alias("pos")
-    samples = word_samples(df, keys, text, config.max_len).withColumn(GROUP, F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
-    every = sequence_steps(samples.repartition(parts, GROUP), "words")
-    steps = every.groupBy(GROUP, *keys, padding, "word").agg(F.count("*").alias("times"), F.lit(1).alias("seq_len"))
-    # Written once: its words are listed, and then it is joined with their vectors.
-    steps = durable(steps, "steps")
     if config.embedding == "bag":
-        vectors = word_vectors_mean(steps, table, dim)
+        def vectors_of(words: DataFrame, group: str | None) -> DataFrame:
+            return word_vectors_mean(words, table, dim, group=group)
     elif config.embedding == "wbag":
-        vectors = word_vectors_attention(steps, table, list(config.word_weights), dim)
+        def vectors_of(words: DataFrame, group: str | None) -> DataFrame:
+            return word_vectors_attention(words, table, list(config.word_weights), dim, group=group)
     else:
         raise ValueError(f"unknown embedding {config.embedding!r}")
-    return attach_word_vectors(steps, durable(vectors, "word-vectors"), GROUP).drop("word")
+    padding = (F.col("pos") >= F.col("seq_len")).cast("int").alias("pos")
+
+    def steps_of(samples: DataFrame) -> DataFrame:
+        every = sequence_steps(samples, "words")
+        return every.groupBy(GROUP, *keys, padding, "word").agg(F.count("*").alias("times"), F.lit(1).alias("seq_len"))
+
+    # Written once: its words are listed, and then its steps meet their vectors.
+    samples = durable(word_samples(df, keys, text, config.max_len).withColumn(GROUP, F.xxhash64(*keys)), "samples")
+    return attach_word_vectors(samples, steps_of, vectors_of, dim, GROUP).drop("word")
 
 
 def text_features(
@@ -141,10 +144,13 @@ def text_features(
 
 def train_and_evaluate(
     features: DataFrame, row_id: str, dim: int, sizes: tuple[int, ...],
-    share: float = HOLDOUT_SHARE, seed: int = SEED, max_iter: int = 100,
+    share: float = HOLDOUT_SHARE, seed: int = SEED, max_iter: int = 100, written: bool = False,
 ):
-    """Fit on the train side of ``row_id, vector, target``; return the model and the metrics per side."""
-    sides = holdout_split(durable(features, "features"), row_id, share, seed)
+    """Fit on the train side of ``row_id, vector, target``; return the model and the metrics per side.
+
+    ``written`` says that the features are a written table, of which no other copy is needed.
+    """
+    sides = holdout_split(features if written else durable(features, "features"), row_id, share, seed)
     model = classifier_fit(split_mode(sides, "train"), dim, sizes, max_iter=max_iter, seed=seed)
     scored = classifier_predict(model, sides)
     loop = F.when(F.col("is_val"), "Val").otherwise("Train").alias("loop")

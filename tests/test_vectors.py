@@ -321,6 +321,15 @@ def test_vectors_beyond_broadcasts_are_sent_once_per_group(spark, table, monkeyp
     assert "Window" in plan and "Exchange" not in plan[: plan.index("Window")]
 
 
+def test_vectors_beyond_broadcasts_are_not_shuffled(spark, table, monkeypatch):
+    df = spark.createDataFrame([(i, f"cat at w{i % 7} xyz") for i in range(40)], "id int, processed string")
+    monkeypatch.setattr(embeddings.attach_word_vectors, "__defaults__", (None, 0))
+    out = text_features(df, ["id"], table, DIM, FeatureConfig("bag", "max", 8))
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+    shuffled = [part for part in plan.split("\n\n") if part.strip().split("\n")[0].endswith(") Exchange")]
+    assert shuffled and not any("vector" in part for part in shuffled)
+
+
 def test_a_counted_vocabulary_names_the_frequent_tokens(spark, monkeypatch):
     rng = random.Random(6)
     df = spark.createDataFrame([(i, rng.choices(["a", "b", "c", " ", "UNK"], (50, 5, 1, 9, 9), k=i % 7)) for i in range(60)], "id int, tokens array<string>")
